@@ -229,3 +229,24 @@ def drift_snapshot(
     return row.withColumn(
         "drift_status", drift_status(F.col("mae"), F.col("max_feature_psi"), base, settings)
     )
+
+
+# ---- alerts ----------------------------------------------------------------------------------------
+
+
+def alerts_from_errors(fva: DataFrame, limit: int = DEFAULTS.alert_window) -> DataFrame:
+    """Alerts for the large misses among the newest rows, one per entity and date.
+
+    Among versions that missed on the same day the earliest inserted one speaks.
+    """
+    from tidepanel.functions.columns import severity
+    from tidepanel.operators.dedup import keep_first
+
+    recent = newest(fva, limit).withColumn("severity", severity(F.col("abs_demand_error")))
+    loud = recent.filter(F.col("severity").isin("high", "medium")).select(
+        "date", "entity_id", "first_seq", "model_version", "abs_demand_error", "severity", "event_type",
+        F.lit("forecast_miss").alias("alert_type"),
+        F.format_string("Demand deviated by %.2f for entity %s", "abs_demand_error", "entity_id").alias("message"),
+    )
+    one = keep_first(loud, ["date", "entity_id", "alert_type"], ["first_seq", "model_version"])
+    return one.drop("first_seq", "model_version")
