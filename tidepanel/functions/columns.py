@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 
 def lenient_double(value: Column) -> Column:
     """Number from anything castable; bad text and NaN become NULL (NaN would poison max and avg)."""
-    number = value.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(value.try_cast("double"), F.lit(None))
 
 
 def lenient_date(value: Column) -> Column:
@@ -24,10 +23,20 @@ def safe_double(value: Column, default: float = 0.0) -> Column:
 
 
 def finite_or(value: Column, default: float = 0.0) -> Column:
-    """NULL, NaN and both infinities become ``default``."""
+    """NULL, NaN and both infinities become ``default`` (NaN compares above every number)."""
     number = value.cast("double")
-    usable = ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
-    return F.coalesce(F.when(usable, number), F.lit(float(default)))
+    return F.when(F.abs(number) < float("inf"), number).otherwise(float(default))
+
+
+def finite_sql(name: str, default: float = 0.0) -> str:
+    """:func:`finite_or` as SQL text, for frames of many columns."""
+    number = f"CAST(`{name}` AS DOUBLE)"
+    return f"CASE WHEN abs({number}) < DOUBLE('Infinity') THEN {number} ELSE {default}D END AS `{name}`"
+
+
+def safe_sql(source: str, name: str, default: float = 0.0) -> str:
+    """:func:`safe_double` as SQL text."""
+    return f"coalesce(nanvl(try_cast(`{source}` AS DOUBLE), NULL), {default}D) AS `{name}`"
 
 
 def first_present(df: DataFrame, names: Sequence[str]) -> Column | None:
@@ -43,11 +52,20 @@ def column_or(df: DataFrame, name: str, default) -> Column:
     return F.col(name) if name in df.columns else F.lit(default)
 
 
+# Two runs may add the same numbers in another order; the nudge keeps exact halves on one side, so
+# a reported figure does not flip its last digit when a lost task is computed again.
+ROUNDING_NUDGE = 1e-9
+
+
+def steady_round(value: Column, digits: int) -> Column:
+    return F.round(value + ROUNDING_NUDGE, digits)
+
+
 def pct_change(current: Column, previous: Column) -> Column:
     """Signed percent change, one decimal; 0 where there is nothing to compare with."""
     flat = previous.isNull() | (F.abs(previous) < 1e-9)
     return F.when(flat, F.lit(0.0)).otherwise(
-        F.round(F.try_divide(current - previous, previous) * 100.0, 1)
+        steady_round(F.try_divide(current - previous, previous) * 100.0, 1)
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.functions.columns import first_present, fold_case, pct_change, safe_double, scale_100, title_case
+from tidepanel.functions.columns import first_present, fold_case, pct_change, safe_double, scale_100, steady_round, title_case
 from tidepanel.operators.dedup import latest_dimension
 from tidepanel.operators.normalize import filter_category
 from tidepanel.operators.series import (
@@ -73,16 +73,16 @@ def kpis(panel: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
         *[_mean(f"{m}_index", before).alias(f"prev_{m}") for m in ("demand", "price", "sentiment")],
     )
     shown = means.select(
-        F.round(safe_double(F.col("demand")), 1).alias("demand"),
-        F.round(safe_double(F.col("price")), 2).alias("price"),
-        F.round(safe_double(F.col("sentiment")) * 100.0, 1).alias("sentiment"),
+        steady_round(safe_double(F.col("demand")), 1).alias("demand"),
+        steady_round(safe_double(F.col("price")), 2).alias("price"),
+        steady_round(safe_double(F.col("sentiment")) * 100.0, 1).alias("sentiment"),
         "prev_demand", "prev_price", "prev_sentiment",
     )
     prev_sent = F.coalesce(F.col("prev_sentiment") * 100.0, F.col("sentiment"))
     changes = shown.select(
         "demand", pct_change(F.col("demand"), F.col("prev_demand")).alias("demand_chg"),
         "price", pct_change(F.col("price"), F.col("prev_price")).alias("price_chg"),
-        "sentiment", F.round(F.col("sentiment") - prev_sent, 1).alias("sent_chg"),
+        "sentiment", steady_round(F.col("sentiment") - prev_sent, 1).alias("sent_chg"),
     )
     return beside(changes, _totals(panel, alerts)).withColumnsRenamed(
         {"total_brands": "active_brands", "total_entities": "active_entities"}
@@ -91,9 +91,9 @@ def kpis(panel: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
 
 def kpis_by_category(panel: DataFrame) -> DataFrame:
     return on_latest_date(panel).groupBy("category").agg(
-        F.round(safe_double(_mean("demand_index")), 1).alias("demand"),
-        F.round(safe_double(_mean("price_index")), 1).alias("price"),
-        F.round(safe_double(_mean("sentiment_index")) * 100.0, 1).alias("sentiment"),
+        steady_round(safe_double(_mean("demand_index")), 1).alias("demand"),
+        steady_round(safe_double(_mean("price_index")), 1).alias("price"),
+        steady_round(safe_double(_mean("sentiment_index")) * 100.0, 1).alias("sentiment"),
         F.countDistinct("entity_id").alias("count"),
     )
 
@@ -124,7 +124,7 @@ def scatter(panel: DataFrame, n_categories: int = 3, brands: int = SCATTER_BRAND
     best = _ranked(grouped, ["grp"], [F.desc_nulls_last("y"), F.asc("brand")], brands, "pos")
     return best.select(
         "grp", "pos", F.col("brand").alias("label"),
-        F.round(safe_double(F.col("x")), 1).alias("x"), F.round(safe_double(F.col("y")), 1).alias("y"),
+        steady_round(safe_double(F.col("x")), 1).alias("x"), steady_round(safe_double(F.col("y")), 1).alias("y"),
     )
 
 
@@ -152,7 +152,7 @@ def _radar_of(rows: DataFrame, k: int) -> DataFrame:
     means = rows.groupBy("grp", "brand").agg(*[F.avg(c).alias(m) for m, c in _SCORE_SOURCES.items()])
     best = _ranked(_scored(means, ["grp"]), ["grp"], [F.desc_nulls_last("score"), F.asc("brand")], k, "pos")
     return best.select(
-        "grp", "pos", "brand", *[F.round(safe_double(F.col(f"{m}_n")), 1).alias(f"{m}_n") for m in SCORE_WEIGHTS]
+        "grp", "pos", "brand", *[steady_round(safe_double(F.col(f"{m}_n")), 1).alias(f"{m}_n") for m in SCORE_WEIGHTS]
     )
 
 
@@ -188,14 +188,14 @@ def competitors(panel: DataFrame, k: int = COMPETITORS, days: int = COMPETITOR_D
     """Leading entities by composite score, each with its recent daily price and sentiment."""
     ids = ["entity_id", "brand", "product_name", "category"]
     means = on_latest_date(panel).groupBy(*ids).agg(*[F.avg(c).alias(m) for m, c in _SCORE_SOURCES.items()])
-    scored = _scored(means).withColumn("score", F.round("score", 1))
+    scored = _scored(means).withColumn("score", steady_round(F.col("score"), 1))
     top = scored.orderBy(F.desc_nulls_last("score"), "entity_id").limit(k).select(
         "entity_id", F.col("brand").alias("name"), F.col("product_name").alias("product"),
         title_case(F.col("category")).alias("cat"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
-        F.round(safe_double(F.col("price")), 1).alias("price"),
-        F.round(safe_double(F.col("sentiment")) * 100.0, 1).alias("sent"),
-        F.round(safe_double(F.col("demand")), 1).alias("demand"),
+        steady_round(safe_double(F.col("price")), 1).alias("price"),
+        steady_round(safe_double(F.col("sentiment")) * 100.0, 1).alias("sent"),
+        steady_round(safe_double(F.col("demand")), 1).alias("demand"),
     )
     daily = (
         panel.join(F.broadcast(top.select("entity_id")), "entity_id")
@@ -204,7 +204,7 @@ def competitors(panel: DataFrame, k: int = COMPETITORS, days: int = COMPETITOR_D
     )
     recent = _ranked(daily, ["entity_id"], [F.desc("date")], days, "_n")
     point = F.struct(
-        "date", F.round(safe_double(F.col("p")), 2).alias("p"), F.round(safe_double(F.col("s") * 100.0), 1).alias("s")
+        "date", steady_round(safe_double(F.col("p")), 2).alias("p"), steady_round(safe_double(F.col("s") * 100.0), 1).alias("s")
     )
     history = recent.groupBy("entity_id").agg(F.array_sort(F.collect_list(point)).alias("h")).select(
         "entity_id",
@@ -225,8 +225,8 @@ def next_days(
         F.avg("actual_demand").alias("actual"), F.avg("pred_demand").alias("predicted")
     )
     tail = compared.orderBy(F.desc("date")).limit(days).select(
-        "date", F.round(safe_double(F.col("actual")), 2).alias("actual"),
-        F.round(safe_double(F.col("predicted")), 2).alias("predicted"),
+        "date", steady_round(safe_double(F.col("actual")), 2).alias("actual"),
+        steady_round(safe_double(F.col("predicted")), 2).alias("predicted"),
     )
     if forecast is not None:
         ahead = filter_category(forecast, category).groupBy(F.col("target_date").alias("date")).agg(
@@ -235,7 +235,7 @@ def next_days(
         none_compared = tail.agg(F.count("*") == 0).scalar()
         only = ahead.orderBy(F.desc("date")).limit(days).filter(none_compared).select(
             "date", F.lit(None).cast("double").alias("actual"),
-            F.round(safe_double(F.col("predicted")), 2).alias("predicted"),
+            steady_round(safe_double(F.col("predicted")), 2).alias("predicted"),
         )
         tail = tail.unionByName(only)
     return tail.select("date", F.date_format("date", LABEL_FORMAT).alias("label"), "actual", "predicted")
@@ -326,12 +326,12 @@ def report(
     )
     lead = cats.orderBy(F.desc_nulls_last("d"), "category").limit(1).agg(
         F.max(title_case(F.col("category"))).alias("top_cat"),
-        F.round(safe_double(F.max("d")), 1).alias("top_cat_demand"),
-        F.round(safe_double(F.max("s")) * 100.0, 1).alias("top_cat_sent"),
+        steady_round(safe_double(F.max("d")), 1).alias("top_cat_demand"),
+        steady_round(safe_double(F.max("s")) * 100.0, 1).alias("top_cat_sent"),
     )
     best = radar(panel).agg(
         F.max(F.when(F.col("pos") == 1, F.col("brand"))).alias("best_brand"),
-        F.round(F.coalesce(F.max("demand_n"), F.lit(0.0)), 1).alias("best_brand_health"),
+        steady_round(F.coalesce(F.max("demand_n"), F.lit(0.0)), 1).alias("best_brand_health"),
     )
     cut = F.date_sub(latest_date(panel), PRICE_CHANGE_DAYS - 1)
     daily = panel.filter(F.col("date") >= cut).groupBy("date").agg(F.avg("price_index").alias("p"))
@@ -340,7 +340,7 @@ def report(
     )
     price = ends.select(pct_change(F.col("last"), F.col("first")).alias("price_30d_chg"))
     spot = on_latest_date(filter_category(panel, spotlight)).agg(
-        F.round(safe_double(F.avg("sentiment_index")) * 100.0, 1).alias("spotlight_sent")
+        steady_round(safe_double(F.avg("sentiment_index")) * 100.0, 1).alias("spotlight_sent")
     )
     return beside(lead, best, price, spot, _totals(panel, alerts).drop("total_rows"))
 

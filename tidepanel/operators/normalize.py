@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepanel.functions.columns import (
-    finite_or, first_present, fold_case, lenient_date, lenient_double, safe_double,
+    finite_sql, first_present, fold_case, lenient_date, lenient_double, safe_double, safe_sql,
 )
 from tidepanel.operators.dedup import keep_last
 from tidepanel.sources import schemas as S
@@ -33,9 +33,9 @@ def normalize_feed(df: DataFrame) -> DataFrame:
     for name in S.FEED_MEASURES:
         alias = S.FEED_ALIASES.get(name, name)
         source = name if name in df.columns else alias if alias in df.columns else None
-        measures.append((safe_double(F.col(source)) if source else F.lit(0.0)).alias(name))
+        measures.append(F.expr(safe_sql(source, name) if source else f"0.0D AS {name}"))
     texts = [
-        (F.col(n).cast("string") if n in df.columns else F.lit(default)).alias(n)
+        F.expr(f"CAST({n} AS STRING) AS {n}" if n in df.columns else f"'{default}' AS {n}")
         for n, default in S.FEED_TEXT_DEFAULTS.items()
     ]
     shaped = df.select(
@@ -51,11 +51,9 @@ def canonical_panel(df: DataFrame) -> DataFrame:
     for name, default in S.PANEL_MEASURE_DEFAULTS.items():
         alias = S.PANEL_ALIASES.get(name, name)
         source = name if name in df.columns else alias if alias in df.columns else None
-        measures.append(
-            (safe_double(F.col(source), default) if source else F.lit(default)).alias(name)
-        )
+        measures.append(F.expr(safe_sql(source, name, default) if source else f"{default}D AS {name}"))
     texts = [
-        (F.coalesce(F.col(n).cast("string"), F.lit(d)) if n in df.columns else F.lit(d)).alias(n)
+        F.expr(f"coalesce(CAST({n} AS STRING), '{d}') AS {n}" if n in df.columns else f"'{d}' AS {n}")
         for n, d in S.PANEL_TEXT_DEFAULTS.items()
     ]
     # Demand gaps stay NULL: the windows skip them.
@@ -116,10 +114,9 @@ def normalize_regimes(df: DataFrame) -> DataFrame:
 def finalize_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Absent features become 0.0; NULL, NaN and infinities become 0.0."""
     kept = [c for c in df.columns if c not in features]
-    ready = [
-        (finite_or(F.col(f)) if f in df.columns else F.lit(0.0)).alias(f) for f in features
-    ]
-    return df.select(*kept, *ready)
+    present = set(df.columns)
+    ready = [finite_sql(f) if f in present else f"0.0D AS `{f}`" for f in features]
+    return df.selectExpr(*[f"`{c}`" for c in kept], *ready)
 
 
 def filter_category(df: DataFrame, category: str = "all") -> DataFrame:

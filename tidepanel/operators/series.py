@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.functions.columns import fold_case, safe_double, week_start
+from tidepanel.functions.columns import fold_case, safe_double, steady_round, week_start
 
 
 def beside(base: DataFrame, *others: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def _tail_by_period(df: DataFrame, period: Column, value: Column, n: int, by: li
         tail = means.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= n).drop("_n")
     else:
         tail = means.orderBy(F.desc("period")).limit(n)
-    return tail.select(*by, "period", F.round(safe_double(F.col("mean_value")), 2).alias("value"))
+    return tail.select(*by, "period", steady_round(safe_double(F.col("mean_value")), 2).alias("value"))
 
 
 def weekly_series(df: DataFrame, value: str, weeks: int = 12, by: list[str] | None = None) -> DataFrame:

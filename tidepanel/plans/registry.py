@@ -103,18 +103,20 @@ def _columns(spec: str) -> list[tuple[str, str]]:
     return [tuple(part.split()) for part in re.split(r",\s*", spec.strip())]
 
 
-def on_grid(column):
-    return F.round(column + NUDGE, 6) + 0.0
-
-
 def present(df: DataFrame, spec: str) -> DataFrame:
     kinds = {
-        "s": lambda c: c.cast("string"),
-        "d": lambda c: F.date_format(c, "yyyy-MM-dd"),
-        "i": lambda c: c.cast("bigint"),
-        "f": lambda c: on_grid(c.cast("double")),
+        "s": "CAST({c} AS STRING)",
+        "d": "date_format({c}, 'yyyy-MM-dd')",
+        "i": "CAST({c} AS BIGINT)",
+        "f": "(round(CAST({c} AS DOUBLE) + " + f"{NUDGE}D" + ", 6) + 0.0D)",
     }
-    return df.select(*[kinds[k](F.col(n)).alias(n) for n, k in _columns(spec)])
+    return df.selectExpr(*[kinds[k].format(c=f"`{n}`") + f" AS `{n}`" for n, k in _columns(spec)])
+
+
+def on_grid(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named doubles rounded as they are compared."""
+    rest = [f"`{c}`" for c in df.columns if c not in names]
+    return df.selectExpr(*rest, *[f"(round(`{n}` + {NUDGE}D, 6) + 0.0D) AS `{n}`" for n in names])
 
 
 def grid_sql(expression: str) -> str:

@@ -232,6 +232,26 @@ PSI_MEAN_STD = psi_sql(
     "[0.16, 0.34, 0.34, 0.16]",
 )
 
+CATEGORY_ERRORS = """
+SELECT a.category, e.* FROM errors AS e JOIN activity AS a ON a.entity_id = e.entity_id AND a.date = e.date"""
+
+# One training run per category, week and model, in that order.
+CANDIDATES = """
+SELECT category, version, mae, row_number() OVER (PARTITION BY category ORDER BY version) AS run_no FROM (
+  SELECT category, strftime(date_trunc('week', date), '%Y-%m-%d') || ' ' || model_version AS version,
+    avg(abs_demand_error) AS mae FROM category_errors GROUP BY 1, 2) AS x"""
+
+REPLAY = """
+SELECT category, run_no, version, mae, 'accepted' AS status, version AS active_version, mae AS active_mae,
+  version AS last_stable_version FROM candidates WHERE run_no = 1
+UNION ALL
+SELECT c.category, c.run_no, c.version, c.mae,
+  CASE WHEN c.mae <= r.active_mae * 0.98 THEN 'accepted' ELSE 'rejected' END,
+  CASE WHEN c.mae <= r.active_mae * 0.98 THEN c.version ELSE r.active_version END,
+  CASE WHEN c.mae <= r.active_mae * 0.98 THEN c.mae ELSE r.active_mae END,
+  CASE WHEN c.mae <= r.active_mae * 0.98 THEN r.active_version ELSE r.last_stable_version END
+FROM replay AS r JOIN candidates AS c ON c.category = r.category AND c.run_no = r.run_no + 1"""
+
 TABLES: dict[str, str] = {
     "retail": RETAIL,
     "activity": ACTIVITY,
@@ -251,9 +271,32 @@ TABLES: dict[str, str] = {
     "profile": PROFILE,
     "psi": PSI,
     "psi_mean_std": PSI_MEAN_STD,
+    "category_errors": CATEGORY_ERRORS,
+    "candidates": CANDIDATES,
+    "replay": REPLAY,
 }
 
 
+def steady_rounds(sql: str) -> str:
+    """``round(x, n)`` with the nudge that the reports round with."""
+    out, rest = "", sql
+    while (at := rest.find("round(")) >= 0:
+        depth, comma = 0, None
+        for k in range(at + 6, len(rest)):
+            if rest[k] == "(":
+                depth += 1
+            elif rest[k] == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            elif rest[k] == "," and depth == 0:
+                comma = k
+        inner, digits = rest[at + 6:comma], rest[comma:k]
+        out += rest[:at] + f"round(({steady_rounds(inner)}) + 1e-9{digits})"
+        rest = rest[k + 1:]
+    return out + rest
+
+
 def with_tables(body: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``body`` with the shared tables it needs, in dependency order."""
     known = {**TABLES, **(extra or {})}
@@ -271,4 +314,4 @@ def with_tables(body: str, extra: dict[str, str] | None = None) -> str:
     if not ordered:
         return body
     ctes = ",\n".join(f"{n} AS ({known[n].strip()})" for n in ordered)
-    return f"WITH {ctes}\n{body}"
+    return f"WITH RECURSIVE {ctes}\n{body}"
