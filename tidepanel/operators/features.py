@@ -8,7 +8,6 @@ was in the raw input; the blocks below share one exchange and one sort.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -27,124 +26,130 @@ EVENT_REACH = 3
 NO_EVENT_DAYS = 999.0
 REGIME_LOOKBACK = 7
 FEATURE_LOOKBACK = 8
+HEALTH_PARTS = [
+    ("sentiment_index", 0.30, 0.0), ("search_index", 0.25, 0.0), ("ad_index", 0.20, 0.0), ("avg_rating", 0.15, 4.0),
+]
+DISCOUNT_WEIGHT = 0.10
 SIGNALS = ["new_reviews", "search_interest", "sentiment_mean", "price_new", "avg_rating", "buzz_score"]
 
 _DAY = "_day"
-
-
-def _by_day():
-    return Window.partitionBy("entity_id").orderBy(_DAY)
+_ORDER = f"PARTITION BY entity_id ORDER BY {_DAY}"
 
 
 def _with_day(df: DataFrame) -> DataFrame:
     return df if _DAY in df.columns else df.withColumn(_DAY, day_number(F.col("date")))
 
 
-def _add(df: DataFrame, new: dict[str, Column]) -> DataFrame:
+def _rows(first: int, last: int) -> str:
+    """A frame of rows relative to the current one."""
+    def edge(k: int) -> str:
+        return "CURRENT ROW" if k == 0 else f"{abs(k)} PRECEDING" if k < 0 else f"{k} FOLLOWING"
+
+    return f"OVER ({_ORDER} ROWS BETWEEN {edge(first)} AND {edge(last)})"
+
+
+def _days(first: int, last: int) -> str:
+    """A frame of calendar days around the current one."""
+    return _rows(first, last).replace("ROWS BETWEEN", "RANGE BETWEEN")
+
+
+def _lag(name: str, k: int) -> str:
+    return f"lag({name}, {k}) OVER ({_ORDER})"
+
+
+def _add(df: DataFrame, new: dict[str, str]) -> DataFrame:
     """All new columns in one select, replacing columns of the same name."""
-    return df.select(*[c for c in df.columns if c not in new], *[c.alias(n) for n, c in new.items()])
+    kept = [f"`{c}`" for c in df.columns if c not in new]
+    return df.selectExpr(*kept, *[f"{text} AS `{name}`" for name, text in new.items()])
 
 
-# ---- row-frame columns -------------------------------------------------------------------------
+# ---- row-frame columns, as SQL text: the whole block is one select over one window order ---------------
 
 
-def demand_lag_columns(target: str = S.TARGET) -> dict[str, Column]:
-    return {f"demand_lag_{k}": F.lag(target, k).over(_by_day()) for k in DEMAND_LAGS}
+def demand_lag_columns(target: str = S.TARGET) -> dict[str, str]:
+    return {f"demand_lag_{k}": _lag(target, k) for k in DEMAND_LAGS}
 
 
-def demand_rolling_columns(target: str = S.TARGET) -> dict[str, Column]:
+def demand_rolling_columns(target: str = S.TARGET) -> dict[str, str]:
     """Frames that end at the previous row."""
-    past = _by_day().rowsBetween(-WEEK, -1)
-    deviation = F.stddev_samp(target).over(past)
-    spread = F.max(target).over(past) - F.min(target).over(past)
+    past = _rows(-WEEK, -1)
+    deviation = f"stddev_samp({target}) {past}"
     return {
-        "demand_3d_mean": F.avg(target).over(_by_day().rowsBetween(-3, -1)),
-        "demand_7d_mean": F.avg(target).over(past),
+        "demand_3d_mean": f"avg({target}) {_rows(-3, -1)}",
+        "demand_7d_mean": f"avg({target}) {past}",
         "demand_7d_std": deviation,
         "demand_volatility_7d": deviation,
         # A single value has no range.
-        "demand_range_7d": F.when(F.count(target).over(past) >= 2, spread),
+        "demand_range_7d": f"if(count({target}) {past} >= 2, max({target}) {past} - min({target}) {past}, NULL)",
     }
 
 
-def demand_change_columns() -> dict[str, Column]:
+def demand_change_columns() -> dict[str, str]:
     """Differences of the lag and rolling columns above."""
-    last = F.col("demand_lag_1")
     return {
-        "demand_change_1": last - F.col("demand_lag_2"),
-        "demand_change_3": last - F.col("demand_lag_3"),
-        "demand_momentum_7": last - F.col("demand_lag_7"),
-        "trend_strength_7d": last - F.col("demand_7d_mean"),
+        "demand_change_1": "demand_lag_1 - demand_lag_2",
+        "demand_change_3": "demand_lag_1 - demand_lag_3",
+        "demand_momentum_7": "demand_lag_1 - demand_lag_7",
+        "trend_strength_7d": "demand_lag_1 - demand_7d_mean",
     }
 
 
-def signal_rolling_columns() -> dict[str, Column]:
+def signal_rolling_columns() -> dict[str, str]:
     """Frames that include today."""
-    week = _by_day().rowsBetween(-(WEEK - 1), 0)
-
-    def mean(name: str) -> Column:
-        return F.avg(name).over(week)
-
-    reviews = F.sum("new_reviews").over(week)
+    week = _rows(1 - WEEK, 0)
+    reviews = f"sum(new_reviews) {week}"
     return {
         "reviews_7d_sum": reviews,
-        "search_7d_avg": mean("search_interest"),
-        "sentiment_7d_avg": mean("sentiment_mean"),
-        "price_7d_avg": mean("price_new"),
+        "search_7d_avg": f"avg(search_interest) {week}",
+        "sentiment_7d_avg": f"avg(sentiment_mean) {week}",
+        "price_7d_avg": f"avg(price_new) {week}",
         "new_reviews_7d_sum": reviews,
-        **{f"{s}_7d_mean": mean(s) for s in SIGNALS},
-        "price_new_7d_std": F.stddev_samp("price_new").over(week),
+        **{f"{s}_7d_mean": f"avg({s}) {week}" for s in SIGNALS},
+        "price_new_7d_std": f"stddev_samp(price_new) {week}",
     }
 
 
-def signal_lag_columns() -> dict[str, Column]:
-    return {f"{s}_lag_{k}": F.lag(s, k).over(_by_day()) for s in SIGNALS for k in (1, WEEK)}
+def signal_lag_columns() -> dict[str, str]:
+    return {f"{s}_lag_{k}": _lag(s, k) for s in SIGNALS for k in (1, WEEK)}
 
 
-def signal_diff_columns() -> dict[str, Column]:
-    out = {}
-    for s in SIGNALS:
-        out[f"{s}_change"] = F.col(s) - F.lag(s, 1).over(_by_day())
-        out[f"{s}_momentum"] = F.col(s) - F.lag(s, 3).over(_by_day())
-    return out
+def signal_diff_columns() -> dict[str, str]:
+    steps = {"change": 1, "momentum": 3}
+    return {f"{s}_{name}": f"{s} - {_lag(s, k)}" for s in SIGNALS for name, k in steps.items()}
 
 
-def health_column() -> dict[str, Column]:
+def health_column() -> dict[str, str]:
     """Composite index where none was supplied."""
-    blend = (
-        0.30 * F.coalesce("sentiment_index", F.lit(0.0))
-        + 0.25 * F.coalesce("search_index", F.lit(0.0))
-        + 0.20 * F.coalesce("ad_index", F.lit(0.0))
-        + 0.15 * F.coalesce("avg_rating", F.lit(4.0))
-        + 0.10 * (1.0 - F.coalesce("discount_pct", F.lit(0.0)))
-    )
-    given = F.col("health_index")
-    return {"health_index": F.when(given.isNull() | (given == 0), blend).otherwise(given)}
+    parts = [f"{w}D * coalesce({name}, {default}D)" for name, w, default in HEALTH_PARTS]
+    blend = " + ".join(parts) + f" + {DISCOUNT_WEIGHT}D * (1.0D - coalesce(discount_pct, 0.0D))"
+    return {"health_index": f"if(health_index IS NULL OR health_index = 0, {blend}, health_index)"}
 
 
-def interaction_columns() -> dict[str, Column]:
-    search = F.col("search_interest")
+def interaction_columns() -> dict[str, str]:
     return {
-        "price_x_search": F.col("price_new") * search,
-        "search_x_sentiment": search * F.col("sentiment_mean"),
-        "ad_x_search": F.col("ad_index") * search,
-        "discount_x_demand_lag_1": F.col("discount_pct") * F.coalesce("demand_lag_1", F.lit(0.0)),
-        "buzz_x_search": F.col("buzz_score") * search,
-        "rating_x_reviews": F.col("avg_rating") * F.col("new_reviews"),
+        "price_x_search": "price_new * search_interest",
+        "search_x_sentiment": "search_interest * sentiment_mean",
+        "ad_x_search": "ad_index * search_interest",
+        "discount_x_demand_lag_1": "discount_pct * coalesce(demand_lag_1, 0.0D)",
+        "buzz_x_search": "buzz_score * search_interest",
+        "rating_x_reviews": "avg_rating * new_reviews",
     }
 
 
-def calendar_columns() -> dict[str, Column]:
-    weekday, month = F.weekday("date"), F.month("date")
-    week_angle, year_angle = weekday * (2 * math.pi / 7.0), month * (2 * math.pi / 12.0)
+def calendar_columns() -> dict[str, str]:
+    def circle(part: str, period: int) -> dict[str, str]:
+        angle = f"2 * pi() * {part} / {period}.0D"
+        return {"sin": f"sin({angle})", "cos": f"cos({angle})"}
+
+    week, year = circle("weekday(date)", 7), circle("month(date)", 12)
     return {
-        "day_of_week_num": weekday,
-        "month_num": month,
-        "is_weekend": weekday.isin(5, 6).cast("double"),
-        "day_of_week_sin": F.sin(week_angle),
-        "day_of_week_cos": F.cos(week_angle),
-        "month_sin": F.sin(year_angle),
-        "month_cos": F.cos(year_angle),
+        "day_of_week_num": "weekday(date)",
+        "month_num": "month(date)",
+        "is_weekend": "if(weekday(date) >= 5, 1.0D, 0.0D)",
+        "day_of_week_sin": week["sin"],
+        "day_of_week_cos": week["cos"],
+        "month_sin": year["sin"],
+        "month_cos": year["cos"],
     }
 
 
@@ -188,7 +193,7 @@ def add_interactions(panel: DataFrame) -> DataFrame:
 
 def add_lead_target(panel: DataFrame, target: str = S.TARGET, horizon: int = 1) -> DataFrame:
     """The target ``horizon`` rows ahead; rows without one are dropped."""
-    led = _with_day(panel).withColumn("target", F.lead(target, horizon).over(_by_day()))
+    led = _add(_with_day(panel), {"target": f"lead({target}, {horizon}) OVER ({_ORDER})"})
     return led.filter(F.col("target").isNotNull()).drop(_DAY)
 
 
@@ -263,42 +268,41 @@ def _timeline(panel: DataFrame, marks: Sequence[DataFrame], order: Sequence[str]
     )
 
 
-def _event_columns() -> dict[str, Column]:
-    days = _by_day()
-    hit_day = F.when(F.col("_code").isNotNull(), F.col(_DAY))
+def _event_columns() -> dict[str, str]:
+    hit_day = f"if(_code IS NULL, NULL, {_DAY})"
 
-    def within(low: int, high: int):
-        return days.rangeBetween(low, high)
+    def flag(first: int, last: int) -> str:
+        return f"if(count(_code) {_days(first, last)} > 0, 1.0D, 0.0D)"
 
-    def flag(low: int, high: int) -> Column:
-        return F.when(F.count("_code").over(within(low, high)) > 0, 1.0).otherwise(0.0)
+    def days_or_none(gap: str) -> str:
+        return f"coalesce(CAST({gap} AS DOUBLE), {NO_EVENT_DAYS}D)"
 
-    reach = within(-EVENT_REACH, EVENT_REACH)
-    last_hit = F.max(hit_day).over(days.rowsBetween(Window.unboundedPreceding, 0))
+    reach = _days(-EVENT_REACH, EVENT_REACH)
+    so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    last_hit = f"max({hit_day}) OVER ({_ORDER} {so_far})"
     # Read backwards so the frame grows row by row; one that shrinks would be recomputed per row.
-    backwards = Window.partitionBy("entity_id").orderBy(F.desc(_DAY))
-    next_hit = F.min(hit_day).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
+    next_hit = f"min({hit_day}) OVER ({_ORDER} DESC {so_far})"
     return {
-        "event_flag_today": F.when(F.col("_code").isNotNull(), 1.0).otherwise(0.0),
+        "event_flag_today": "if(_code IS NULL, 0.0D, 1.0D)",
         "event_flag_recent_3d": flag(-EVENT_REACH, 0),
         "event_flag_next_3d": flag(0, EVENT_REACH),
-        "days_since_last_event": F.coalesce((F.col(_DAY) - last_hit).cast("double"), F.lit(NO_EVENT_DAYS)),
-        "days_to_next_event": F.coalesce((next_hit - F.col(_DAY)).cast("double"), F.lit(NO_EVENT_DAYS)),
-        "event_intensity_score": F.coalesce(F.max("_intensity").over(reach), F.lit(0.0)),
-        "event_type_encoded": F.coalesce(F.max("_code").over(reach), F.lit(0.0)),
+        "days_since_last_event": days_or_none(f"{_DAY} - {last_hit}"),
+        "days_to_next_event": days_or_none(f"{next_hit} - {_DAY}"),
+        "event_intensity_score": f"coalesce(max(_intensity) {reach}, 0.0D)",
+        "event_type_encoded": f"coalesce(max(_code) {reach}, 0.0D)",
     }
 
 
-def _regime_columns() -> dict[str, Column]:
+def _regime_columns() -> dict[str, str]:
     return {
-        "recent_change_point_flag": F.coalesce("_flag", F.lit(0.0)),
-        "regime_shift_strength": F.coalesce("_strength", F.lit(0.0)),
+        "recent_change_point_flag": "coalesce(_flag, 0.0D)",
+        "regime_shift_strength": "coalesce(_strength, 0.0D)",
     }
 
 
-def _regime_recency() -> dict[str, Column]:
-    past = _by_day().rowsBetween(-REGIME_LOOKBACK, -1)
-    return {"regime_flag_recent": F.coalesce(F.max("recent_change_point_flag").over(past), F.lit(0.0))}
+def _regime_recency() -> dict[str, str]:
+    past = _rows(-REGIME_LOOKBACK, -1)
+    return {"regime_flag_recent": f"coalesce(max(recent_change_point_flag) {past}, 0.0D)"}
 
 
 _EVENT_DEFAULTS = {
@@ -310,8 +314,8 @@ _REGIME_DEFAULTS = {"recent_change_point_flag": 0.0, "regime_shift_strength": 0.
 _MARKS = ("_panel", "_intensity", "_code", "_flag", "_strength")
 
 
-def _literals(defaults: dict[str, float]) -> dict[str, Column]:
-    return {n: F.lit(v) for n, v in defaults.items()}
+def _literals(defaults: dict[str, float]) -> dict[str, str]:
+    return {n: f"{v}D" for n, v in defaults.items()}
 
 
 def _enrich(panel: DataFrame, events, regimes, kinds=None, order: Sequence[str] = ()) -> DataFrame:

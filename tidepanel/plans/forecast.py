@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepanel.operators.attribution import attach_context, with_reasons
+from tidepanel.operators.dedup import union_keep_last
 from tidepanel.operators.features import live_feature_frame
 from tidepanel.operators.normalize import finalize_features
 from tidepanel.plans.model import TrainedModel, contribution_text, score
@@ -12,8 +13,9 @@ from tidepanel.sources import schemas as S
 
 
 class NaiveScorer:
-    """Tomorrow equals today."""
+    """Tomorrow equals today; needs no features."""
 
+    needs_features = False
     version = "naive_lag1"
     profile = None
     features: list[str] = list(S.FEATURE_CONTRACT)
@@ -29,6 +31,8 @@ class NaiveScorer:
 class ModelScorer:
     """A stored model, with the linear weights that explain it if they were fitted."""
 
+    needs_features = True
+
     def __init__(self, model: TrainedModel, weights: dict[str, tuple[float, float]] | None = None):
         self.model, self.weights = model, weights or {}
         self.version, self.profile = model.version, model.profile
@@ -59,8 +63,13 @@ def forecast_next_day(
     regimes: DataFrame | None = None,
 ) -> DataFrame:
     """Predictions for the day after the batch, with price, signals, event and reasons carried over."""
-    full = live_feature_frame(history, batch, events, regimes, scorer.event_kinds)
-    ready = finalize_features(full, scorer.features)
+    if scorer.needs_features:
+        full = live_feature_frame(history, batch, events, regimes, scorer.event_kinds)
+        ready = finalize_features(full, scorer.features)
+    else:
+        dates = batch.select("date").distinct()
+        known = union_keep_last([history, batch], ["entity_id", "date"], [])
+        ready = known.join(dates, "date", "left_semi")
     scored = scorer.predict(ready).select(
         "entity_id", F.date_add("date", 1).alias("target_date"), "pred_demand",
         scorer.explain().alias("shap_explanation"),

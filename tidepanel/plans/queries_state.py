@@ -304,7 +304,7 @@ _POLICY = replace(DEFAULTS, retrain_mape_threshold=0.75, retrain_min_new_rows=20
     "h9_policy",
     "category s, date d, sim_day i, rows_since_retrain i, perf_streak i, rollback_streak i, performance_drift i, "
     "severe_feature_drift i, action s",
-    f"""WITH days AS ({_CATEGORY_DAYS}),
+    f"""WITH RECURSIVE days AS ({_CATEGORY_DAYS}),
       base AS (SELECT category, avg(mae) AS baseline FROM days GROUP BY category),
       seq AS (SELECT d.*, b.baseline, abs(d.mae / b.baseline - 1) / 2 AS psi,
           CASE WHEN d.mae > b.baseline * 1.25 OR d.mape > 0.75 THEN 1 ELSE 0 END AS perf,
