@@ -9,25 +9,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
-def _pick_one(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
-    order = [c for c in order if c in df.columns]
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    winner = pick(F.struct(*order, *rest)).alias("_row")
-    picked = df.groupBy(*keys).agg(winner)
-    return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+def _names(columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
+
+
+def _pick_one(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick: str) -> DataFrame:
+    columns = df.columns
+    order = [c for c in order if c in columns]
+    rest = [c for c in columns if c not in keys and c not in order]
+    picked = df.groupBy(*keys).agg(F.expr(f"{pick}(struct({_names([*order, *rest])})) AS _row"))
+    return picked.selectExpr(*[f"`{c}`" if c in keys else f"_row.`{c}` AS `{c}`" for c in columns])
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("_seq",)) -> DataFrame:
     """One row per key: the greatest by ``order``, ties settled by the remaining columns."""
-    return _pick_one(df, keys, order, F.max)
+    return _pick_one(df, keys, order, "max")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("_seq",)) -> DataFrame:
     """One row per key: the least by ``order``, ties settled by the remaining columns."""
-    return _pick_one(df, keys, order, F.min)
+    return _pick_one(df, keys, order, "min")
 
 
 def stack(*frames: DataFrame) -> DataFrame:
@@ -57,19 +61,18 @@ def upsert(
 ) -> DataFrame:
     """Insert-or-update by key; ``keep_from_first`` columns stay as first inserted."""
     both = stack(existing, incoming)
-    order = [c for c in ("_rank", *order) if c in both.columns]
-    kept = [c for c in keep_from_first if c in both.columns]
-    rest = [c for c in both.columns if c not in keys and c not in kept and c not in order]
+    columns = both.columns
+    order = [c for c in ("_rank", *order) if c in columns]
+    kept = [c for c in keep_from_first if c in columns]
+    rest = [c for c in columns if c not in keys and c not in kept and c not in order]
     merged = both.groupBy(*keys).agg(
-        F.max(F.struct(*order, *rest)).alias("_new"),
-        F.min(F.struct(*order, *kept)).alias("_old"),
+        F.expr(f"max(struct({_names([*order, *rest])})) AS _new"),
+        F.expr(f"min(struct({_names([*order, *kept])})) AS _old"),
     )
-    return merged.select(
+    return merged.selectExpr(
         *[
-            F.col(c) if c in keys
-            else F.col(f"_old.{c}").alias(c) if c in kept
-            else F.col(f"_new.{c}").alias(c)
-            for c in both.columns
+            f"`{c}`" if c in keys else f"_old.`{c}` AS `{c}`" if c in kept else f"_new.`{c}` AS `{c}`"
+            for c in columns
             if c != "_rank"
         ]
     )
@@ -80,7 +83,3 @@ def latest_dimension(panel: DataFrame, attributes: Sequence[str]) -> DataFrame:
     present = [a for a in attributes if a in panel.columns]
     newest = panel.groupBy("entity_id").agg(F.max(F.struct("date", *present)).alias("_row"))
     return newest.select("entity_id", *[F.col(f"_row.{a}").alias(a) for a in present])
-
-
-def struct_max(*columns: str | Column) -> Column:
-    return F.max(F.struct(*columns))

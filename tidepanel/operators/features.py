@@ -84,13 +84,15 @@ def demand_rolling_columns(target: str = S.TARGET) -> dict[str, str]:
     }
 
 
-def demand_change_columns() -> dict[str, str]:
-    """Differences of the lag and rolling columns above."""
+def demand_change_columns(target: str = S.TARGET) -> dict[str, str]:
+    """Differences of the lag and rolling columns; equal window expressions are computed once."""
+    lag, mean = demand_lag_columns(target), demand_rolling_columns(target)["demand_7d_mean"]
+    last = lag["demand_lag_1"]
     return {
-        "demand_change_1": "demand_lag_1 - demand_lag_2",
-        "demand_change_3": "demand_lag_1 - demand_lag_3",
-        "demand_momentum_7": "demand_lag_1 - demand_lag_7",
-        "trend_strength_7d": "demand_lag_1 - demand_7d_mean",
+        "demand_change_1": f"{last} - {lag['demand_lag_2']}",
+        "demand_change_3": f"{last} - {lag['demand_lag_3']}",
+        "demand_momentum_7": f"{last} - {lag['demand_lag_7']}",
+        "trend_strength_7d": f"{last} - {mean}",
     }
 
 
@@ -130,7 +132,7 @@ def interaction_columns() -> dict[str, str]:
         "price_x_search": "price_new * search_interest",
         "search_x_sentiment": "search_interest * sentiment_mean",
         "ad_x_search": "ad_index * search_interest",
-        "discount_x_demand_lag_1": "discount_pct * coalesce(demand_lag_1, 0.0D)",
+        "discount_x_demand_lag_1": f"discount_pct * coalesce({_lag(S.TARGET, 1)}, 0.0D)",
         "buzz_x_search": "buzz_score * search_interest",
         "rating_x_reviews": "avg_rating * new_reviews",
     }
@@ -162,8 +164,7 @@ def add_demand_rolling(panel: DataFrame) -> DataFrame:
 
 
 def add_demand_changes(panel: DataFrame) -> DataFrame:
-    ranked = _add(_with_day(panel), {**demand_lag_columns(), **demand_rolling_columns()})
-    return _add(ranked, demand_change_columns()).drop(_DAY)
+    return _add(_with_day(panel), demand_change_columns()).drop(_DAY)
 
 
 def add_signal_rolling(panel: DataFrame) -> DataFrame:
@@ -187,8 +188,7 @@ def add_calendar(panel: DataFrame) -> DataFrame:
 
 
 def add_interactions(panel: DataFrame) -> DataFrame:
-    df = panel if "demand_lag_1" in panel.columns else add_demand_lags(panel)
-    return _add(df, interaction_columns())
+    return _add(_with_day(panel), interaction_columns()).drop(_DAY)
 
 
 def add_lead_target(panel: DataFrame, target: str = S.TARGET, horizon: int = 1) -> DataFrame:
@@ -224,6 +224,9 @@ def encode_event_type(events: DataFrame, kinds: Column | Sequence[str] | None =
     return events.withColumn("event_type_encoded", F.coalesce(code, F.lit(0.0)))
 
 
+_MARKS = ("_panel", "_intensity", "_code", "_flag", "_strength")
+
+
 def _event_marks(events: DataFrame, kinds=None) -> DataFrame:
     coded = encode_event_type(normalize_events(events), kinds)
     return coded.select(
@@ -248,23 +251,17 @@ def _timeline(panel: DataFrame, marks: Sequence[DataFrame], order: Sequence[str]
     mark stay as rows with ``_panel`` false until the day frames have been read.
     """
     carried = [c for c in panel.columns if c not in ("entity_id", "date", *order)]
-    rows = panel.select(
-        "entity_id", "date", F.lit(True).alias("_panel"),
-        F.struct(*[c for c in order if c in panel.columns], *carried).alias("_row"),
-    )
+    packed = ", ".join(f"`{c}`" for c in [*order, *carried])
+    rows = panel.selectExpr("entity_id", "date", "true AS _panel", f"struct({packed}) AS _row")
     for mark in marks:
         rows = rows.unionByName(mark, allowMissingColumns=True)
-    wanted = {
-        "_intensity": F.max, "_code": F.max, "_flag": F.max, "_strength": F.max,
-    }
-    aggs = [f(c).alias(c) for c, f in wanted.items() if c in rows.columns]
+    attached = [c for c in _MARKS if c in rows.columns]
     merged = rows.groupBy("entity_id", "date").agg(
-        F.max("_panel").alias("_panel"), F.max("_row").alias("_row"), *aggs
+        F.max("_row").alias("_row"), *[F.max(c).alias(c) for c in attached]
     )
-    return merged.select(
-        "entity_id", "date", day_number(F.col("date")).alias(_DAY), "_panel",
-        *[F.col(f"_row.{c}").alias(c) for c in carried],
-        *[c for c in wanted if c in rows.columns],
+    return merged.selectExpr(
+        "entity_id", "date", f"unix_date(date) AS {_DAY}",
+        *[f"_row.`{c}` AS `{c}`" for c in carried], *attached,
     )
 
 
@@ -311,7 +308,6 @@ _EVENT_DEFAULTS = {
     "event_intensity_score": 0.0, "event_type_encoded": 0.0,
 }
 _REGIME_DEFAULTS = {"recent_change_point_flag": 0.0, "regime_shift_strength": 0.0, "regime_flag_recent": 0.0}
-_MARKS = ("_panel", "_intensity", "_code", "_flag", "_strength")
 
 
 def _literals(defaults: dict[str, float]) -> dict[str, str]:
@@ -348,24 +344,29 @@ def add_regime_features(panel: DataFrame, regimes: DataFrame | None) -> DataFram
 
 
 def feature_frame(
-    panel: DataFrame, events: DataFrame | None = None, regimes: DataFrame | None = None, kinds=None
+    panel: DataFrame,
+    events: DataFrame | None = None,
+    regimes: DataFrame | None = None,
+    kinds=None,
+    features: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Every feature of every panel row.
+    """Every feature of every panel row, or only those named.
 
     Two exchanges in all: one by (entity, date) that deduplicates and attaches events and
     regimes, one by entity that serves all windows.
     """
     order = [c for c in ("_rank", "_seq") if c in panel.columns]
     line = _enrich(canonical_panel(panel), events, regimes, kinds, order)
-    windows = {
-        **demand_lag_columns(), **demand_rolling_columns(), **signal_rolling_columns(),
-        **signal_lag_columns(), **signal_diff_columns(),
+    computed = {
+        **demand_lag_columns(), **demand_rolling_columns(), **demand_change_columns(),
+        **signal_rolling_columns(), **signal_lag_columns(), **signal_diff_columns(),
+        **health_column(), **interaction_columns(), **calendar_columns(),
     }
     if regimes is not None:
-        windows |= _regime_recency()
-    line = _add(line, windows)
-    line = _add(line, {**demand_change_columns(), **health_column(), **interaction_columns(), **calendar_columns()})
-    return line.drop(_DAY)
+        computed |= _regime_recency()
+    if features is not None:
+        computed = {n: text for n, text in computed.items() if n in features}
+    return _add(line, computed).drop(_DAY)
 
 
 def training_frame(
@@ -378,7 +379,7 @@ def training_frame(
     kinds=None,
 ) -> DataFrame:
     """Keys, model inputs and the target ``horizon`` rows ahead (column ``target``)."""
-    full = add_lead_target(feature_frame(panel, events, regimes, kinds), target, horizon)
+    full = add_lead_target(feature_frame(panel, events, regimes, kinds, features), target, horizon)
     return finalize_features(full, features).select("entity_id", "date", *features, "target")
 
 
@@ -406,16 +407,16 @@ def live_frame(
     kinds=None,
 ) -> DataFrame:
     """Model inputs for every entity seen on the batch's dates, in history or batch."""
-    full = live_feature_frame(history, batch, events, regimes, kinds)
+    full = live_feature_frame(history, batch, events, regimes, kinds, features)
     return finalize_features(full, features).select("entity_id", "date", *features)
 
 
-def live_feature_frame(history, batch, events=None, regimes=None, kinds=None) -> DataFrame:
+def live_feature_frame(history, batch, events=None, regimes=None, kinds=None, features=None) -> DataFrame:
     """History and batch as one panel, all features, limited to the batch's dates."""
     dates = canonical_panel(batch).select("date").distinct()
     reach = trailing_history(normalize_panel(history), dates)
     panel = union_keep_last([reach, normalize_panel(batch)])
-    return feature_frame(panel, events, regimes, kinds).join(dates, "date", "left_semi")
+    return feature_frame(panel, events, regimes, kinds, features).join(dates, "date", "left_semi")
 
 
 def audit_frames(

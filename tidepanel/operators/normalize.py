@@ -4,65 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.functions.columns import (
-    finite_sql, first_present, fold_case, lenient_date, lenient_double, safe_double, safe_sql,
-)
+from tidepanel.functions.columns import finite_sql, fold_case, safe_sql
 from tidepanel.operators.dedup import keep_last
 from tidepanel.sources import schemas as S
 
 
-def _entity_and_date(df: DataFrame, date_names: Sequence[str] = ("date",)) -> tuple[Column, Column]:
-    entity = first_present(df, S.ENTITY_ALIASES)
-    date = first_present(df, date_names)
-    missing = [n for n, c in (("entity_id", entity), ("date", date)) if c is None]
-    if missing:
-        raise ValueError(f"missing required column: {', '.join(missing)}")
-    return entity.cast("string"), lenient_date(date)
+def _keys_sql(df: DataFrame, date_names: Sequence[str] = ("date",)) -> list[str]:
+    """SQL of entity_id and date, coalescing the accepted spellings in listed order."""
+    found = {}
+    for key, spellings in (("entity_id", S.ENTITY_ALIASES), ("date", date_names)):
+        present = [f"`{n}`" for n in spellings if n in df.columns]
+        if not present:
+            raise ValueError(f"missing required column: {key}")
+        found[key] = f"coalesce({', '.join(present)})"
+    return [f"CAST({found['entity_id']} AS STRING) AS entity_id", f"try_cast({found['date']} AS DATE) AS date"]
 
 
 def _order_columns(df: DataFrame) -> list[str]:
     return [c for c in ("_rank", "_seq") if c in df.columns]
 
 
+_KEYED = "date IS NOT NULL AND entity_id IS NOT NULL"
+
+
 def normalize_feed(df: DataFrame) -> DataFrame:
     """A daily feed as the 17 canonical columns; rows without a usable key are dropped."""
-    entity, date = _entity_and_date(df)
+    columns = df.columns
     measures = []
     for name in S.FEED_MEASURES:
-        alias = S.FEED_ALIASES.get(name, name)
-        source = name if name in df.columns else alias if alias in df.columns else None
-        measures.append(F.expr(safe_sql(source, name) if source else f"0.0D AS {name}"))
+        source = next((c for c in (name, S.FEED_ALIASES.get(name)) if c in columns), None)
+        measures.append(safe_sql(source, name) if source else f"0.0D AS {name}")
     texts = [
-        F.expr(f"CAST({n} AS STRING) AS {n}" if n in df.columns else f"'{default}' AS {n}")
+        f"CAST({n} AS STRING) AS {n}" if n in columns else f"'{default}' AS {n}"
         for n, default in S.FEED_TEXT_DEFAULTS.items()
     ]
-    shaped = df.select(
-        date.alias("date"), entity.alias("entity_id"), *measures, *texts, *_order_columns(df)
-    ).filter(F.col("date").isNotNull() & F.col("entity_id").isNotNull())
-    return shaped.select(*S.FEED_COLUMNS, *_order_columns(df))
+    order = _order_columns(df)
+    shaped = df.selectExpr(*_keys_sql(df), *measures, *texts, *order).filter(_KEYED)
+    return shaped.select(*S.FEED_COLUMNS, *order)
 
 
 def canonical_panel(df: DataFrame) -> DataFrame:
     """Panel rows with aliases, casts and defaults applied, duplicates still present."""
-    entity, date = _entity_and_date(df)
+    columns = df.columns
     measures = []
     for name, default in S.PANEL_MEASURE_DEFAULTS.items():
-        alias = S.PANEL_ALIASES.get(name, name)
-        source = name if name in df.columns else alias if alias in df.columns else None
-        measures.append(F.expr(safe_sql(source, name, default) if source else f"{default}D AS {name}"))
+        source = next((c for c in (name, S.PANEL_ALIASES.get(name)) if c in columns), None)
+        measures.append(safe_sql(source, name, default) if source else f"{default}D AS {name}")
     texts = [
-        F.expr(f"coalesce(CAST({n} AS STRING), '{d}') AS {n}" if n in df.columns else f"'{d}' AS {n}")
+        f"coalesce(CAST({n} AS STRING), '{d}') AS {n}" if n in columns else f"'{d}' AS {n}"
         for n, d in S.PANEL_TEXT_DEFAULTS.items()
     ]
     # Demand gaps stay NULL: the windows skip them.
-    target = lenient_double(F.col(S.TARGET)) if S.TARGET in df.columns else F.lit(None).cast("double")
-    extras = [F.col(n) for n in ("brand", "product_name", "category", "price_index") if n in df.columns]
-    return df.select(
-        entity.alias("entity_id"), date.alias("date"), *extras, target.alias(S.TARGET),
-        *measures, *texts, *_order_columns(df),
-    ).filter(F.col("date").isNotNull() & F.col("entity_id").isNotNull())
+    demand = f"try_cast({S.TARGET} AS DOUBLE)" if S.TARGET in columns else "CAST(NULL AS DOUBLE)"
+    extras = [n for n in ("brand", "product_name", "category", "price_index") if n in columns]
+    return df.selectExpr(
+        *_keys_sql(df), *extras, f"nanvl({demand}, NULL) AS {S.TARGET}", *measures, *texts, *_order_columns(df)
+    ).filter(_KEYED)
 
 
 def normalize_panel(df: DataFrame) -> DataFrame:
@@ -74,40 +73,36 @@ def normalize_panel(df: DataFrame) -> DataFrame:
 def normalize_events(df: DataFrame) -> DataFrame:
     """Events with one intensity, one row per (entity, date, type)."""
     try:
-        entity, date = _entity_and_date(df, S.EVENT_DATE_ALIASES)
+        keys = _keys_sql(df, S.EVENT_DATE_ALIASES)
     except ValueError:
         return df.sparkSession.createDataFrame(
             [], "entity_id STRING, date DATE, event_type STRING, event_intensity_score DOUBLE"
         )
-    kind = F.col("event_type").cast("string") if "event_type" in df.columns else F.lit(S.GENERIC_EVENT_TYPE)
+    kind = "CAST(event_type AS STRING)" if "event_type" in df.columns else f"'{S.GENERIC_EVENT_TYPE}'"
     source = next((c for c in S.INTENSITY_COLUMNS if c in df.columns), None)
-    intensity = safe_double(F.col(source), 1.0) if source else F.lit(1.0)
-    shaped = df.select(
-        entity.alias("entity_id"), date.alias("date"), kind.alias("event_type"),
-        intensity.alias("event_intensity_score"), *_order_columns(df),
-    ).filter(F.col("date").isNotNull() & F.col("entity_id").isNotNull())
+    name = "event_intensity_score"
+    intensity = safe_sql(source, name, 1.0) if source else f"1.0D AS {name}"
+    shaped = df.selectExpr(*keys, f"{kind} AS event_type", intensity, *_order_columns(df)).filter(_KEYED)
     return keep_last(shaped, ["entity_id", "date", "event_type"], _order_columns(df)).drop("_rank", "_seq")
 
 
 def normalize_regimes(df: DataFrame) -> DataFrame:
     """Regime change points, one row per (entity, date)."""
     try:
-        entity, date = _entity_and_date(df)
+        keys = _keys_sql(df)
     except ValueError:
         return df.sparkSession.createDataFrame(
             [], "entity_id STRING, date DATE, recent_change_point_flag DOUBLE, regime_shift_strength DOUBLE"
         )
 
-    def first_column(names: Sequence[str]) -> Column:
+    def first_column(names: Sequence[str], name: str) -> str:
         found = next((c for c in names if c in df.columns), None)
-        return safe_double(F.col(found)) if found else F.lit(0.0)
-
-    shaped = df.select(
-        entity.alias("entity_id"), date.alias("date"),
-        first_column(S.CHANGE_FLAG_COLUMNS).alias("recent_change_point_flag"),
-        first_column(S.SHIFT_STRENGTH_COLUMNS).alias("regime_shift_strength"),
-        *_order_columns(df),
-    ).filter(F.col("date").isNotNull() & F.col("entity_id").isNotNull())
+        return safe_sql(found, name) if found else f"0.0D AS {name}"
+
+    shaped = df.selectExpr(
+        *keys, first_column(S.CHANGE_FLAG_COLUMNS, "recent_change_point_flag"),
+        first_column(S.SHIFT_STRENGTH_COLUMNS, "regime_shift_strength"), *_order_columns(df),
+    ).filter(_KEYED)
     return keep_last(shaped, ["entity_id", "date"], _order_columns(df)).drop("_rank", "_seq")
 
 

@@ -64,12 +64,16 @@ def forecast_next_day(
 ) -> DataFrame:
     """Predictions for the day after the batch, with price, signals, event and reasons carried over."""
     if scorer.needs_features:
-        full = live_feature_frame(history, batch, events, regimes, scorer.event_kinds)
-        ready = finalize_features(full, scorer.features)
+        live = live_feature_frame(history, batch, events, regimes, scorer.event_kinds, scorer.features)
     else:
         dates = batch.select("date").distinct()
-        known = union_keep_last([history, batch], ["entity_id", "date"], [])
-        ready = known.join(dates, "date", "left_semi")
+        live = union_keep_last([history, batch], ["entity_id", "date"], []).join(dates, "date", "left_semi")
+    return forecast_rows(live, batch, scorer)
+
+
+def forecast_rows(live: DataFrame, batch: DataFrame, scorer: NaiveScorer | ModelScorer) -> DataFrame:
+    """Forecasts from rows of the batch's dates that already carry the scorer's features."""
+    ready = finalize_features(live, scorer.features) if scorer.needs_features else live
     scored = scorer.predict(ready).select(
         "entity_id", F.date_add("date", 1).alias("target_date"), "pred_demand",
         scorer.explain().alias("shap_explanation"),

@@ -193,14 +193,16 @@ def g11_append_summary(i: Inputs) -> DataFrame:
 
 # ---- the daily cycle over a feed ---------------------------------------------------------------------------
 
-# The last ten dates as a feed, one file per date; every entity reports every day, except that
-# the third file misses one entity and is refused.
+# The last dates as a feed, one file per date, after a history of all dates before; every entity
+# reports every day, except that the third file misses one entity and is refused.
+FEED_DAYS = 6
+_FEED_START = f"(SELECT max(date) - {FEED_DAYS - 1} FROM activity)"
 _FEED_SQL = f"""
 SELECT d.date, n.entity_id, coalesce(a.demand_index, 0.0) AS demand_index, coalesce(a.price_index, 0.0) AS price_index,
   coalesce(a.search_index, 0.0) AS search_index, coalesce(a.sentiment_index, 0.0) AS sentiment_index,
   coalesce(a.ad_index, 0.0) AS ad_index
 FROM (SELECT DISTINCT entity_id FROM activity) AS n
-CROSS JOIN (SELECT DISTINCT date FROM activity WHERE date >= {_LATE} AND date <> {_LATE} + 2) AS d
+CROSS JOIN (SELECT DISTINCT date FROM activity WHERE date >= {_FEED_START} AND date <> {_FEED_START} + 2) AS d
 LEFT JOIN activity AS a ON a.entity_id = n.entity_id AND a.date = d.date"""
 # Tomorrow equals today, where today was ingested.
 _CYCLE_SQL = f"""
@@ -214,21 +216,21 @@ def _deliver(i: Inputs) -> tuple[str, int, DataFrame]:
     """Write the feed one date after another, as deliveries arrive; (folder, entities, history)."""
     panel = i.stored(i.activity, "panel")
     last = panel.agg(F.max("date")).first()[0]
-    first = F.date_sub(F.lit(last), 9)
+    first = F.date_sub(F.lit(last), FEED_DAYS - 1)
     names = panel.select("entity_id", "brand", "category").distinct()
     days = names.withColumn("date", F.explode(F.sequence(first, F.lit(last))))
     measures = panel.filter(F.col("date") >= first).drop("brand", "category")
-    feed = i.stored(days.join(measures, ["entity_id", "date"], "left"), "deliveries")
+    filled = days.join(measures, ["entity_id", "date"], "left")
+    feed = i.stored(
+        filled.selectExpr(*[f"CAST({c if c in filled.columns else 'NULL'} AS {t}) AS {c}" for c, t in S.columns(S.FEED)]), "deliveries"
+    )
     lowest = names.agg(F.min("entity_id")).first()[0]
     folder = i.scratch("feed")
-    for k in range(10):
+    for k in range(FEED_DAYS):
         day = feed.filter(F.col("date") == F.date_add(first, k))
         if k == 2:
             day = day.filter(F.col("entity_id") != lowest)
-        shaped = day.select(*[
-            (F.col(c) if c in day.columns else F.lit(None)).cast(t).alias(c) for c, t in S.columns(S.FEED)
-        ])
-        shaped.coalesce(1).write.mode("append").option("header", True).csv(folder)
+        day.coalesce(1).write.mode("append").option("header", True).csv(folder)
     return folder, names.count(), panel.filter(F.col("date") < first)
 
 

@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepanel.functions.columns import safe_double
+from tidepanel.functions.columns import safe_sql
 from tidepanel.sources import schemas as S
 
 BATCH = "_batch"
@@ -29,25 +30,29 @@ class LogTable:
         self.keys, self.kept, self.order = list(keys), list(keep_from_first), list(order)
         self.zeroed = set(measures_to_zero)
         self._ddl = f"{ddl}, {BATCH} BIGINT"
-        # Creates the folder once; an existing table is left alone.
-        spark.createDataFrame([], self._ddl).write.mode("ignore").partitionBy(BATCH).parquet(path)
 
     def append(self, df: DataFrame, batch: int) -> None:
         """Write the batch's partition; absent columns are NULL, unreadable measures 0."""
-        def shaped(name: str, kind: str):
-            if name not in df.columns:
-                return F.lit(None).cast(kind).alias(name)
-            column = safe_double(F.col(name)) if name in self.zeroed else F.col(name).cast(kind)
-            return column.alias(name)
+        present = set(df.columns)
 
-        rows = df.select(*[shaped(n, k) for n, k in S.columns(self.ddl)], F.lit(batch).cast("bigint").alias(BATCH))
+        def shaped(name: str, kind: str) -> str:
+            if name not in present:
+                return f"CAST(NULL AS {kind}) AS `{name}`"
+            return safe_sql(name, name) if name in self.zeroed else f"CAST(`{name}` AS {kind}) AS `{name}`"
+
+        rows = df.selectExpr(*[shaped(n, k) for n, k in S.columns(self.ddl)], f"{batch}L AS {BATCH}")
         rows.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             BATCH
         ).parquet(self.path)
 
     def log(self, upto: int | None = None, only: int | None = None) -> DataFrame:
         """Raw rows; both limits prune partitions."""
-        rows = self.spark.read.schema(self._ddl).parquet(self.path)
+        try:
+            rows = self.spark.read.schema(self._ddl).parquet(self.path)
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            rows = self.spark.createDataFrame([], self._ddl)  # nothing was written yet
         if upto is not None:
             rows = rows.filter(F.col(BATCH) <= upto)
         if only is not None:
@@ -62,18 +67,17 @@ class LogTable:
         names = S.names(self.ddl)
         rest = [n for n in names if n not in self.keys and n not in self.kept]
         lead = [c for c in self.order if c in rest]
+        newest = ", ".join([BATCH, *lead, *[c for c in rest if c not in lead]])
+        oldest = ", ".join([BATCH, *self.kept])
         folded = rows.groupBy(*self.keys).agg(
-            F.max(F.struct(BATCH, *lead, *[c for c in rest if c not in lead])).alias("_new"),
-            F.min(F.struct(BATCH, *self.kept)).alias("_old"),
+            F.expr(f"max(struct({newest})) AS _new"), F.expr(f"min(struct({oldest})) AS _old")
         )
-        return folded.select(
+        return folded.selectExpr(
             *[
-                F.col(n) if n in self.keys
-                else F.col(f"_old.{n}").alias(n) if n in self.kept
-                else F.col(f"_new.{n}").alias(n)
+                n if n in self.keys else f"_old.{n} AS {n}" if n in self.kept else f"_new.{n} AS {n}"
                 for n in names
             ],
-            F.col(f"_old.{BATCH}").alias("first_seq"),
+            f"_old.{BATCH} AS first_seq",
         )
 
 

@@ -9,20 +9,21 @@ after a failure overwrites itself, and a date at or before the watermark is igno
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date as Date
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidepanel.functions.columns import lenient_double
 from tidepanel.operators.dashboard import daily_summary
-from tidepanel.operators.dedup import keep_last, union_keep_last
+from tidepanel.operators.dedup import keep_last
 from tidepanel.operators.drift import (
     alerts_from_errors, align_forecasts, drift_snapshot, feature_psi, newest,
 )
-from tidepanel.operators.features import FEATURE_LOOKBACK, live_feature_frame
+from tidepanel.operators.features import FEATURE_LOOKBACK, feature_frame
 from tidepanel.operators.normalize import finalize_features, normalize_feed
 from tidepanel.operators.policy import decide, performance_drift, rollback_drift
-from tidepanel.plans.forecast import ModelScorer, NaiveScorer, forecast_next_day
+from tidepanel.plans.forecast import ModelScorer, NaiveScorer, forecast_rows
 from tidepanel.plans.lifecycle import accepted_state, active_model, retrain, rollback_to_stable
 from tidepanel.plans.model import Learner
 from tidepanel.settings import DEFAULTS, Settings
@@ -119,23 +120,28 @@ class DailyCycle:
 
         store.panel.append(rows, key)
         batch = store.panel.log(only=key).drop("_batch")
-        store.actuals.append(batch.withColumn("created_at", F.current_timestamp()), key)
-        store.summary.append(daily_summary(batch), key)
-
-        # A forecast for this date was made on the day before it.
-        made = store.predictions.log(only=key - 1)
-        fva = align_forecasts(batch, made).withColumn("created_at", F.current_timestamp())
-        store.fva.append(fva, key)
-        fresh = store.fva.log(only=key).withColumnRenamed("_batch", "first_seq")
-        held = store.error_window.log(only=previous).drop("_batch")
-        store.error_window.append(newest(held.unionByName(fresh), self.settings.error_window), key)
-        errors = store.error_window.log(only=key).drop("_batch")
-
         tail = store.tail.log(only=previous).drop("_batch")
-        store.tail.append(trailing_rows(union_keep_last([tail, batch], ["date", "entity_id"])), key)
 
-        metrics = self._measure(errors, tail, batch, state, n_rows, key)
-        store.alerts.append(alerts_from_errors(errors, self.settings.alert_window), key)
+        # Independent small jobs: the scheduler runs them side by side.
+        with ThreadPoolExecutor() as pool:
+            jobs = [
+                pool.submit(store.actuals.append, batch.withColumn("created_at", F.current_timestamp()), key),
+                pool.submit(store.summary.append, daily_summary(batch), key),
+                pool.submit(self._keep_tail, tail, batch, key),
+                pool.submit(self._compare, batch, key, previous),
+            ]
+            for job in jobs:
+                job.result()
+            errors = store.error_window.log(only=key).drop("_batch")
+            alerts = pool.submit(
+                store.alerts.append, alerts_from_errors(errors, self.settings.alert_window), key
+            )
+            # Without a learner no decision can change the scorer, so forecasting need not wait.
+            ahead = pool.submit(self._forecast, tail, batch, key) if self.learner is None else None
+            metrics = self._measure(errors, tail, batch, state, n_rows, key)
+            alerts.result()
+            if ahead:
+                ahead.result()
 
         changes = {
             "last_ingested_date": day.isoformat(),
@@ -146,20 +152,45 @@ class DailyCycle:
             "active_model_version": state["active_model_version"] or self.scorer.version,
         }
         changes |= self._act(metrics["action"], key, changes)
-        if self.forecasts:
-            made = forecast_next_day(tail, batch, self.scorer, self.events, self.regimes)
-            store.predictions.append(made, key)
+        if self.learner is not None:
+            self._forecast(tail, batch, key)
         store.set_state(changes, key)
         return {
             "date": day, "status": "ingested", "rows": n_rows, "action": metrics["action"],
             **{m: metrics[m] for m in ("mae", "mape", "rmse", "max_feature_psi", "drift_status")},
         }
 
+    def _keep_tail(self, tail: DataFrame, batch: DataFrame, key: int) -> None:
+        """Each entity's last rows; the batch is newer than all of them."""
+        self.store.tail.append(trailing_rows(tail.unionByName(batch)), key)
+
+    def _compare(self, batch: DataFrame, key: int, previous: int) -> None:
+        """Errors of the date, and the newest errors over all dates."""
+        store = self.store
+        made = store.predictions.log(only=key - 1)  # forecasts for a date are made the day before
+        store.fva.append(align_forecasts(batch, made).withColumn("created_at", F.current_timestamp()), key)
+        fresh = store.fva.log(only=key).withColumnRenamed("_batch", "first_seq")
+        held = store.error_window.log(only=previous).drop("_batch")
+        store.error_window.append(newest(held.unionByName(fresh), self.settings.error_window), key)
+
+    def _forecast(self, tail: DataFrame, batch: DataFrame, key: int) -> None:
+        if self.forecasts:
+            live = self._live(tail, batch, key) if self.scorer.needs_features else batch
+            self.store.predictions.append(forecast_rows(live, batch, self.scorer), key)
+
+    def _live(self, tail: DataFrame, batch: DataFrame, key: int) -> DataFrame:
+        """Features of the date; the tail is all the history they can reach."""
+        scorer = self.scorer
+        frame = feature_frame(
+            tail.unionByName(batch), self.events, self.regimes, scorer.event_kinds, scorer.features
+        )
+        return frame.filter(F.unix_date("date") == key)
+
     def _measure(self, errors, tail, batch, state, n_rows: int, key: int):
         """Drift snapshot and policy decision of the date, as one row."""
         if self.profile is not None:
-            live = live_feature_frame(tail, batch, self.events, self.regimes, self.scorer.event_kinds)
-            psi = feature_psi(finalize_features(live, self.scorer.features), self.profile, self.scorer.features)
+            inputs = self.scorer.features
+            psi = feature_psi(finalize_features(self._live(tail, batch, key), inputs), self.profile, inputs)
         else:
             psi = self.spark.createDataFrame([], "feature STRING, psi DOUBLE")
         baseline = float(state["active_baseline_mae"])
