@@ -22,17 +22,23 @@ def exact_quantiles(
     probs: dict[str, float],
     accuracy: int = SKETCH_ACCURACY,
     bounded_groups: bool = False,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per entry of ``probs``.
 
+    ``also`` names further aggregates of ``value`` (written on the column ``_v``) that ride along
+    in the sketch pass.
+
     ``bounded_groups`` says the number of groups is small by construction (for example one per
     feature column), which lets the bracket table be broadcast to the rows.
     """
     rows = df.select(*group, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
     margin = 3.0 / accuracy
     edges = [e for p in probs.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    extras = {n: c for n, c in (also or {}).items()}
     sketch = rows.groupBy(*group).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e")
+        F.struct(F.count("*").alias("n"), *[c.alias(n) for n, c in extras.items()]).alias("_s"),
+        F.percentile_approx("_v", edges, accuracy).alias("_e"),
     )
     joined = rows.join(F.broadcast(sketch) if bounded_groups else sketch, list(group))
 
@@ -44,10 +50,10 @@ def exact_quantiles(
     opened, closed = passed(0, strict=False), passed(1, strict=True)
     # Both counts grow with the value, so their sum orders gaps and brackets alike.
     placed = joined.select(
-        *group, "_n", "_v", (opened + closed).alias("_zone"),
+        *group, "_s", "_v", (opened + closed).alias("_zone"),
         F.when(opened > closed, F.col("_v")).alias("_inside"),
     )
-    piles = placed.groupBy(*group, "_n", "_zone", "_inside").agg(
+    piles = placed.groupBy(*group, "_s", "_zone", "_inside").agg(
         F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     upward = Window.partitionBy(*group).orderBy("_zone", "_lo")
@@ -63,15 +69,19 @@ def exact_quantiles(
 
     aggs = []
     for name, p in probs.items():
-        place = F.lit(float(p)) * (F.col("_n") - 1)
+        place = F.lit(float(p)) * (F.col("_s.n") - 1)
         aggs += [at(F.floor(place) + 1).alias(f"_{name}_a"), at(F.ceil(place) + 1).alias(f"_{name}_b")]
-    found = piles.groupBy(*group, "_n").agg(*aggs)
+    found = piles.groupBy(*group, "_s").agg(*aggs)
 
     def interpolate(name: str, p: float) -> Column:
         low, high = F.col(f"_{name}_a"), F.col(f"_{name}_b")
-        place = F.lit(float(p)) * (F.col("_n") - 1)
+        place = F.lit(float(p)) * (F.col("_s.n") - 1)
         value_ = low + (high - low) * (place - F.floor(place))
         # A rank outside its bracket would mean a broken sketch: fail rather than guess.
-        return F.when(low.isNull() | high.isNull(), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(value_)
+        missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
+        return F.when(low.isNull() | high.isNull(), missed).otherwise(value_)
 
-    return found.select(*group, *[interpolate(n, p).alias(n) for n, p in probs.items()])
+    return found.select(
+        *group, *[F.col(f"_s.{n}").alias(n) for n in extras],
+        *[interpolate(n, p).alias(n) for n, p in probs.items()],
+    )

@@ -19,9 +19,10 @@ from tidepanel.session import scratch_dir
 from tidepanel.sources import panels, schemas as S
 
 LIVE_DAYS = 10
-# Doubles are compared to six decimals; the nudge keeps exact halves, which two engines may sum
-# to either side of, on one side.
-NUDGE = 1e-9
+# Doubles are compared on a grid of six decimals. Halves, which two engines may sum to either
+# side of, lie a thousandth of a step above the cut.
+GRID = 1e6
+CUT = 0.501
 
 
 class Inputs:
@@ -103,12 +104,15 @@ def _columns(spec: str) -> list[tuple[str, str]]:
     return [tuple(part.split()) for part in re.split(r",\s*", spec.strip())]
 
 
+_GRID_SPARK = "(floor(CAST({c} AS DOUBLE) * " + f"{GRID}D + {CUT}D) / {GRID}D)"
+
+
 def present(df: DataFrame, spec: str) -> DataFrame:
     kinds = {
         "s": "CAST({c} AS STRING)",
         "d": "date_format({c}, 'yyyy-MM-dd')",
         "i": "CAST({c} AS BIGINT)",
-        "f": "(round(CAST({c} AS DOUBLE) + " + f"{NUDGE}D" + ", 6) + 0.0D)",
+        "f": _GRID_SPARK,
     }
     return df.selectExpr(*[kinds[k].format(c=f"`{n}`") + f" AS `{n}`" for n, k in _columns(spec)])
 
@@ -116,11 +120,11 @@ def present(df: DataFrame, spec: str) -> DataFrame:
 def on_grid(df: DataFrame, names: list[str]) -> DataFrame:
     """The named doubles rounded as they are compared."""
     rest = [f"`{c}`" for c in df.columns if c not in names]
-    return df.selectExpr(*rest, *[f"(round(`{n}` + {NUDGE}D, 6) + 0.0D) AS `{n}`" for n in names])
+    return df.selectExpr(*rest, *[_GRID_SPARK.format(c=f"`{n}`") + f" AS `{n}`" for n in names])
 
 
 def grid_sql(expression: str) -> str:
-    return f"(round({expression} + {NUDGE}, 6) + 0.0)"
+    return f"(floor(CAST({expression} AS DOUBLE) * {GRID} + {CUT}) / {GRID})"
 
 
 def present_sql(spec: str, body: str) -> str:
@@ -128,7 +132,7 @@ def present_sql(spec: str, body: str) -> str:
         "s": "CAST({c} AS VARCHAR)",
         "d": "strftime({c}, '%Y-%m-%d')",
         "i": "CAST({c} AS BIGINT)",
-        "f": "(round(CAST({c} AS DOUBLE) + " + str(NUDGE) + ", 6) + 0.0)",
+        "f": grid_sql("{c}"),
     }
     shown = ", ".join(kinds[k].format(c=n) + f" AS {n}" for n, k in _columns(spec))
     return f"SELECT {shown} FROM ({body}) AS q"
