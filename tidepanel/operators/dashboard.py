@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.functions.columns import first_present, fold_case, pct_change, safe_double, scale_100, steady_round, title_case
+from tidepanel.functions.columns import fold_case, pct_change, safe_double, scale_100, steady_round, title_case
 from tidepanel.operators.dedup import latest_dimension
 from tidepanel.operators.normalize import filter_category
 from tidepanel.operators.series import (
@@ -158,8 +158,18 @@ def _radar_of(rows: DataFrame, k: int) -> DataFrame:
 
 def radar(panel: DataFrame, category: str = "all", k: int = RADAR_BRANDS) -> DataFrame:
     """Top brands by composite score on the latest date, with their five scaled means."""
-    rows = on_latest_date(filter_category(panel, category)).withColumn("grp", F.lit(category))
-    return _radar_of(rows, k)
+    rows = on_latest_date(filter_category(panel, category))
+    means = rows.groupBy("brand").agg(*[F.avg(c).alias(m) for m, c in _SCORE_SOURCES.items()])
+    shown = [steady_round(safe_double(F.col(f"{m}_n")), 1).alias(f"{m}_n") for m in SCORE_WEIGHTS]
+    best = (
+        _scored(means).orderBy(F.desc_nulls_last("score"), "brand").limit(k)
+        .select((-F.col("score")).alias("_order"), "brand", *shown)
+    )
+    placed = best.agg(F.array_sort(F.collect_list(F.struct(*best.columns))).alias("_best"))
+    return placed.select(F.posexplode("_best").alias("_i", "_row")).select(
+        F.lit(category).alias("grp"), (F.col("_i") + 1).alias("pos"), "_row.brand",
+        *[f"_row.{m}_n" for m in SCORE_WEIGHTS],
+    )
 
 
 def _own_latest(panel: DataFrame, n_categories: int) -> tuple[DataFrame, DataFrame]:

@@ -206,6 +206,13 @@ def event_types(events: DataFrame) -> Column:
     return events.agg(kinds.alias("kinds")).scalar()
 
 
+def event_vocabulary(events: DataFrame) -> list[str]:
+    """The same list as values, to be stored with a trained model."""
+    return list(events.select("event_type").agg(
+        F.array_sort(F.collect_set(F.col("event_type").cast("string"))).alias("k")
+    ).first()["k"])
+
+
 def event_type_codes(events: DataFrame) -> DataFrame:
     """Each distinct event type with its 1-based rank."""
     kinds = events.agg(F.array_sort(F.collect_set(F.col("event_type").cast("string"))).alias("k"))

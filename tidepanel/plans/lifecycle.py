@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.operators.features import event_types, training_frame
+from tidepanel.operators.features import event_vocabulary, training_frame
 from tidepanel.operators.normalize import normalize_events
 from tidepanel.operators.policy import acceptance, rollback
 from tidepanel.plans.model import Learner, TrainedModel, load, train
@@ -50,11 +50,8 @@ def retrain(
 ) -> dict:
     """One candidate through training and the champion gate; registry, job and result are recorded."""
     version = version or f"gbt_demand_{datetime.now(timezone.utc):%Y%m%d_%H%M%S}"
-    kinds: list[str] = []
-    if events is not None:
-        kinds = list(normalize_events(events).select(event_types(normalize_events(events)).alias("k")).limit(1).first()["k"]) \
-            if not events.isEmpty() else []
-    frame = training_frame(history, events, regimes, features, kinds=kinds if events is not None else None)
+    kinds = event_vocabulary(normalize_events(events)) if events is not None else []
+    frame = training_frame(history, events, regimes, features, kinds=kinds or None)
     path = f"{store.root}/models/{version}"
     model, code = train(frame, features, version, path, learner, settings, kinds)
     if model is None:

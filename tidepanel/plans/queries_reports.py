@@ -242,7 +242,7 @@ def _weekly_by_category(panel: str, value: str, top: str) -> str:
     _weekly_by_category("retail", "demand_index", _RETAIL_TOP),
 )
 def e10_weekly_by_category(i: Inputs) -> DataFrame:
-    return series.weekly_series_by_category(i.retail, "demand_index", 12)
+    return series.weekly_series_by_category(i.retail_table, "demand_index", 12)
 
 
 _LABELLED = "SELECT e.*, a.category FROM errors AS e JOIN activity AS a ON a.entity_id = e.entity_id AND a.date = e.date"
@@ -299,7 +299,7 @@ _CHANGE = "CASE WHEN {p} IS NULL OR abs({p}) < 1e-9 THEN 0.0 ELSE round(({c} - {
       (SELECT count(*) FROM retail WHERE event_type = 'promotion') AS total_alerts FROM m""",
 )
 def e13_kpis(i: Inputs) -> DataFrame:
-    return D.kpis(i.retail, i.retail.filter("event_type = 'promotion'"))
+    return D.kpis(i.retail_table, i.retail_table.filter("event_type = 'promotion'"))
 
 
 @query(
@@ -322,7 +322,7 @@ def e14_kpis_by_category(i: Inputs) -> DataFrame:
       PARTITION BY grp ORDER BY y DESC, brand) AS pos FROM means) AS q WHERE pos <= 14""",
 )
 def e15_scatter(i: Inputs) -> DataFrame:
-    return D.scatter(i.retail)
+    return D.scatter(i.retail_table)
 
 
 def _scale(c: str, over: str) -> str:
@@ -366,12 +366,12 @@ _OWN_LATEST = f"""SELECT r.*, r.category AS grp FROM retail AS r JOIN (SELECT ca
     _radar_sql("SELECT *, 'all' AS grp FROM retail WHERE date = (SELECT max(date) FROM retail)"),
 )
 def e17_radar(i: Inputs) -> DataFrame:
-    return D.radar(i.retail)
+    return D.radar(i.retail_table)
 
 
 @query("e17_radar_by_category", _RADAR_SPEC, _radar_sql(_OWN_LATEST))
 def e17_radar_by_category(i: Inputs) -> DataFrame:
-    return D.radar_by_category(i.retail)
+    return D.radar_by_category(i.retail_table)
 
 
 @query(
@@ -384,7 +384,7 @@ def e17_radar_by_category(i: Inputs) -> DataFrame:
       ORDER BY period DESC) AS n FROM daily) AS y WHERE n <= 13""",
 )
 def e18_trends(i: Inputs) -> DataFrame:
-    return D.trends(i.retail)
+    return D.trends(i.retail_table)
 
 
 def _competitor_score() -> str:
@@ -412,7 +412,7 @@ def _competitor_score() -> str:
       round(p.s * 100.0, 1) AS past_sent FROM top AS t JOIN past AS p ON p.entity_id = t.entity_id""",
 )
 def e19_competitors(i: Inputs) -> DataFrame:
-    rows = D.competitors(i.retail)
+    rows = D.competitors(i.retail_table)
     points = F.posexplode(F.arrays_zip("price_history", "sent_history")).alias("pos", "past")
     return rows.select("*", points).select(
         "*", F.col("past.price_history").alias("past_price"), F.col("past.sent_history").alias("past_sent")
@@ -448,7 +448,7 @@ def e20_next_days(i: Inputs) -> DataFrame:
       (SELECT count(DISTINCT entity_id) FROM retail) AS total_entities, 0 AS total_alerts FROM cats""",
 )
 def e21_report(i: Inputs) -> DataFrame:
-    return D.report(i.retail, spotlight="large")
+    return D.report(i.retail_table, spotlight="large")
 
 
 @query(
@@ -458,7 +458,7 @@ def e21_report(i: Inputs) -> DataFrame:
       GROUP BY date ORDER BY date DESC LIMIT 56""",
 )
 def e22_buzz(i: Inputs) -> DataFrame:
-    return D.buzz(i.retail)
+    return D.buzz(i.retail_table)
 
 
 @query(

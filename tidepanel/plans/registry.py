@@ -47,6 +47,11 @@ class Inputs:
     def retail(self) -> DataFrame:
         return panels.retail_panel(self.spark, self.folder)
 
+    @cached_property
+    def retail_table(self) -> DataFrame:
+        """The retail panel as a written table, for reports that scan it several times."""
+        return self.stored(self.retail, "retail-panel")
+
     @cached_property
     def activity(self) -> DataFrame:
         return panels.activity_panel(self.spark, self.folder)
