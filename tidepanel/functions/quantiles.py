@@ -35,11 +35,13 @@ def exact_quantiles(
     rows = df.select(*group, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
     margin = 3.0 / accuracy
     edges = [e for p in probs.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    extras = {n: c for n, c in (also or {}).items()}
+    extras = also or {}
     sketch = rows.groupBy(*group).agg(
-        F.struct(F.count("*").alias("n"), *[c.alias(n) for n, c in extras.items()]).alias("_s"),
-        F.percentile_approx("_v", edges, accuracy).alias("_e"),
+        F.count("*").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e"),
+        *[c.alias(f"_x_{n}") for n, c in extras.items()],
     )
+    # One value per group: carried as plain numbers, so the aggregations below stay hashed.
+    constant = ["_n", *[f"_x_{n}" for n in extras]]
     joined = rows.join(F.broadcast(sketch) if bounded_groups else sketch, list(group))
 
     def passed(offset: int, strict: bool) -> Column:
@@ -50,11 +52,12 @@ def exact_quantiles(
     opened, closed = passed(0, strict=False), passed(1, strict=True)
     # Both counts grow with the value, so their sum orders gaps and brackets alike.
     placed = joined.select(
-        *group, "_s", "_v", (opened + closed).alias("_zone"),
+        *group, *constant, "_v", (opened + closed).alias("_zone"),
         F.when(opened > closed, F.col("_v")).alias("_inside"),
     )
-    piles = placed.groupBy(*group, "_s", "_zone", "_inside").agg(
-        F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    piles = placed.groupBy(*group, "_zone", "_inside").agg(
+        F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+        *[F.any_value(c).alias(c) for c in constant],
     )
     upward = Window.partitionBy(*group).orderBy("_zone", "_lo")
     piles = piles.withColumn(
@@ -69,19 +72,19 @@ def exact_quantiles(
 
     aggs = []
     for name, p in probs.items():
-        place = F.lit(float(p)) * (F.col("_s.n") - 1)
+        place = F.lit(float(p)) * (F.col("_n") - 1)
         aggs += [at(F.floor(place) + 1).alias(f"_{name}_a"), at(F.ceil(place) + 1).alias(f"_{name}_b")]
-    found = piles.groupBy(*group, "_s").agg(*aggs)
+    found = piles.groupBy(*group).agg(*aggs, *[F.any_value(c).alias(c) for c in constant])
 
     def interpolate(name: str, p: float) -> Column:
         low, high = F.col(f"_{name}_a"), F.col(f"_{name}_b")
-        place = F.lit(float(p)) * (F.col("_s.n") - 1)
+        place = F.lit(float(p)) * (F.col("_n") - 1)
         value_ = low + (high - low) * (place - F.floor(place))
         # A rank outside its bracket would mean a broken sketch: fail rather than guess.
         missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
         return F.when(low.isNull() | high.isNull(), missed).otherwise(value_)
 
     return found.select(
-        *group, *[F.col(f"_s.{n}").alias(n) for n in extras],
+        *group, *[F.col(f"_x_{n}").alias(n) for n in extras],
         *[interpolate(n, p).alias(n) for n, p in probs.items()],
     )

@@ -164,16 +164,19 @@ def feature_psi(
     Cells are binned where they are read and counted with map-side combine; the profile has one
     row per feature column, which bounds the broadcast.
     """
-    cells = long_form(live, features, segment)
-    placed = cells.join(F.broadcast(bin_edges(profile, method)), "feature").withColumn(
+    edges = F.broadcast(bin_edges(profile, method))
+    placed = long_form(live, features, segment).join(edges, "feature").withColumn(
         "_bin", _bin_index(F.col("value"), F.col("edges"))
     )
     counted = placed.groupBy(*segment, "feature").agg(
-        F.any_value("edges").alias("edges"), F.any_value("expected").alias("expected"),
-        F.array(*[F.count_if(F.col("_bin") == i) for i in range(len(QUANTILE_SHARES))]).alias("hits"),
+        *[F.count_if(F.col("_bin") == k).alias(f"_h{k}") for k in range(MAX_EDGES - 1)],
         F.count("value").alias("n_values"),
     )
-    return counted.select(*segment, "feature", _psi_of("hits", "edges", "expected", "n_values").alias("psi"))
+    # The edges join again rather than ride through the aggregation, which keeps it hashed.
+    ready = counted.join(edges, "feature").withColumn(
+        "hits", F.array(*[F.col(f"_h{k}") for k in range(MAX_EDGES - 1)])
+    )
+    return ready.select(*segment, "feature", _psi_of("hits", "edges", "expected", "n_values").alias("psi"))
 
 
 def _psi_of(hits: str, edges: str, expected: str, n_values: str) -> Column:
