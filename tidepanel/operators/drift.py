@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,6 +15,7 @@ from tidepanel.settings import DEFAULTS, Settings
 QUANTILE_SHARES = (0.10, 0.40, 0.40, 0.10)
 MEAN_STD_SHARES = (0.16, 0.34, 0.34, 0.16)
 MAX_EDGES = 5
+UNPIVOT_COLUMNS = 16
 SHARE_FLOOR = 1e-6
 ACTUAL_FLOOR = 1e-6
 INSERTION_ORDER = ("first_seq", "entity_id", "model_version")
@@ -90,8 +92,17 @@ def regression_scores(scored: DataFrame, group: Sequence[str] = ()) -> DataFrame
 
 
 def long_form(frame: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    wide = frame.select(*keys, *[F.col(f).cast("double").alias(f) for f in features])
-    return wide.unpivot(list(keys), list(features), "feature", "value")
+    """(feature, value) rows.
+
+    Wide frames are unpivoted a few columns at a time: one pass over 88 columns generates a method
+    too long for the JVM to compile, and each part reads only its own columns of a stored frame.
+    """
+    parts = []
+    for start in range(0, len(features), UNPIVOT_COLUMNS):
+        names = list(features[start:start + UNPIVOT_COLUMNS])
+        texts = [f"CAST(`{n}` AS DOUBLE) AS `{n}`" for n in names]
+        parts.append(frame.selectExpr(*keys, *texts).unpivot(list(keys), names, "feature", "value"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def baseline_profile(frame: DataFrame, features: Sequence[str]) -> DataFrame:
