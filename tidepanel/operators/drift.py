@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepanel.functions.columns import lenient_double
+from tidepanel.functions.columns import lenient_double, severity
 from tidepanel.functions.quantiles import exact_quantiles
+from tidepanel.operators.dedup import keep_first
 from tidepanel.settings import DEFAULTS, Settings
 
 # Expected share of each bin, and the floor that keeps the logarithm finite.
@@ -255,9 +256,6 @@ def alerts_from_errors(fva: DataFrame, limit: int = DEFAULTS.alert_window) -> Da
 
     Among versions that missed on the same day the earliest inserted one speaks.
     """
-    from tidepanel.functions.columns import severity
-    from tidepanel.operators.dedup import keep_first
-
     recent = newest(fva, limit).withColumn("severity", severity(F.col("abs_demand_error")))
     loud = recent.filter(F.col("severity").isin("high", "medium")).select(
         "date", "entity_id", "first_seq", "model_version", "abs_demand_error", "severity", "event_type",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.functions.columns import lenient_date, lenient_double
+from tidepanel.functions.columns import lenient_date, lenient_double, safe_double
 from tidepanel.operators import dedup, features as X, normalize as N
+from tidepanel.operators.drift import baseline_profile
 from tidepanel.operators.series import latest_two_dates
 from tidepanel.plans.registry import Inputs, query
-from tidepanel.plans.shared_sql import SIX, row_features, proximity_sql
+from tidepanel.plans.shared_sql import SIX, row_features
 from tidepanel.sources import files, schemas as S, state
 
 _ROW = row_features()
@@ -47,8 +48,6 @@ _RAW = ["demand_index", "price_index", "search_index", "ad_index", "sentiment_in
     "GROUP BY feature",
 )
 def a2_contract_scan(i: Inputs) -> DataFrame:
-    from tidepanel.operators.drift import baseline_profile
-
     path = i.scratch("profile-json")
     files.profile_document(baseline_profile(i.activity, _RAW)).coalesce(1).write.text(path)
     return files.scan_profile_json(i.spark, path)
@@ -194,8 +193,6 @@ def b7_lenient_cast(i: Inputs) -> DataFrame:
         F.when(kind == "view", "bad").when(kind == "click", "NaN").otherwise(F.col("value").cast("string")).alias("v"),
         F.when(kind == "error", "yesterday").otherwise(F.col("ts").cast("string")).alias("d"),
     )
-    from tidepanel.functions.columns import safe_double
-
     return dirty.groupBy("event_type").agg(
         F.count("*").alias("n_rows"),
         F.count(lenient_double(F.col("v"))).alias("n_number"),
@@ -374,12 +371,6 @@ def _live_batch(i: Inputs) -> DataFrame:
     return i.activity.filter(F.col("date") == last).withColumn("demand_index", F.col("demand_index") + 1)
 
 
-_LIVE_TABLES = {
-    "corrected": "SELECT * REPLACE (demand_index + CASE WHEN date = (SELECT max(date) FROM activity) THEN 1 "
-    "ELSE 0 END AS demand_index) FROM activity",
-}
-
-
 @query(
     "c17_live_frame", _spec(_ALL),
     # Today's demand is in no feature: every demand feature ends at the previous row.

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidepanel.operators import drift, features
 from tidepanel.operators.series import latest_date
 from tidepanel.session import scratch_dir
-from tidepanel.sources import panels, schemas as S
+from tidepanel.sources import panels
 
 LIVE_DAYS = 10
 # Doubles are compared on a grid of six decimals. Halves, which two engines may sum to either

@@ -14,8 +14,8 @@ from tidepanel.sources import schemas as S
 def scan_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """CSV with a header, cast leniently to the declared columns.
 
-    Columns are matched by header name, absent ones are NULL and undeclared ones stay as text;
-    a path that does not exist is an empty table.
+    Columns are matched by the header, which the files of a folder share; absent ones are NULL and
+    undeclared ones stay as text. A path that does not exist is an empty table.
     """
     declared = dict(S.columns(ddl))
     try:
