@@ -48,7 +48,7 @@ def streamed(spark):
     cycle = DailyCycle(store, THREE)
     cycle.seed(_frame(spark, [r for k in range(-5, 0) for r in _day(k)]))
     checkpoint = scratch_dir(spark, "checkpoint")
-    return cycle, store, folder, checkpoint, cycle.run_stream(folder, checkpoint)
+    return cycle, store, folder, checkpoint, cycle.run_stream(folder, checkpoint, 1)
 
 
 def test_gates(streamed):
@@ -74,8 +74,8 @@ def test_comparisons_and_forecasts(streamed):
 def test_nothing_twice_after_restart(streamed, spark):
     cycle, store, folder, checkpoint, _ = streamed
     before = _fva(store)
-    assert cycle.run_stream(folder, checkpoint) == []  # the checkpoint knows the files
-    again = DailyCycle(store, THREE).run_stream(folder, scratch_dir(spark, "checkpoint"))
+    assert cycle.run_stream(folder, checkpoint, 1) == []  # the checkpoint knows the files
+    again = DailyCycle(store, THREE).run_stream(folder, scratch_dir(spark, "checkpoint"), 1)
     assert {r["status"] for r in again} == {"late", "incomplete"}  # the watermark knows the dates
     assert _fva(store) == before and store.summary.current().count() == 4
 
@@ -104,7 +104,7 @@ def test_batch_form_equals_stream(streamed, spark):
 def test_streaming_summary_equals_batch(spark):
     folder = _write_feed(spark, [_day(k) for k in range(4)])
     query = (
-        stream_daily_summary(stream_feed(spark, folder)).writeStream.format("memory").queryName("daily")
+        stream_daily_summary(stream_feed(spark, folder, 1)).writeStream.format("memory").queryName("daily")
         .outputMode("append").trigger(availableNow=True)
         .option("checkpointLocation", scratch_dir(spark, "checkpoint")).start()
     )

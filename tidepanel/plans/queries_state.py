@@ -193,8 +193,8 @@ def g11_append_summary(i: Inputs) -> DataFrame:
 
 # ---- the daily cycle over a feed ---------------------------------------------------------------------------
 
-# The last dates as a feed, one file per date, after a history of all dates before; every entity
-# reports every day, except that the third file misses one entity and is refused.
+# The last dates as a feed, one delivery per date, after a history of all dates before; every
+# entity reports every day, except that the third delivery misses one entity and is refused.
 FEED_DAYS = 6
 _FEED_START = f"(SELECT max(date) - {FEED_DAYS - 1} FROM activity)"
 _FEED_SQL = f"""
@@ -212,26 +212,35 @@ SELECT t.date, t.entity_id, y.demand_index AS pred_demand, t.demand_index AS act
 FROM ({_FEED_SQL}) AS t JOIN ({_FEED_SQL}) AS y ON y.entity_id = t.entity_id AND y.date = t.date - 1"""
 
 
-def _deliver(i: Inputs) -> tuple[str, int, DataFrame]:
-    """Write the feed one date after another, as deliveries arrive; (folder, entities, history)."""
+def _feed(i: Inputs) -> tuple[DataFrame, int, DataFrame]:
+    """(deliveries, number of entities, history before them)."""
     panel = i.stored(i.activity, "panel")
-    last = panel.agg(F.max("date")).first()[0]
-    first = F.date_sub(F.lit(last), FEED_DAYS - 1)
+    first = F.date_sub(panel.agg(F.max("date")).scalar(), FEED_DAYS - 1)
     names = panel.select("entity_id", "brand", "category").distinct()
-    days = names.withColumn("date", F.explode(F.sequence(first, F.lit(last))))
+    days = names.withColumn("_first", first).select(
+        "entity_id", "brand", "category",
+        F.explode(F.sequence(F.col("_first"), F.date_add("_first", FEED_DAYS - 1))).alias("date"),
+    )
     measures = panel.filter(F.col("date") >= first).drop("brand", "category")
     filled = days.join(measures, ["entity_id", "date"], "left")
-    feed = i.stored(
-        filled.selectExpr(*[f"CAST({c if c in filled.columns else 'NULL'} AS {t}) AS {c}" for c, t in S.columns(S.FEED)]), "deliveries"
-    )
-    lowest = names.agg(F.min("entity_id")).first()[0]
-    folder = i.scratch("feed")
-    for k in range(FEED_DAYS):
-        day = feed.filter(F.col("date") == F.date_add(first, k))
+    feed = filled.selectExpr(*[
+        f"CAST({c if c in filled.columns else 'NULL'} AS {t}) AS {c}" for c, t in S.columns(S.FEED)
+    ])
+    return i.stored(feed, "deliveries"), names.count(), panel.filter(F.col("date") < first)
+
+
+def _run_daily(i: Inputs, cycle: C.DailyCycle, feed: DataFrame, history: DataFrame) -> None:
+    """Deliver one date after another into the feed folder and run the stream after each."""
+    cycle.seed(history)
+    folder, checkpoint = i.scratch("feed"), i.scratch("checkpoint")
+    lowest = feed.agg(F.min("entity_id")).scalar()
+    dates = [r["date"] for r in feed.select("date").distinct().orderBy("date").collect()]
+    for k, date in enumerate(dates):
+        day = feed.filter(F.col("date") == F.lit(date))
         if k == 2:
             day = day.filter(F.col("entity_id") != lowest)
-        day.coalesce(1).write.mode("append").option("header", True).csv(folder)
-    return folder, names.count(), panel.filter(F.col("date") < first)
+        day.write.mode("append").option("header", True).csv(folder)
+        cycle.run_stream(folder, checkpoint)
 
 
 @query(
@@ -240,12 +249,10 @@ def _deliver(i: Inputs) -> tuple[str, int, DataFrame]:
     _CYCLE_SQL,
 )
 def g12_ingest_step(i: Inputs) -> DataFrame:
-    """Forecasts against actuals after the stream has consumed the feed, file by file."""
-    folder, entities, history = _deliver(i)
+    """Forecasts against actuals after the stream has consumed the feed, date by date."""
+    feed, entities, history = _feed(i)
     store = StateStore(i.spark, i.scratch("state"))
-    cycle = C.DailyCycle(store, replace(DEFAULTS, expected_entities=entities))
-    cycle.seed(history)
-    cycle.run_stream(folder, i.scratch("checkpoint"))
+    _run_daily(i, C.DailyCycle(store, replace(DEFAULTS, expected_entities=entities)), feed, history)
     return store.fva.current()
 
 
@@ -257,7 +264,7 @@ def g12_ingest_step(i: Inputs) -> DataFrame:
 )
 def g13_run_cycle(i: Inputs) -> DataFrame:
     """Error metrics of every cycle, with feature drift against the history's profile and the policy on."""
-    folder, entities, history = _deliver(i)
+    feed, entities, history = _feed(i)
     store = StateStore(i.spark, i.scratch("state"))
     names = ["demand_lag_1", "demand_7d_mean", "search_7d_avg", "price_7d_avg", "sentiment_7d_avg"]
     base = i.stored(finalize_features(X.feature_frame(history), names), "history-features")
@@ -267,8 +274,7 @@ def g13_run_cycle(i: Inputs) -> DataFrame:
         store, replace(DEFAULTS, expected_entities=entities), scorer,
         profile=i.stored(drift.baseline_profile(base, names), "profile"),
     )
-    cycle.seed(history)
-    cycle.run_stream(folder, i.scratch("checkpoint"))
+    _run_daily(i, cycle, feed, history)
     return store.drift.current().withColumn("date", F.date_from_unix_date(F.col("first_seq").cast("int")))
 
 

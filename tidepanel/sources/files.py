@@ -65,12 +65,14 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return keep_last(normalize_feed(scan_csv(spark, path, S.FEED)), ["date", "entity_id"])
 
 
-def stream_feed(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """The feed folder as a stream, one file per micro-batch, in order of arrival."""
-    return (
-        spark.readStream.schema(S.FEED).option("header", True)
-        .option("maxFilesPerTrigger", files_per_batch).csv(path)
-    )
+def stream_feed(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """The feed folder as a stream. A micro-batch takes every file that waits, so a large date may
+    arrive as many files; where a date is one file, ``files_per_batch=1`` takes them one by one.
+    """
+    reader = spark.readStream.schema(S.FEED).option("header", True)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.csv(path)
 
 
 def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

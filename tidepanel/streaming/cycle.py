@@ -96,7 +96,7 @@ class DailyCycle:
     def process(self, batch: DataFrame, _batch_id: int | None = None) -> list[dict]:
         """``foreachBatch`` target: the dates of the micro-batch, oldest first."""
         feed = keep_last(normalize_feed(batch), ["date", "entity_id"])
-        # One file is one date, so this is as short as the trigger's file count.
+        # One row per date that waits, usually one.
         days = completeness(feed, self.settings.expected_entities).orderBy("date").collect()
         return [self.step(feed.filter(F.col("date") == F.lit(d["date"])), d["date"], d) for d in days]
 
@@ -247,15 +247,15 @@ class DailyCycle:
 
     # ---- entry points --------------------------------------------------------------------------
 
-    def run_stream(self, feed_path: str, checkpoint: str) -> list[dict]:
-        """Consume every waiting feed file, one per micro-batch, then stop."""
+    def run_stream(self, feed_path: str, checkpoint: str, files_per_batch: int | None = None) -> list[dict]:
+        """Consume every waiting feed file, then stop; run it after each delivery."""
         results: list[dict] = []
 
         def handle(batch: DataFrame, batch_id: int) -> None:
             results.extend(self.process(batch, batch_id))
 
         query = (
-            stream_feed(self.spark, feed_path).writeStream.foreachBatch(handle)
+            stream_feed(self.spark, feed_path, files_per_batch).writeStream.foreachBatch(handle)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         )
         query.awaitTermination()
