@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidepanel.llm.decontaminate import contamination
+from tidepanel.llm.html_text import extract_text
+from tidepanel.llm.language import held_out, identify, learn
 from tidepanel.llm.near_dedup import near_duplicates
 from tidepanel.llm.substring_dedup import repeated_windows_removed
 
@@ -16,9 +19,27 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(_table(spark, folder, "pages"))
+
+
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").where("doc_id is not null")
+    model = learn(docs.where(~held_out()), "text", "lang")
+    found = identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_windows_removed(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_minhash_near_dedup, op2_html_extraction, op5_language_id, op6_benchmark_decontamination, op9_substring_dedup)}
 SQL: dict[str, str] = {}
