@@ -9,6 +9,7 @@ from tidepanel.llm.html_text import extract_text
 from tidepanel.llm.language import held_out, identify, learn
 from tidepanel.llm.near_dedup import near_duplicates
 from tidepanel.llm.substring_dedup import repeated_windows_removed
+from tidepanel.llm.token_files import token_files_round_trip
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract_text(_table(spark, folder, "pages"))
 
 
+def op4_repair_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files_round_trip(_table(spark, folder, "documents"))
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").where("doc_id is not null")
     model = learn(docs.where(~held_out()), "text", "lang")
@@ -41,5 +46,5 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op2_html_extraction, op5_language_id, op6_benchmark_decontamination, op9_substring_dedup)}
+    op1_minhash_near_dedup, op2_html_extraction, op4_repair_token_files, op5_language_id, op6_benchmark_decontamination, op9_substring_dedup)}
 SQL: dict[str, str] = {}
