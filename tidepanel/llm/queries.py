@@ -8,6 +8,7 @@ from tidepanel.llm.decontaminate import contamination
 from tidepanel.llm.html_text import extract_text
 from tidepanel.llm.language import held_out, identify, learn
 from tidepanel.llm.near_dedup import near_duplicates
+from tidepanel.llm.neighbours import nearest_neighbours
 from tidepanel.llm.substring_dedup import repeated_windows_removed
 from tidepanel.llm.token_files import token_files_round_trip
 
@@ -45,6 +46,11 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_windows_removed(_table(spark, folder, "documents"))
 
 
+def op10_hnsw_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op2_html_extraction, op4_repair_token_files, op5_language_id, op6_benchmark_decontamination, op9_substring_dedup)}
+    op1_minhash_near_dedup, op2_html_extraction, op4_repair_token_files, op5_language_id, op6_benchmark_decontamination, op9_substring_dedup,
+    op10_hnsw_neighbours)}
 SQL: dict[str, str] = {}
