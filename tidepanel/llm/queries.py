@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidepanel.llm.decontaminate import contamination
 from tidepanel.llm.html_text import extract_text
 from tidepanel.llm.language import held_out, identify, learn
+from tidepanel.llm.licenses import license_scan
 from tidepanel.llm.near_dedup import near_duplicates
 from tidepanel.llm.neighbours import nearest_neighbours
+from tidepanel.llm.packing import pack
 from tidepanel.llm.substring_dedup import repeated_windows_removed
 from tidepanel.llm.token_files import token_files_round_trip
 
@@ -25,6 +27,10 @@ def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract_text(_table(spark, folder, "pages"))
 
 
+def op3_length_bucket_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_table(spark, folder, "documents"))
+
+
 def op4_repair_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files_round_trip(_table(spark, folder, "documents"))
 
@@ -42,6 +48,10 @@ def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(_table(spark, folder, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_windows_removed(_table(spark, folder, "documents"))
 
@@ -51,6 +61,6 @@ def op10_hnsw_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op2_html_extraction, op4_repair_token_files, op5_language_id, op6_benchmark_decontamination, op9_substring_dedup,
-    op10_hnsw_neighbours)}
+    op1_minhash_near_dedup, op2_html_extraction, op3_length_bucket_packing, op4_repair_token_files, op5_language_id,
+    op6_benchmark_decontamination, op7_license_scan, op9_substring_dedup, op10_hnsw_neighbours)}
 SQL: dict[str, str] = {}
