@@ -11,6 +11,7 @@ from tidepanel.llm.licenses import license_scan
 from tidepanel.llm.near_dedup import near_duplicates
 from tidepanel.llm.neighbours import nearest_neighbours
 from tidepanel.llm.packing import pack
+from tidepanel.llm.pii import replace_personal_data
 from tidepanel.llm.substring_dedup import repeated_windows_removed
 from tidepanel.llm.token_files import token_files_round_trip
 
@@ -52,6 +53,12 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan(_table(spark, folder, "documents"))
 
 
+def op8_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    found = replace_personal_data(_table(spark, folder, "documents"), keep=["doc_id"])
+    return found.select("doc_id", F.size("entities").cast("long").alias("n_entities"),
+                        F.expr("array_sort(array_distinct(transform(entities, e -> e.kind)))").alias("kinds"), "text")
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_windows_removed(_table(spark, folder, "documents"))
 
@@ -62,5 +69,5 @@ def op10_hnsw_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_html_extraction, op3_length_bucket_packing, op4_repair_token_files, op5_language_id,
-    op6_benchmark_decontamination, op7_license_scan, op9_substring_dedup, op10_hnsw_neighbours)}
+    op6_benchmark_decontamination, op7_license_scan, op8_pii_surrogates, op9_substring_dedup, op10_hnsw_neighbours)}
 SQL: dict[str, str] = {}
