@@ -47,7 +47,7 @@ _DIGITS, _HEX = "0123456789", "0123456789abcdef"
 
 _SECRETS = [f(w) for w in ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "access-key")
             for f in (str.lower, str.upper, str.capitalize)]
-_NAME = r"[A-ZÀ-ÖØ-ÞŁŚŠŽČĆĐА-ЯЁΑ-Ώ][^\W\d_]*(?:[-'’][^\W\d_]+)*"
+_NAME = r"[A-ZÀ-ÖØ-ÞŁŚŠŽČĆĐА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 
 
 def _any(names) -> str:
