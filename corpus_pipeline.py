@@ -17,6 +17,12 @@ from tidepanel.llm.pii import replace_personal_data
 from tidepanel.llm.storage import Scratch
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """The documents with columns named by place, so that none clashes with an operator's; all but the text; the names."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [n for c, n in names.items() if c != "text"], names
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language (not null, with a letter), labelled with it."""
     if not docs.head(1):
@@ -24,9 +30,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learn(docs.where(F.coalesce(~held_out(), F.lit(True))), "text", "lang")
     if not model.languages:  # no labels to learn from: only texts without a letter can be told
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    rest = [c for c in docs.columns if c != "text"]
-    found = identify(docs, model, keep=rest).where(F.col("lang_pred") != UNDETERMINED)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    numbered, rest, names = _numbered(docs)
+    found = identify(numbered, model, names["text"], keep=rest).where(F.col("lang_pred") != UNDETERMINED)
+    taken = names | {"text": "text", "lang": "lang_pred"}
+    return found.select(*[F.col(taken[c]).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +51,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data and their length counted again."""
-    found = replace_personal_data(docs, keep=[c for c in docs.columns if c != "text"])
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    numbered, rest, names = _numbered(docs)
+    found = replace_personal_data(numbered, names["text"], keep=rest)
+    taken = {c: F.col(n) for c, n in names.items()} | {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return found.select(*[taken[c].alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
