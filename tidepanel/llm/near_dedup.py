@@ -22,7 +22,7 @@ from tidepanel.llm.words import CHUNK_BYTES, LOWER, chunks, mix, signed, window_
 
 WORDS = 5
 PERCENT = 75
-ROWS = 3
+ROWS = 4
 MISS = 1e-7
 BLOCK = 256
 _UNFILLED = np.uint64(0xFFFFFFFFFFFFFFFF)

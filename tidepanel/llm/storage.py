@@ -6,23 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidepanel.session import scratch_dir
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: its shuffle files go when it is there, and since the sides of its joins grow with the data,
+# none of them is broadcast, at any size.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+}
 
 
 class Scratch:
     """Tables of one run below one folder. A table is written once and then read, so a lost executor costs
-    the tasks that read it and never the work before it. Shuffle files go as soon as a table is written."""
+    the tasks that read it and never the work before it."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, scratch_dir(spark, label)
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
-        path, before = f"{self.root}/{name}", self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = {k: conf.get(k, None) for k in _WRITING}
+        for key, value in _WRITING.items():
+            conf.set(key, value)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
+            for key, value in before.items():
+                conf.unset(key) if value is None else conf.set(key, value)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
