@@ -20,9 +20,11 @@ from tidepanel.sources import panels
 
 LIVE_DAYS = 10
 # Doubles are compared on a grid of six decimals. Halves, which two engines may sum to either
-# side of, lie a thousandth of a step above the cut.
+# side of, lie a thousandth of a step above the cut. The grid ends where its steps are no longer
+# exact in a double; larger numbers, infinities and NaN are shown as they are.
 GRID = 1e6
 CUT = 0.501
+GRID_END = 2.0**53 / GRID
 
 
 class Inputs:
@@ -109,7 +111,10 @@ def _columns(spec: str) -> list[tuple[str, str]]:
     return [tuple(part.split()) for part in re.split(r",\s*", spec.strip())]
 
 
-_GRID_SPARK = "(floor(CAST({c} AS DOUBLE) * " + f"{GRID}D + {CUT}D) / {GRID}D)"
+_GRID_SPARK = (
+    "(CASE WHEN abs(CAST({c} AS DOUBLE)) < " + f"{GRID_END!r}D" + " THEN floor(CAST({c} AS DOUBLE) * "
+    + f"{GRID}D + {CUT}D) / {GRID}D" + " ELSE CAST({c} AS DOUBLE) END)"
+)
 
 
 def present(df: DataFrame, spec: str) -> DataFrame:
@@ -129,7 +134,8 @@ def on_grid(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def grid_sql(expression: str) -> str:
-    return f"(floor(CAST({expression} AS DOUBLE) * {GRID} + {CUT}) / {GRID})"
+    x = f"CAST({expression} AS DOUBLE)"
+    return f"(CASE WHEN abs({x}) < {GRID_END!r} THEN floor({x} * {GRID} + {CUT}) / {GRID} ELSE {x} END)"
 
 
 def present_sql(spec: str, body: str) -> str:

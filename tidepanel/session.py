@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_LOCAL_SCRATCH: dict[str, str] = {}
-
 
 def build_session(app_name: str = "tidepanel", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators rely on: UTC dates, ANSI casts, adaptive plans."""
@@ -31,13 +28,10 @@ def build_session(app_name: str = "tidepanel", master: str | None = None, **conf
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder the cluster shares through ``spark.checkpoint.dir``.
 
-    Only a local session, where driver and executors are one machine, may fall back to a
-    temporary folder; on a cluster a machine-local path would be lost with its executor.
+    Where that is unset, as in a first try on one machine, the warehouse takes its place: it is the other
+    folder that driver and executors share. A machine-local temporary folder is never used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        app = spark.sparkContext.applicationId
-        root = _LOCAL_SCRATCH.setdefault(app, tempfile.mkdtemp(prefix="tidepanel-"))
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
