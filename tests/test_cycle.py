@@ -5,6 +5,8 @@ from dataclasses import replace
 
 import pytest
 
+from tidepanel.operators.normalize import normalize_feed
+from tidepanel.plans.forecast import forecast_next_day
 from tidepanel.plans.lifecycle import active_model, retrain, rollback_to_stable, accepted_state
 from tidepanel.plans.model import Learner
 from tidepanel.session import scratch_dir
@@ -56,7 +58,9 @@ def test_gates(streamed):
     assert [r["status"] for r in results] == ["ingested", "ingested", "incomplete", "ingested", "late", "ingested"]
     values = store.state_values()
     assert (values["last_ingested_date"], values["sim_day"], values["rows_since_last_retrain"]) == ("2025-04-05", "4", "12")
-    assert {r["reason"] for r in store.refused.log().collect()} <= {"incomplete", "late"}
+    refused = sorted((r["date"], r["entity_id"], r["reason"]) for r in store.refused.log().collect())
+    late = [(D + dt.timedelta(days=1), e, "late") for e in "abc"]
+    assert refused == late + [(D + dt.timedelta(days=2), e, "incomplete") for e in "ab"]
 
 
 def test_comparisons_and_forecasts(streamed):
@@ -101,6 +105,39 @@ def test_batch_form_equals_stream(streamed, spark):
     assert sorted(other.summary.current().select(*names).collect()) == sorted(store.summary.current().select(*names).collect())
 
 
+def test_date_in_two_deliveries_holds_the_next_one(spark):
+    store = StateStore(spark, scratch_dir(spark, "state"))
+    cycle = DailyCycle(store, THREE)
+    cycle.seed(_frame(spark, [r for k in range(-5, 0) for r in _day(k)]))
+    statuses = [[r["status"] for r in cycle.process(_frame(spark, rows))] for rows in (
+        _day(0, "a"), _day(1), _day(0, "b"), _day(0, "c"), _day(2))]
+    assert statuses == [["incomplete"], ["waiting"], ["incomplete"], ["ingested", "ingested"], ["ingested"]]
+    assert sorted(_fva(store)) == [(D + dt.timedelta(days=k), e) for k in (1, 2) for e in "abc"]
+    assert store.state_values()["last_ingested_date"] == "2025-04-03"
+
+
+def test_stream_reads_any_header_as_the_batch_does(spark):
+    folder = scratch_dir(spark, "feed")
+    rows = _frame(spark, _day(0)).selectExpr("price_index AS price_new", "entity_id AS product_id", "demand_index", "date")
+    rows.coalesce(1).write.option("header", True).csv(folder)
+    batch = read_feed(spark, folder)
+    seen = []
+    stream_feed(spark, folder).writeStream.foreachBatch(lambda b, _: seen.extend(normalize_feed(b).collect())).option(
+        "checkpointLocation", scratch_dir(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 3 and sorted(seen) == sorted(batch.collect())
+    assert {r["price_index"] for r in seen} == {60.0} and {r["entity_id"] for r in seen} == set("abc")
+
+
+def test_panel_keeps_its_signals(spark):
+    store = StateStore(spark, scratch_dir(spark, "state"))
+    panel = _frame(spark, [r for k in range(-5, 1) for r in _day(k)]).selectExpr("*", "7.0D AS new_reviews", "0.5D AS discount_pct")
+    cycle = DailyCycle(store, THREE)
+    cycle.seed(panel.filter("date < DATE'2025-04-01'"))
+    cycle.process(panel.filter("date = DATE'2025-04-01'"))
+    kept = store.history().agg({"new_reviews": "sum", "discount_pct": "sum", "demand_index": "count"}).first()
+    assert sorted(kept) == [9.0, 18, 126.0]
+
+
 def test_streaming_summary_equals_batch(spark):
     folder = _write_feed(spark, [_day(k) for k in range(4)])
     query = (
@@ -128,10 +165,18 @@ def test_train_gate_and_rollback(spark):
     better = retrain(store, store.history(), 2, features=features, learner=Learner(trees=20, depth=4, rate=0.3), version="two")
     assert better["mae"] < first["mae"] * 0.98 and better["accepted"]
     store.set_state(accepted_state(better, 2), 2)
+    again = retrain(store, store.history(), 2, features=features, learner=Learner(trees=20, depth=4, rate=0.3), version="two")
+    assert again["accepted"] and again["old_version"] == "one"
+    assert store.state_values()["last_stable_version"] == "one"
     worse = retrain(store, store.history(), 3, features=features, learner=small, version="three")
     assert worse["reason"] == "candidate_rejected"
-    assert active_model(store).version == "two"
-    back = rollback_to_stable(store, 4)
+    assert active_model(store).version == "two" and store.state_values()["active_baseline_mae"] == str(better["mae"])
+    fresh = DailyCycle(store, THREE)  # takes up the active model
+    assert fresh.scorer.version == "two" and fresh.profile.count() == len(features) and set(fresh.scorer.weights) == set(features)
+    live = forecast_next_day(store.history(), store.history().filter("date = DATE'2025-05-10'"), fresh.scorer).collect()
+    assert len(live) == 6 and all(r["model_version"] == "two" and " contributed to " in r["shap_explanation"] for r in live)
+    assert rollback_to_stable(store, 4)["active_version"] == "one"
+    back = rollback_to_stable(store, 4)  # a second run of the step does the same
     assert back["rolled_back"] and back["active_version"] == "one"
     states = {r["version"]: r["status"] for r in store.registry.current().collect()}
     assert states == {"one": "active", "two": "rolled_back", "three": "archived"}

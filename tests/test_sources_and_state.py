@@ -114,3 +114,12 @@ def test_weeks_start_on_monday(spark):
 
     row = spark.createDataFrame([(dt.date(2025, 1, 5),)], "d DATE").select(week_start(F.col("d")).alias("w"), F.weekday("d").alias("n")).first()
     assert row["w"] == dt.date(2024, 12, 30) and row["n"] == 6
+
+
+def test_shown_numbers_keep_their_values(spark):
+    from tidepanel.plans.registry import on_grid, present
+    values = [float("nan"), float("inf"), float("-inf"), 3e13, -2.5, 1.23456749, None]
+    frame = spark.createDataFrame([(v,) for v in values], "x DOUBLE")
+    want = ["nan", "inf", "-inf", "30000000000000.0", "-2.5", "1.234567", "None"]
+    assert [str(r[0]) for r in present(frame, "x f").collect()] == want
+    assert [str(r[0]) for r in on_grid(frame, ["x"]).collect()] == want

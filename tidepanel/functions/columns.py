@@ -47,11 +47,6 @@ def first_present(df: DataFrame, names: Sequence[str]) -> Column | None:
     return F.coalesce(*present) if len(present) > 1 else present[0]
 
 
-def column_or(df: DataFrame, name: str, default) -> Column:
-    """The column, or a typed literal where the frame lacks it."""
-    return F.col(name) if name in df.columns else F.lit(default)
-
-
 # Two runs may add the same numbers in another order; the nudge keeps exact halves on one side, so
 # a reported figure does not flip its last digit when a lost task is computed again.
 ROUNDING_NUDGE = 1e-9
@@ -97,11 +92,3 @@ def title_case(value: Column) -> Column:
 
 def fold_case(value: Column) -> Column:
     return F.lower(value.cast("string"))
-
-
-def order_struct(names: Sequence[str]) -> Column:
-    return F.struct(*[F.col(n) for n in names])
-
-
-def typed_null(field: T.StructField) -> Column:
-    return F.lit(None).cast(field.dataType)

@@ -294,9 +294,10 @@ def latest_events(events: DataFrame, category: str = "all", n: int = LATEST_EVEN
 def latest_regimes(
     regimes: DataFrame, n: int = LATEST_REGIMES, order: Sequence[str] = ("date", "entity_id")
 ) -> DataFrame:
-    """The last regimes in stored order with the first type column that says something."""
+    """The last regimes in stored order (``_seq``, else ``order``) with the first type column that says something."""
     kinds = [F.nullif(F.col(c), F.lit("")) for c in S.REGIME_TYPE_COLUMNS if c in regimes.columns]
-    return regimes.orderBy(*[F.desc_nulls_last(c) for c in order]).limit(n).select(
+    stored = ["_seq", *order] if "_seq" in regimes.columns else order
+    return regimes.orderBy(*[F.desc_nulls_last(c) for c in stored]).limit(n).select(
         F.date_format("date", "yyyy-MM-dd").alias("date"),
         *[c for c in order if c != "date"],
         F.coalesce(*kinds, F.lit("neutral")).alias("regime_type"),

@@ -251,12 +251,12 @@ def drift_snapshot(
 # ---- alerts ----------------------------------------------------------------------------------------
 
 
-def alerts_from_errors(fva: DataFrame, limit: int = DEFAULTS.alert_window) -> DataFrame:
-    """Alerts for the large misses among the newest rows, one per entity and date.
+def alerts_from_errors(fva: DataFrame, limit: int | None = DEFAULTS.alert_window) -> DataFrame:
+    """Alerts for the large misses among the newest rows (all without a limit), one per entity and date.
 
     Among versions that missed on the same day the earliest inserted one speaks.
     """
-    recent = newest(fva, limit).withColumn("severity", severity(F.col("abs_demand_error")))
+    recent = (fva if limit is None else newest(fva, limit)).withColumn("severity", severity(F.col("abs_demand_error")))
     loud = recent.filter(F.col("severity").isin("high", "medium")).select(
         "date", "entity_id", "first_seq", "model_version", "abs_demand_error", "severity", "event_type",
         F.lit("forecast_miss").alias("alert_type"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidepanel.functions.columns import finite_sql, fold_case, safe_sql
 from tidepanel.operators.dedup import keep_last
+from tidepanel.operators.drift import long_form
 from tidepanel.sources import schemas as S
 
 
@@ -29,8 +30,11 @@ def _order_columns(df: DataFrame) -> list[str]:
 _KEYED = "date IS NOT NULL AND entity_id IS NOT NULL"
 
 
-def normalize_feed(df: DataFrame) -> DataFrame:
-    """A daily feed as the 17 canonical columns; rows without a usable key are dropped."""
+def normalize_feed(df: DataFrame, signals: Sequence[str] = ()) -> DataFrame:
+    """A daily feed as the 17 canonical columns; rows without a usable key are dropped.
+
+    Those of ``signals`` that the feed has are kept beside them, with NULL where they say nothing.
+    """
     columns = df.columns
     measures = []
     for name in S.FEED_MEASURES:
@@ -40,9 +44,11 @@ def normalize_feed(df: DataFrame) -> DataFrame:
         f"CAST({n} AS STRING) AS {n}" if n in columns else f"'{default}' AS {n}"
         for n, default in S.FEED_TEXT_DEFAULTS.items()
     ]
+    more = [n for n in signals if n in columns]
+    kept = [f"nanvl(try_cast(`{n}` AS DOUBLE), NULL) AS `{n}`" for n in more]
     order = _order_columns(df)
-    shaped = df.selectExpr(*_keys_sql(df), *measures, *texts, *order).filter(_KEYED)
-    return shaped.select(*S.FEED_COLUMNS, *order)
+    shaped = df.selectExpr(*_keys_sql(df), *measures, *texts, *kept, *order).filter(_KEYED)
+    return shaped.select(*S.FEED_COLUMNS, *more, *order)
 
 
 def canonical_panel(df: DataFrame) -> DataFrame:
@@ -50,8 +56,8 @@ def canonical_panel(df: DataFrame) -> DataFrame:
     columns = df.columns
     measures = []
     for name, default in S.PANEL_MEASURE_DEFAULTS.items():
-        source = next((c for c in (name, S.PANEL_ALIASES.get(name)) if c in columns), None)
-        measures.append(safe_sql(source, name, default) if source else f"{default}D AS {name}")
+        given = [f"nanvl(try_cast(`{c}` AS DOUBLE), NULL)" for c in (name, S.PANEL_ALIASES.get(name)) if c in columns]
+        measures.append(f"coalesce({', '.join([*given, f'{default}D'])}) AS {name}")
     texts = [
         f"coalesce(CAST({n} AS STRING), '{d}') AS {n}" if n in columns else f"'{d}' AS {n}"
         for n, d in S.PANEL_TEXT_DEFAULTS.items()
@@ -139,7 +145,7 @@ def contract_audit(df: DataFrame, contract: Sequence[str]) -> DataFrame:
     )
     value = F.col("value")
     return (
-        wide.unpivot([], list(contract), "feature", "value")
+        long_form(wide, list(contract))
         .groupBy("feature")
         .agg(
             F.count("*").alias("n_rows"),

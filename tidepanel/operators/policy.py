@@ -148,16 +148,6 @@ def registry_replay(
     return folded.select(*segment, F.posexplode("_log").alias("run_no", "_l")).select(*segment, "run_no", "_l.*")
 
 
-def register(registry: DataFrame, candidate: DataFrame, accepted: bool) -> DataFrame:
-    """Registry after a candidate: accepted ones become active and archive their predecessor."""
-    if not accepted:
-        return registry.unionByName(candidate.withColumn("status", F.lit("archived")), allowMissingColumns=True)
-    held = registry.withColumn(
-        "status", F.when(F.col("status") == "active", "archived").otherwise(F.col("status"))
-    )
-    return held.unionByName(candidate.withColumn("status", F.lit("active")), allowMissingColumns=True)
-
-
 def rollback(registry: DataFrame, segment: Sequence[str] = ()) -> DataFrame:
     """Put the last stable version back, per segment; ``reason`` tells where that is impossible.
 

@@ -29,12 +29,12 @@ class NaiveScorer:
 
 
 class ModelScorer:
-    """A stored model, with the linear weights that explain it if they were fitted."""
+    """A stored model, with the linear weights that explain it."""
 
     needs_features = True
 
     def __init__(self, model: TrainedModel, weights: dict[str, tuple[float, float]] | None = None):
-        self.model, self.weights = model, weights or {}
+        self.model, self.weights = model, weights or model.weights
         self.version, self.profile = model.version, model.profile
         self.features, self.event_kinds = model.features, model.event_kinds or None
 
@@ -57,12 +57,18 @@ def latest_context(history: DataFrame, actuals: DataFrame | None = None) -> Data
 
 def forecast_next_day(
     history: DataFrame,
-    batch: DataFrame,
+    batch: DataFrame | None,
     scorer: NaiveScorer | ModelScorer,
     events: DataFrame | None = None,
     regimes: DataFrame | None = None,
+    actuals: DataFrame | None = None,
 ) -> DataFrame:
-    """Predictions for the day after the batch, with price, signals, event and reasons carried over."""
+    """Predictions for the day after the batch, with price, signals, event and reasons carried over.
+
+    Without a batch the context is the newest actuals, or the newest history without those.
+    """
+    if batch is None:
+        batch = latest_context(history, actuals)
     if scorer.needs_features:
         live = live_feature_frame(history, batch, events, regimes, scorer.event_kinds, scorer.features)
     else:

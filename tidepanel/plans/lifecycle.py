@@ -25,9 +25,9 @@ def _job(store: StateStore, batch: int, reason: str, old: str | None, new: str |
     store.jobs.append(frame.withColumn("created_at", F.current_timestamp()), batch)
 
 
-def active_entry(store: StateStore):
-    """The active registry row (one at most), or None."""
-    rows = store.registry.current().filter(F.col("status") == "active").limit(1).collect()
+def active_entry(store: StateStore, upto: int | None = None):
+    """The active registry row (one at most) as of a batch, or None."""
+    rows = store.registry.current(upto).filter(F.col("status") == "active").limit(1).collect()
     return rows[0] if rows else None
 
 
@@ -47,16 +47,22 @@ def retrain(
     learner: Learner = Learner(),
     settings: Settings = DEFAULTS,
     version: str | None = None,
+    commit: bool = True,
 ) -> dict:
-    """One candidate through training and the champion gate; registry, job and result are recorded."""
-    version = version or f"gbt_demand_{datetime.now(timezone.utc):%Y%m%d_%H%M%S}"
+    """One candidate through training and the champion gate; registry, job and result are recorded.
+
+    The champion is the one before the batch, and the version is named after the batch, so that a
+    second run of a batch leaves what the first left. With ``commit`` an accepted candidate becomes
+    the active model of the state as well.
+    """
+    version = version or f"gbt_demand_{batch}"
     kinds = event_vocabulary(normalize_events(events)) if events is not None else []
     frame = training_frame(history, events, regimes, features, kinds=kinds or None)
     path = f"{store.root}/models/{version}"
     model, code = train(frame, features, version, path, learner, settings, kinds)
     if model is None:
         return {"accepted": False, "reason": code}
-    champion = active_entry(store)
+    champion = active_entry(store, batch - 1)
     accepted = bool(
         store.spark.range(1).select(
             acceptance(F.lit(model.mae), F.lit(champion["mae"] if champion else None).cast("double"), settings).alias("ok")
@@ -71,10 +77,13 @@ def retrain(
     old = champion["version"] if champion else None
     _job(store, batch, reason, old, version, "accepted" if accepted else "rejected",
          {"mae": model.mae, "rmse": model.rmse})
-    return {
+    result = {
         "accepted": accepted, "version": version, "mae": model.mae, "rmse": model.rmse, "old_version": old,
         "reason": "activated" if accepted else "candidate_rejected", "model": model,
     }
+    if accepted and commit:
+        store.set_state(accepted_state(result, int(store.state_values(batch - 1)["sim_day"])), batch)
+    return result
 
 
 def accepted_state(result: dict, sim_day: int) -> dict[str, str]:
@@ -91,14 +100,14 @@ def accepted_state(result: dict, sim_day: int) -> dict[str, str]:
 
 
 def rollback_to_stable(store: StateStore, batch: int) -> dict:
-    """Reactivate the last stable version; the reason says why not where that is impossible."""
-    stable = store.state_values().get("last_stable_version") or None
-    registry = store.registry.current().withColumn("last_stable_version", F.lit(stable).cast("string"))
+    """Reactivate the last stable version as of the batch before; the reason says why not where that is impossible."""
+    stable = store.state_values(batch - 1).get("last_stable_version") or None
+    registry = store.registry.current(batch - 1).withColumn("last_stable_version", F.lit(stable).cast("string"))
     moved = rollback(registry)
     facts = moved.select("rolled_back", "reason").limit(1).collect()
     if not facts or not facts[0]["rolled_back"]:
         return {"rolled_back": False, "reason": facts[0]["reason"] if facts else "no_stable_version"}
-    before = active_entry(store)
+    before = active_entry(store, batch - 1)
     changed = moved.filter(F.col("status").isin("active", "rolled_back")).select(*S.names(S.REGISTRY)).collect()
     store.registry.append(store.spark.createDataFrame([tuple(r) for r in changed], S.REGISTRY), batch)
     mae = next(r["mae"] for r in changed if r["version"] == stable)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -107,6 +107,13 @@ class TrainedModel:
     mae: float
     rmse: float
     event_kinds: list[str]
+    weights: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+
+_META = (
+    "version STRING, features ARRAY<STRING>, event_kinds ARRAY<STRING>, mae DOUBLE, rmse DOUBLE, "
+    "weights MAP<STRING, STRUCT<coefficient: DOUBLE, mean: DOUBLE>>"
+)
 
 
 def train(
@@ -136,21 +143,21 @@ def train(
     baseline_profile(train_part, features).write.mode("overwrite").parquet(f"{path}/{PROFILE}")
     spark = frame.sparkSession
     spark.createDataFrame(
-        [(version, list(features), list(event_kinds), float(metrics["mae"]), float(metrics["rmse"]))],
-        "version STRING, features ARRAY<STRING>, event_kinds ARRAY<STRING>, mae DOUBLE, rmse DOUBLE",
+        [(version, list(features), list(event_kinds), float(metrics["mae"]), float(metrics["rmse"]),
+          linear_surrogate(train_part, features))],
+        _META,
     ).coalesce(1).write.mode("overwrite").json(f"{path}/{METADATA}")
     return load(spark, path), "ok"
 
 
 def load(spark: SparkSession, path: str) -> TrainedModel:
-    meta = spark.read.schema(
-        "version STRING, features ARRAY<STRING>, event_kinds ARRAY<STRING>, mae DOUBLE, rmse DOUBLE"
-    ).json(f"{path}/{METADATA}").first()
+    meta = spark.read.schema(_META).json(f"{path}/{METADATA}").first()
     return TrainedModel(
         version=meta["version"], features=list(meta["features"]),
         pipeline=PipelineModel.load(f"{path}/{PIPELINE}"),
         profile=spark.read.parquet(f"{path}/{PROFILE}"),
         mae=meta["mae"], rmse=meta["rmse"], event_kinds=list(meta["event_kinds"] or []),
+        weights={k: (v["coefficient"], v["mean"]) for k, v in (meta["weights"] or {}).items()},
     )
 
 

@@ -222,23 +222,17 @@ def b11_category_filter(i: Inputs) -> DataFrame:
     return N.filter_category(i.retail, "Economy")
 
 
-_AUDITED = [
-    "demand_lag_1", "demand_lag_7", "demand_7d_std", "demand_range_7d", "new_reviews_change",
-    "search_interest_momentum", "event_flag_today", "regime_flag_recent", "is_weekend", "buzz_score",
-]
-
-
 @query(
     "b15_contract_audit", "feature s, present i, n_rows i, n_null i, n_nan i, n_inf i, n_zero i",
     "SELECT 'unknown_feature' AS feature, 0 AS present, count(*) AS n_rows, count(*) AS n_null, 0 AS n_nan, "
     "0 AS n_inf, 0 AS n_zero FROM feature_rows UNION ALL "
     + " UNION ALL ".join(
         f"SELECT '{f}', 1, count(*), count(*) - count({f}), 0, 0, count(*) FILTER ({f} = 0) FROM feature_rows"
-        for f in _AUDITED
+        for f in S.FEATURE_CONTRACT
     ),
 )
 def b15_contract_audit(i: Inputs) -> DataFrame:
-    return N.contract_audit(i.feature_rows, [*_AUDITED, "unknown_feature"])
+    return N.contract_audit(i.feature_rows, [*S.FEATURE_CONTRACT, "unknown_feature"])
 
 
 # ---- C. features ------------------------------------------------------------------------------------------

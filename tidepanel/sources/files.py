@@ -11,11 +11,11 @@ from tidepanel.operators.normalize import normalize_feed
 from tidepanel.sources import schemas as S
 
 
-def scan_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, ddl: str, fill: bool = True) -> DataFrame:
     """CSV with a header, cast leniently to the declared columns.
 
-    Columns are matched by the header, which the files of a folder share; absent ones are NULL and
-    undeclared ones stay as text. A path that does not exist is an empty table.
+    Columns are matched by the header, which the files of a folder share; absent ones are NULL (or
+    stay away without ``fill``) and undeclared ones stay as text. A path that does not exist is an empty table.
     """
     declared = dict(S.columns(ddl))
     try:
@@ -36,7 +36,7 @@ def scan_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
         return (column if kind == "STRING" else column.try_cast(kind)).alias(name)
 
     extra = [c for c in raw.columns if c not in declared]
-    return raw.select(*[typed(n, k) for n, k in declared.items()], *extra)
+    return raw.select(*[typed(n, k) for n, k in declared.items() if fill or n in raw.columns], *extra)
 
 
 def scan_json(spark: SparkSession, path: str, ddl: str | None = None) -> DataFrame:
@@ -62,14 +62,25 @@ def profile_document(profile: DataFrame) -> DataFrame:
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """Every batch of a feed folder, canonical, one row per key."""
-    return keep_last(normalize_feed(scan_csv(spark, path, S.FEED)), ["date", "entity_id"])
+    return keep_last(normalize_feed(scan_csv(spark, path, S.FEED, fill=False)), ["date", "entity_id"])
 
 
 def stream_feed(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """The feed folder as a stream. A micro-batch takes every file that waits, so a large date may
-    arrive as many files; where a date is one file, ``files_per_batch=1`` takes them one by one.
+    """The feed folder as a stream of text columns named by the header that its files share.
+
+    Columns may come in any order and under any accepted spelling, and may be missing; ``normalize_feed``
+    reads them as it reads a batch. A file with another header stops the stream instead of being
+    misread. A micro-batch takes every file that waits, so a large date may arrive as many files;
+    where a date is one file, ``files_per_batch=1`` takes them one by one.
     """
-    reader = spark.readStream.schema(S.FEED).option("header", True)
+    try:
+        header = spark.read.option("header", True).csv(path).columns
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        header = S.names(S.FEED)
+    names = ", ".join(f"`{c}` STRING" for c in header)
+    reader = spark.readStream.schema(names).option("header", True).option("enforceSchema", False)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.csv(path)

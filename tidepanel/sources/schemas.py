@@ -63,12 +63,8 @@ PANEL_MEASURE_DEFAULTS = {
 }
 PANEL_TEXT_DEFAULTS = {"event_type": "", "event_effect_hint": ""}
 
-TEXT_COLUMNS = [
-    "date", "entity_id", "brand", "product_name", "category", "event_type", "event_title",
-    "event_description", "impact_direction", "signal_story", "priority", "event_effect_hint",
-    "linked_marker_date", "linked_marker_type", "event_id", "event_scope", "event_name",
-    "signal_target", "notes",
-]
+# Signals of a panel beyond the feed's columns; a table keeps all of them.
+PANEL_SIGNALS = [n for n in PANEL_MEASURE_DEFAULTS if n not in FEED_COLUMNS]
 
 # The ordered list of model inputs.
 FEATURE_CONTRACT = """
@@ -107,12 +103,14 @@ def columns(ddl: str) -> list[tuple[str, str]]:
     return [tuple(part.split(None, 1)) for part in ddl.split(", ")]
 
 
+# Names and types of the tables.
 FEED = (
     "date DATE, entity_id STRING, brand STRING, product_name STRING, category STRING, "
     "demand_index DOUBLE, price_index DOUBLE, sentiment_index DOUBLE, search_index DOUBLE, "
     "ad_index DOUBLE, event_type STRING, event_title STRING, event_description STRING, "
     "impact_direction STRING, signal_story STRING, priority STRING, event_effect_hint STRING"
 )
+PANEL = ", ".join([FEED, *(f"{n} DOUBLE" for n in PANEL_SIGNALS)])
 EVENTS = (
     "event_id STRING, date DATE, entity_id STRING, event_type STRING, event_title STRING, "
     "event_description STRING, event_scope STRING, signal_target STRING, event_strength DOUBLE, "

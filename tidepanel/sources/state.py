@@ -1,8 +1,11 @@
 """State tables as append-only logs with a keep-last view.
 
 A batch writes only its own ``_batch`` partition, replacing it when the batch is replayed, so a
-lost executor or a restarted stream never leaves rows twice or half-updated. Readers fold the
-log to one row per key: the newest values, and the batch of first insertion as ``first_seq``.
+lost executor or a restarted stream never leaves rows twice or half-updated. Tables with several
+writers in a batch (models, versions, reasons) split the batch by writer in ``_part``, so that one
+never replaces another's rows. Readers fold the log to one row per key: the newest values, and the
+batch of first insertion as ``first_seq``. They can read the log as it was after any batch, which
+is what makes a step that depends on its own tables repeatable.
 """
 
 from __future__ import annotations
@@ -14,11 +17,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.functions.columns import safe_sql
-from tidepanel.operators.dedup import union_keep_last
 from tidepanel.operators.series import beside
 from tidepanel.sources import schemas as S
 
 BATCH = "_batch"
+PART = "_part"
 
 
 class LogTable:
@@ -27,11 +30,13 @@ class LogTable:
     def __init__(
         self, spark: SparkSession, path: str, ddl: str, keys: Sequence[str] = (),
         keep_from_first: Sequence[str] = (), order: Sequence[str] = (), measures_to_zero: Sequence[str] = (),
+        writers: Sequence[str] = (),
     ):
         self.spark, self.path, self.ddl = spark, path, ddl
         self.keys, self.kept, self.order = list(keys), list(keep_from_first), list(order)
         self.zeroed = set(measures_to_zero)
-        self._ddl = f"{ddl}, {BATCH} BIGINT"
+        self.writers = list(writers)
+        self._ddl = f"{ddl}, {BATCH} BIGINT, {PART} STRING"
 
     def append(self, df: DataFrame, batch: int) -> None:
         """Write the batch's partition; absent columns are NULL, unreadable measures 0."""
@@ -43,8 +48,10 @@ class LogTable:
             return safe_sql(name, name) if name in self.zeroed else f"CAST(`{name}` AS {kind}) AS `{name}`"
 
         rows = df.selectExpr(*[shaped(n, k) for n, k in S.columns(self.ddl)], f"{batch}L AS {BATCH}")
+        writer = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in self.writers]
+        rows = rows.withColumn(PART, F.concat(F.lit("of "), *writer) if writer else F.lit("all"))
         rows.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            BATCH
+            BATCH, PART
         ).parquet(self.path)
 
     def log(self, upto: int | None = None, only: int | None = None) -> DataFrame:
@@ -59,7 +66,7 @@ class LogTable:
             rows = rows.filter(F.col(BATCH) <= upto)
         if only is not None:
             rows = rows.filter(F.col(BATCH) == only)
-        return rows
+        return rows.drop(PART)
 
     def current(self, upto: int | None = None) -> DataFrame:
         """One row per key: latest values, ``first_seq`` and the columns kept from first insertion."""
@@ -99,28 +106,29 @@ class StateStore:
         def log(name: str, ddl: str, keys: Sequence[str] = (), **options) -> LogTable:
             return LogTable(spark, f"{self.root}/{name}", ddl, keys, **options)
 
-        self.panel = log("panel", S.FEED, ["date", "entity_id"])
+        self.panel = log("panel", S.PANEL, ["date", "entity_id"])
         self.actuals = log(
             "actuals", S.ACTUALS, ["date", "entity_id"], keep_from_first=["created_at"],
             measures_to_zero=S.FEED_MEASURES,
         )
         self.predictions = log(
             "predictions", S.PREDICTIONS, ["target_date", *_FORECAST_KEYS],
-            measures_to_zero=["pred_demand", "pred_price"],
+            measures_to_zero=["pred_demand", "pred_price"], writers=["model_version"],
         )
         self.fva = log(
-            "forecast_vs_actual", S.FORECAST_VS_ACTUAL, ["date", *_FORECAST_KEYS], measures_to_zero=_FVA_MEASURES
+            "forecast_vs_actual", S.FORECAST_VS_ACTUAL, ["date", *_FORECAST_KEYS], measures_to_zero=_FVA_MEASURES,
+            writers=["model_version"],
         )
         self.summary = log("daily_summary", S.DAILY_SUMMARY, ["date"])
         self.alerts = log("alerts", S.ALERTS, ["date", "entity_id", "alert_type"])
         self.drift = log("drift", S.DRIFT)
-        self.jobs = log("retrain_jobs", S.RETRAIN_JOBS)
-        self.registry = log("registry", S.REGISTRY, ["version"])
+        self.jobs = log("retrain_jobs", S.RETRAIN_JOBS, writers=["trigger_reason", "new_version"])
+        self.registry = log("registry", S.REGISTRY, ["version"], writers=["version"])
         self.state = log("runtime_state", S.RUNTIME_STATE, ["state_key"])
         # Working sets of the daily cycle: trailing rows per entity and the newest errors.
-        self.tail = log("tail", S.FEED)
+        self.tail = log("tail", S.PANEL)
         self.error_window = log("error_window", f"{S.FORECAST_VS_ACTUAL}, first_seq BIGINT")
-        self.refused = log("refused", f"{S.FEED}, reason STRING")
+        self.refused = log("refused", f"{S.PANEL}, reason STRING", writers=["reason"])
 
     # ---- runtime state -------------------------------------------------------------------------
 
@@ -130,18 +138,23 @@ class StateStore:
         return {**S.STATE_DEFAULTS, **stored}
 
     def set_state(self, values: dict[str, Any], batch: int) -> None:
-        """Write a batch's state in one go; it is the last write of a cycle and so its commit mark."""
-        rows = [(k, str(v)) for k, v in values.items()]
+        """Write values of a batch beside those it has; the last write of a cycle is its commit mark."""
+        held = {r["state_key"]: r["state_value"] for r in self.state.log(only=batch).collect()}
+        rows = [(k, str(v)) for k, v in {**held, **values}.items()]
         frame = self.spark.createDataFrame(rows, "state_key STRING, state_value STRING")
         self.state.append(frame.withColumn("updated_at", F.current_timestamp()), batch)
 
     # ---- history -------------------------------------------------------------------------------
 
     def history(self) -> DataFrame:
-        """Panel and actuals as one panel, actuals winning."""
-        return union_keep_last([self.panel.current(), self.actuals.current()], ["date", "entity_id"]).drop(
-            "first_seq", "created_at"
-        )
+        """Panel and actuals as one panel; actuals win where they say something, other signals stay."""
+        panel = self.panel.current().drop("first_seq")
+        actuals = self.actuals.current().drop("first_seq", "created_at")
+        newer = {c: f"_{c}" for c in actuals.columns if c not in ("date", "entity_id")}
+        both = panel.join(actuals.withColumnsRenamed(newer), ["date", "entity_id"], "full_outer")
+        return both.select(*[
+            F.coalesce(newer[c], c).alias(c) if c in newer else F.col(c) for c in panel.columns
+        ])
 
 
 def state_snapshot(state: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidepanel.functions.columns import lenient_double
 from tidepanel.operators.dashboard import daily_summary
-from tidepanel.operators.dedup import keep_last
+from tidepanel.operators.dedup import keep_last, union_keep_last
 from tidepanel.operators.drift import (
     alerts_from_errors, align_forecasts, drift_snapshot, feature_psi, newest,
 )
@@ -24,8 +24,9 @@ from tidepanel.operators.features import FEATURE_LOOKBACK, feature_frame
 from tidepanel.operators.normalize import finalize_features, normalize_feed
 from tidepanel.operators.policy import decide, performance_drift, rollback_drift
 from tidepanel.plans.forecast import ModelScorer, NaiveScorer, forecast_rows
-from tidepanel.plans.lifecycle import accepted_state, active_model, retrain, rollback_to_stable
-from tidepanel.plans.model import Learner
+from tidepanel.plans.lifecycle import accepted_state, active_entry, active_model, retrain, rollback_to_stable
+from tidepanel.plans.model import Learner, load
+from tidepanel.session import scratch_dir
 from tidepanel.settings import DEFAULTS, Settings
 from tidepanel.sources import schemas as S
 from tidepanel.sources.files import stream_feed
@@ -65,6 +66,17 @@ def trailing_rows(rows: DataFrame, n: int = FEATURE_LOOKBACK) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(newest_first)).filter(F.col("_n") <= n).drop("_n")
 
 
+# Rows of these refusals come back with the next delivery.
+_PENDING = ("incomplete", "waiting")
+
+
+def _settled(spark, rows: DataFrame) -> DataFrame:
+    """The rows written apart, for a table that is about to replace what they were read from."""
+    path = scratch_dir(spark, "refused")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 class DailyCycle:
     def __init__(
         self,
@@ -76,15 +88,29 @@ class DailyCycle:
         regimes: DataFrame | None = None,
         learner: Learner | None = None,
         forecasts: bool = True,
+        skip_incomplete: bool = False,
     ):
-        """``learner`` turns policy decisions into training runs; without it they are only recorded."""
+        """``learner`` turns policy decisions into training runs; without it they are only recorded.
+
+        Without a scorer the store's active model takes up its work again, with its profile and its
+        error as baseline; a store without one starts with the naive scorer. Dates wait behind an
+        incomplete one until it is complete, unless ``skip_incomplete``.
+        """
         self.store, self.spark, self.settings = store, store.spark, settings
-        self.scorer, self.profile = scorer or NaiveScorer(), profile
+        self._registered = {}
+        if scorer is None:
+            entry = active_entry(store)
+            if entry:
+                scorer = ModelScorer(load(self.spark, entry["artifact_path"]))
+                self._registered = {"active_model_version": entry["version"], "active_baseline_mae": str(entry["mae"])}
+        self.scorer = scorer or NaiveScorer()
+        self.profile = profile if profile is not None else self.scorer.profile
         self.events, self.regimes, self.learner, self.forecasts = events, regimes, learner, forecasts
+        self.skip_incomplete = skip_incomplete
 
     def seed(self, history: DataFrame) -> None:
         """Load the panel that exists before the first feed date."""
-        rows = keep_last(normalize_feed(history), ["date", "entity_id"])
+        rows = keep_last(normalize_feed(history, S.PANEL_SIGNALS), ["date", "entity_id"])
         last = rows.agg(F.max("date")).first()[0]
         day = ordinal(last)
         self.store.panel.append(rows, day)
@@ -94,22 +120,53 @@ class DailyCycle:
     # ---- one date ------------------------------------------------------------------------------
 
     def process(self, batch: DataFrame, _batch_id: int | None = None) -> list[dict]:
-        """``foreachBatch`` target: the dates of the micro-batch, oldest first."""
-        feed = keep_last(normalize_feed(batch), ["date", "entity_id"])
-        # One row per date that waits, usually one.
-        days = completeness(feed, self.settings.expected_entities).orderBy("date").collect()
-        return [self.step(feed.filter(F.col("date") == F.lit(d["date"])), d["date"], d) for d in days]
+        """``foreachBatch`` target: the dates of the micro-batch and those that waited, oldest first."""
+        keys = ["date", "entity_id"]
+        arrived = keep_last(normalize_feed(batch, S.PANEL_SIGNALS), keys).withColumn("_fresh", F.lit(True))
+        both = union_keep_last([self._pending().withColumn("_fresh", F.lit(False)), arrived], keys, [])
+        path = scratch_dir(self.spark, "backlog")
+        both.write.partitionBy("date").parquet(path)  # parsed once, then read date by date
+        feed = self.spark.read.schema(both.schema).parquet(path)
+        fresh = feed.groupBy("date").agg(F.max("_fresh").alias("fresh"))
+        days = completeness(feed, self.settings.expected_entities).join(fresh, "date").orderBy("date").collect()
+        if not any(d["fresh"] for d in days):
+            return []
+        feed = feed.drop("_fresh")
+        results, blocked = [], False
+        for d in days:
+            done = self.step(feed.filter(F.col("date") == F.lit(d["date"])), d["date"], d, blocked)
+            blocked |= done["status"] in _PENDING and not self.skip_incomplete
+            if d["fresh"] or done["status"] == "ingested":
+                results.append(done)
+        return results
 
-    def step(self, rows: DataFrame, day: Date, gate) -> dict:
+    def _state(self) -> dict[str, str]:
+        """The state; a store whose state names no model yet has the registry's active one."""
         state = self.store.state_values()
+        return state if state["active_model_version"] else {**state, **self._registered}
+
+    def _pending(self) -> DataFrame:
+        """Rows kept of dates after the watermark that were not complete, or waited behind such a date."""
+        watermark = self.store.state_values()["last_ingested_date"]
+        rows = self.store.refused.log().filter(F.col("reason").isin(*_PENDING))
+        if watermark:
+            rows = rows.filter(F.col("_batch") > ordinal(Date.fromisoformat(watermark)))
+        return keep_last(rows.drop("_batch", "reason"), ["date", "entity_id"], [])
+
+    def step(self, rows: DataFrame, day: Date, gate, blocked: bool = False) -> dict:
+        state, key = self._state(), ordinal(day)
         watermark = state["last_ingested_date"]
         refused = None
         if not gate["complete"]:
             refused = "incomplete"
         elif watermark and day.isoformat() <= watermark:
             refused = "late"
+        elif blocked:
+            refused = "waiting"
         if refused:
-            self.store.refused.append(rows.withColumn("reason", F.lit(refused)), ordinal(day))
+            held = self.store.refused.log(only=key).filter(F.col("reason") == refused).drop("_batch", "reason")
+            kept = union_keep_last([held, rows], ["date", "entity_id"], [])
+            self.store.refused.append(_settled(self.spark, kept).withColumn("reason", F.lit(refused)), key)
             return {"date": day, "status": refused, "rows": 0}
         return self._ingest(rows, day, int(gate["n_entities"]), state)
 
@@ -133,9 +190,9 @@ class DailyCycle:
             for job in jobs:
                 job.result()
             errors = store.error_window.log(only=key).drop("_batch")
-            alerts = pool.submit(
-                store.alerts.append, alerts_from_errors(errors, self.settings.alert_window), key
-            )
+            # All of the date's misses raise alerts, however many there are.
+            today = store.fva.log(only=key).withColumnRenamed("_batch", "first_seq")
+            alerts = pool.submit(store.alerts.append, alerts_from_errors(today, None), key)
             # Without a learner no decision can change the scorer, so forecasting need not wait.
             ahead = pool.submit(self._forecast, tail, batch, key) if self.learner is None else None
             metrics = self._measure(errors, tail, batch, state, n_rows, key)
@@ -232,12 +289,12 @@ class DailyCycle:
         if action == "rollback":
             result = rollback_to_stable(self.store, key)
             if result["rolled_back"]:
-                self.scorer = ModelScorer(active_model(self.store))
+                self.scorer = ModelScorer(active_model(self.store))  # as this batch left it
                 self.profile = self.scorer.profile
             return result.get("state", {})
         result = retrain(
             self.store, self.store.history(), key, "policy", self.events, self.regimes,
-            learner=self.learner, settings=self.settings, version=f"gbt_demand_{key}",
+            learner=self.learner, settings=self.settings, version=f"gbt_demand_{key}", commit=False,
         )
         if not result["accepted"]:
             return {}
@@ -268,7 +325,7 @@ class DailyCycle:
             if found is None:
                 return {"status": "no_new_data", "rows": 0}
             day = found.isoformat()
-        done = self.process(normalize_feed(feed).filter(F.col("date") == F.lit(day).cast("date")))
+        done = self.process(normalize_feed(feed, S.PANEL_SIGNALS).filter(F.col("date") == F.lit(day).cast("date")))
         return done[0] if done else {"status": "no_new_data", "rows": 0}
 
 
