@@ -12,9 +12,12 @@ from tidepanel.llm.near_dedup import near_duplicates
 from tidepanel.llm.neighbours import nearest_neighbours
 from tidepanel.llm.packing import pack
 from tidepanel.llm.pii import replace_personal_data
+from tidepanel.llm.sql import SQL
 from tidepanel.llm.substring_dedup import repeated_windows_removed
 from tidepanel.llm.token_files import token_files_round_trip
 
+__all__ = ["QUERIES", "SQL"]
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -70,4 +73,3 @@ def op10_hnsw_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_html_extraction, op3_length_bucket_packing, op4_repair_token_files, op5_language_id,
     op6_benchmark_decontamination, op7_license_scan, op8_pii_surrogates, op9_substring_dedup, op10_hnsw_neighbours)}
-SQL: dict[str, str] = {}
