@@ -1,16 +1,17 @@
 """Main text of web pages by the distribution of text over lines.
 
-Mark-up is stripped to lines, one for each block element. A line weighs as many characters as it has outside links;
-lines of menus, headers, footers, side bars, notices, adverts, forms and comments weigh nothing and are
+Mark-up is stripped to lines, one for each block element. A line weighs as many characters as it has outside links
+beyond those in links; lines of menus, headers, footers, side bars, notices, adverts, forms and comments weigh nothing and are
 never kept. Sums of weights over a sliding window of lines rise steeply where the article begins (surge) and fall to
 nothing where it ends (dive); what lies between is kept. Where the page itself marks its article, only lines in it
-have weight, and any text is a surge.
+have weight, all their characters count, and any text is a surge.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,7 @@ _OUT_WORDS = frozenset(
     "hidden form search".split())
 _MAIN = frozenset("article main".split())
 _SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
+_WITH = re.compile(r"\b(?:no|has|with|without)[_-]\w+", re.I)  # says what stands beside an element, not what it is
 
 
 def _left_out(name: str, attributes: str, inside: bool) -> bool:
@@ -58,8 +60,8 @@ def _left_out(name: str, attributes: str, inside: bool) -> bool:
         if key == "role" and value.lower() in _OUT_ROLES:
             return True
         if key in ("class", "id") and name not in ("html", "body", "main"):
-            found = {w.lower() for w in _SPLIT.split(value)}
-            if found & _OUT_WORDS and not (inside and name == "header"):
+            found = {w.lower() for w in _SPLIT.split(_WITH.sub(" ", value))} & _OUT_WORDS
+            if found - ({"header"} if inside else set()):
                 return True
     return False
 
@@ -70,6 +72,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     stack: list[tuple[str, bool, bool]] = []  # name, left out, in the article
     text: list[str] = []
     linked, links, skip, inside = 0, 0, False, False
+    opened: Counter[str] = Counter()
 
     def close() -> None:
         nonlocal linked
@@ -96,24 +99,27 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if m[2]:
             if name in _BLOCKS:
                 close()
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if opened[name]:
+                last = ""
+                while last != name:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
                 skip, inside = stack[-1][1:] if stack else (False, False)
-                links = sum(s[0] == "a" for s in stack)
+                links = opened["a"]
             continue
         if name in _BLOCKS:
             close()
             if name in ("p", "li") and stack and stack[-1][0] == name:  # the end tag may be left out
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
         elif name in ("br", "wbr", "img") and not skip:
             text.append(" " if name == "br" else "")
         if name in _VOID or m[4].rstrip().endswith("/"):
             continue
         skip = skip or _left_out(name, m[4], inside)
         inside = inside or name in _MAIN and not skip
-        links += name == "a"
         stack.append((name, skip, inside))
+        opened[name] += 1
+        links = opened["a"]
     close()
     return out
 
@@ -122,7 +128,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     """The blocks between surges and dives, joined by two newlines."""
     found = lines(page or "")
     marked = any(inside for _, _, inside in found)
-    weight = np.array([(len(t) - 2 * k if len(t) > 2 * k else 0) if inside or not marked else 0 for t, k, inside in found], np.int64)
+    weight = np.array([len(t) * inside if marked else max(0, len(t) - 2 * k) for t, k, inside in found], np.int64)
     if not weight.any():
         return ""
     sums = np.convolve(weight, np.ones(window, np.int64))[window - 1:]  # a line and those after it
