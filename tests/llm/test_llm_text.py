@@ -150,6 +150,23 @@ def test_surrogates_are_distinct_typed_and_the_same_everywhere():
     assert s.person("JOHN SMITH") == s.person("John Smith").upper()
 
 
+def test_formats_that_are_found():
+    triggers = pii._triggers()
+    for kind, text in (
+        ("phone", "555-123-4567"), ("phone", "(555) 123-4567"), ("phone", "+44 20 7946 0958"), ("phone", "+49 151 23456789"),
+        ("phone", "+15551234567"), ("phone", "01 23 45 67 89"), ("card", "3782 822463 10005"), ("card", "4111-1111-1111-1111"),
+        ("ip6", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("ssn", "123-45-6789"), ("iban", "DE89370400440532013000"),
+        ("email", "a+b@x-y.co.uk"), ("ip", "8.8.8.8"), ("person", "Anna Schmidt"),
+    ):
+        for around in ("see {} now", "{}", "({}),", "{}!!", "{}***\nx"):
+            line = around.format(text)
+            assert [(k, line[a:b]) for a, b, k in pii.entities(line, triggers)] == [(kind, text)], (kind, line)
+        new = pii.Surrogates().replace(kind, text)
+        assert new != text and [k for _, _, k in pii.entities(new, triggers)][:1] in ([kind], []), new
+    for clean in ("in 1999-2020 and 12:30:45", "v1.2.3", "12345678 of 9.5", "pages 10-20, 3.14159", "2024-01-31 10:00", "I am 25."):
+        assert pii.entities(clean, triggers) == [], clean
+
+
 def test_permutation_is_one():
     for n in (2, 3, 10, 26, 100, 1000):
         p = pii.Permutation("k", "x", n)

@@ -61,9 +61,10 @@ ENTITY = re.compile(
     rf"|\b(?P<secret>(?:{_any(_SECRETS)})[ \t]*[:=][ \t]*[\"']?)(?P<value>[A-Za-z0-9+/_-]{{8,}})"
     r"|(?<![\w.])(?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?![\w]|\.[0-9])"
     r"|(?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"
-    r"|(?<![\w+.-])(?P<card>[0-9]{13,19}|[0-9]{4}(?P<sep>[ -])[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{4})(?![\w]|[.-][0-9])"
+    r"|(?<![\w+.-])(?P<card>[0-9]{13,19}|[0-9]{4}(?P<sep>[ -])[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w]|[.-][0-9])"
+    r"|(?<![\w:])(?P<ip6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![\w:])"
     r"|(?<![\w+])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
-    r"|(?<![\w.+-])(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}"
+    r"|(?<![\w.+-])(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|0[0-9](?:[ .-][0-9]{2}){4}"
     r"|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5})(?![\w]|[.-][0-9])"
     rf"|\b(?P<title>{_any(TITLES)})(?P<gap>\.?[ \u00a0])(?P<titled>{_NAME}(?:[ \u00a0]{_NAME}){{0,2}})"
     rf"|\b(?P<given>{_any(_GIVEN)})(?P<space>[ \u00a0])(?P<family>{_NAME}(?:[ \u00a0]{_NAME})?)")
@@ -209,6 +210,13 @@ class Surrogates:
             if _sort(ipaddress.IPv4Address(x)) == sort:
                 return str(ipaddress.IPv4Address(x))
 
+    def hexadecimal(self, label: str, text: str) -> str:
+        """The hexadecimal digits of a text moved together, case and whatever stands between them kept."""
+        digits = [c for c in text.lower() if c in _HEX]
+        new = iter(self._over(label, "".join(digits), [_HEX] * len(digits)))
+        moved = "".join(next(new) if c in _HEX else c for c in text.lower())
+        return moved if text.lower() == text else moved.upper()
+
     def word(self, text: str) -> str:
         """A name: from the list of its script and gender if it is listed, else by classes of letters."""
         if "-" in text or "'" in text or "’" in text:
@@ -226,12 +234,9 @@ class Surrogates:
 
     def _replace(self, kind: str, text: str) -> str:
         if kind == "secret":
-            if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
-                new = self._over("hex", text.lower(), [_HEX] * len(text))
-                return new.upper() if text.upper() == text else new
-            return self._marks("secret", text)
+            return self.hexadecimal("hex", text) if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) else self._marks("secret", text)
         return {"email": self.email, "phone": self.phone, "card": self.card, "ip": self.ip, "person": self.person,
-                "ssn": lambda t: self._digits("ssn", t), "iban": lambda t: t[:2] + self._marks("iban", t[2:])}[kind](text)
+                "ip6": lambda t: self.hexadecimal("ip6", t), "ssn": lambda t: self._digits("ssn", t), "iban": lambda t: t[:2] + self._marks("iban", t[2:])}[kind](text)
 
 
 def _luhn(body: str) -> int:
@@ -259,7 +264,7 @@ def entities(text: str, triggers: ahocorasick.Automaton) -> list[tuple[int, int,
             elif m["given"]:
                 out.append((*m.span(), "person"))
             else:
-                out.append((*m.span(), next(k for k in ("email", "ip", "ssn", "card", "iban", "phone") if m[k])))
+                out.append((*m.span(), next(k for k in ("email", "ip", "ip6", "ssn", "card", "iban", "phone") if m[k])))
     return out
 
 
