@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.functions.columns import day_number
-from tidepanel.operators.dedup import union_keep_last
+from tidepanel.operators.dedup import stack, union_keep_last
 from tidepanel.operators.normalize import (
     canonical_panel, finalize_features, normalize_events, normalize_panel, normalize_regimes,
 )
@@ -392,13 +392,14 @@ def training_frame(
 
 def trailing_history(history: DataFrame, batch_dates: DataFrame, rows: int = FEATURE_LOOKBACK) -> DataFrame:
     """History the live features can reach: rows from the first batch date on, and each entity's
-    last ``rows`` rows before it. Spark cuts the ranking to ``rows`` per entity before the shuffle.
+    last ``rows`` dates before it. Dates are ranked, not rows, so duplicates may still be there.
+    Spark cuts the ranking per entity before the shuffle.
     """
     first = batch_dates.agg(F.min("date")).scalar()
     before = Window.partitionBy("entity_id").orderBy(F.desc("date"))
     earlier = (
         history.filter(F.col("date") < first)
-        .withColumn("_n", F.row_number().over(before))
+        .withColumn("_n", F.dense_rank().over(before))
         .filter(F.col("_n") <= rows)
         .drop("_n")
     )
@@ -421,8 +422,8 @@ def live_frame(
 def live_feature_frame(history, batch, events=None, regimes=None, kinds=None, features=None) -> DataFrame:
     """History and batch as one panel, all features, limited to the batch's dates."""
     dates = canonical_panel(batch).select("date").distinct()
-    reach = trailing_history(normalize_panel(history), dates)
-    panel = union_keep_last([reach, normalize_panel(batch)])
+    # The feature frame drops duplicates; the batch's rows come after the history's.
+    panel = stack(trailing_history(canonical_panel(history), dates), canonical_panel(batch))
     return feature_frame(panel, events, regimes, kinds, features).join(dates, "date", "left_semi")
 
 
