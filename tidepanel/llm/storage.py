@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tidepanel.session import scratch_dir
 
 # While a table is written: its shuffle files go when it is there, and since the sides of its joins grow with the data,
-# none of them is broadcast, at any size.
+# none of them is broadcast, at any size. Texts go to Python some at a time, as they can be long.
 _WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

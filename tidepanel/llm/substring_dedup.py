@@ -83,7 +83,7 @@ def _survivors(c: Chunk, batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
 
 
 def _windows(part: int, lengths: list[int], last: int):
-    """(h1, h2, doc, at): the windows of length ``last`` around surviving parts."""
+    """(h1, h2, doc, at): the windows of length ``last`` around surviving parts, by 96 bits of two hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column("text")):
@@ -105,7 +105,7 @@ def _windows(part: int, lengths: list[int], last: int):
                     some = at[a:a + (1 << 16)]
                     yield pa.RecordBatch.from_pydict({
                         "h1": pa.array(signed(window_hashes(hashes, some, last))),
-                        "h2": pa.array(signed(window_hashes(second, some, last, 1))),
+                        "h2": pa.array((window_hashes(second, some, last, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                         "doc": pa.array(ids[doc[some]]),
                         "at": pa.array((some - w.first[doc[some]]).astype(np.int32)),
                     })
@@ -167,7 +167,7 @@ def repeated_windows_removed(docs: DataFrame, id_col: str = "doc_id", text_col:
     candidates = scratch.store(texts, "texts")
     least = None
     for last in lengths[1:]:
-        rows = candidates.mapInArrow(_windows(lengths[0], lengths, last), "h1 long, h2 long, doc long, at int")
+        rows = candidates.mapInArrow(_windows(lengths[0], lengths, last), "h1 long, h2 int, doc long, at int")
         if least is not None:
             rows = rows.join(least, ["doc", "at"], "left_semi")
         rows = scratch.store(rows, f"windows-{last}")

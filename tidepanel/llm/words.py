@@ -15,7 +15,7 @@ import pyarrow as pa
 
 BASES = (np.uint64(0x9E3779B97F4A7C55), np.uint64(0xD6E8FEB86659FD93))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in BASES)
-_BLOCK_WORDS = 1 << 16
+_BLOCK_WORDS = 1 << 13  # so that the tables of powers stay small: every task makes its own
 CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
@@ -103,7 +103,7 @@ def _powers(which: int, inverse: bool, n: int) -> np.ndarray:
     have = _POWERS.get((which, inverse))
     if have is None or len(have) < n:
         base = (_INVERSES if inverse else BASES)[which]
-        have = np.full(max(n, 1 << 20), base, np.uint64)
+        have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
         _POWERS[which, inverse] = have
