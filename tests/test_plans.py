@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tidepanel.operators import dedup, features as X
+from tidepanel.plans.catalog import QUERIES
 from tidepanel.plans.registry import Inputs
 from tidepanel.sources import files
 
@@ -54,10 +55,16 @@ def test_category_filter_reaches_the_scan(static):
     assert "ReadSchema: struct<p_partkey:bigint,p_type:string>" in part.replace("p_brand:string,", "").replace("p_name:string,", "")
 
 
-EAGER = {"g12_ingest_step", "g13_run_cycle", "h3_gbt_train", "h4_predict", "h14_retrain", "h13_contributions"}
+@pytest.mark.parametrize("name, most", [
+    ("c17_live_frame", 13), ("e10_weekly_by_category", 4), ("e15_scatter", 6), ("e18_trends", 7), ("e21_report", 13)])
+def test_exchanges_of_registered_queries(static, name, most):
+    assert len(re.findall(r"\bExchange ", _plan(QUERIES[name].run(static, FOLDER)))) <= most
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in EAGER])
+EAGER = {"g7_split_date", "g12_ingest_step", "g13_run_cycle", "h3_gbt_train", "h4_predict", "h14_retrain", "h13_contributions"}
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in EAGER])
 def test_no_pairwise_joins_and_no_python_rows(spark, name):
-    plan = _plan(entry.queries()[name](spark, FOLDER))
+    plan = _plan(QUERIES[name].run(spark, FOLDER))
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|EvalPython|MapInPandas|FlatMapGroups", plan)
