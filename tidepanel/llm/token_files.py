@@ -25,7 +25,8 @@ SHARD_TOKENS = 1 << 20
 ROUNDS = 8
 ROUND_RULES = 2048
 LEAST_COUNT = 8
-CACHE_WORDS = 400_000
+CACHE_PIECES = 300_000
+_JOINED = 2000
 _BATCH_TEXT = 1 << 21
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 
@@ -53,12 +54,48 @@ class Encoder:
             plan = json.load(f)
         pre = plan.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not plan.get("normalizer")
-        self.cache: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}  # pieces used lately; the ones before them go when it is full
+        self.older: dict[str, bytes] = {}
+        if self.cuts:
+            vocabulary = self.tokenizer.get_vocab()  # one character for each byte
+            self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.sizes[list(vocabulary.values())] = [len(x) for x in vocabulary]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in found]
 
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Pieces with their space before them. Many are encoded as one text, which is cut at their bytes again."""
+        plain = [p for p in pieces if p and p == p.strip()]
+        rest = [p for p in pieces if not p or p != p.strip()]
+        found: dict[str, bytes] = {}
+        for a in range(0, len(plain), _JOINED):
+            some = plain[a:a + _JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)) + 1)
+            so_far = np.cumsum(self.sizes[ids])
+            at = np.searchsorted(so_far, ends) + 1
+            if (so_far[at - 1] != ends).any():  # not cut as expected: one by one
+                rest += some
+                continue
+            raw, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
+            found.update(zip(some, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+        found.update(zip(rest, self._whole([" " + p for p in rest]), strict=True))
+        return found
+
+    def _learn(self, wanted: set[str]) -> None:
+        """Bring all wanted pieces into the recent ones."""
+        new = []
+        for p in wanted:
+            if p not in self.recent:
+                known = self.older.get(p)
+                if known is None:
+                    new.append(p)
+                else:
+                    self.recent[p] = known
+        self.recent.update(self._pieces(new))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without the end id."""
         out: list[bytes] = [b""] * len(texts)
@@ -71,11 +108,10 @@ class Encoder:
                 whole.append(k)
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
             out[k] = ids
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        known = self.cache
-        new = list({p for pieces in cut.values() for p in pieces[1:] if p not in known})
-        known.update(zip(new, self._whole([" " + p for p in new]), strict=True))
+        if len(self.recent) > CACHE_PIECES:
+            self.recent, self.older = {}, self.recent
+        self._learn({p for pieces in cut.values() for p in pieces[1:]})
+        known = self.recent
         heads = self._whole([pieces[0] for pieces in cut.values()])
         for (k, pieces), head in zip(cut.items(), heads, strict=True):
             out[k] = head + b"".join(map(known.__getitem__, pieces[1:]))
@@ -88,35 +124,40 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> dict:
     Each round counts all pairs and replaces the most frequent ones together; a symbol that is the left part of one
     chosen pair is the right part of none, so no two replacements overlap. Rounds stop when they save less than 1 %.
     """
-    terminals, seq = np.unique(ids, return_inverse=True)
-    seq, ends = seq.astype(np.int64).reshape(-1), ends.copy()
+    terminals = np.flatnonzero(np.bincount(ids))
+    place = np.zeros(terminals[-1] + 1, np.uint32)
+    place[terminals] = np.arange(len(terminals))
+    seq, ends = place[ids], ends.copy()
     rules: list[np.ndarray] = []
     n = len(terminals)
     lengths = np.ones(n, np.int64)
     for _ in range(rounds):
         before = len(seq)
-        pairs = (seq[:-1] << 32 | seq[1:])[~ends[:-1]]
+        narrow = n <= 1 << 16  # then a pair is one number of 32 bits, which sorts faster
+        bits, kind_of = (16, np.uint32) if narrow else (32, np.uint64)
+        whole = seq[:-1].astype(kind_of) << kind_of(bits) | seq[1:]
+        pairs = np.sort(whole[~ends[:-1]])
         if not len(pairs):
             break
-        pairs.sort()
-        edge = np.flatnonzero(np.diff(pairs, prepend=-1, append=-2))
+        edge = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1], [True]]))
         count, kind = np.diff(edge), pairs[edge[:-1]]
         often = np.flatnonzero(count >= LEAST_COUNT)
         often = often[np.lexsort((kind[often], -count[often]))][:2 * ROUND_RULES]
         lefts, rights, chosen = set(), set(), []
         for code in kind[often].tolist():
-            a, b = code >> 32, code & 0xFFFFFFFF
+            a, b = code >> bits, code & (1 << bits) - 1
             if a != b and a not in rights and b not in lefts and len(chosen) < ROUND_RULES:
                 lefts.add(a)
                 rights.add(b)
                 chosen.append(code)
         if not chosen:
             break
-        chosen = np.sort(np.array(chosen))
+        chosen = np.sort(np.array(chosen, kind_of))
+        parts = np.stack([chosen >> kind_of(bits), chosen & kind_of((1 << bits) - 1)], axis=1).astype(np.int64)
         is_left, is_right = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-        is_left[chosen >> 32], is_right[chosen & 0xFFFFFFFF] = True, True
+        is_left[parts[:, 0]], is_right[parts[:, 1]] = True, True
         at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~ends[:-1])
-        code = seq[at] << 32 | seq[at + 1]
+        code = whole[at]
         place = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
         right = chosen[place] == code
         at, place = at[right], place[right]
@@ -125,7 +166,6 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> dict:
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         seq, ends = seq[keep], ends[keep]
-        parts = np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1)
         rules.append(parts)
         lengths = np.concatenate([lengths, lengths[parts].sum(axis=1)])
         n += len(chosen)
@@ -217,19 +257,19 @@ _SHARD_ARROW = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary":
                           for n, t in (x.split() for x in SHARD.split(", "))])
 
 
-def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-                      tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> None:
-    """Encode whole texts, append the end id to each, and write shards in ascending order of the id.
+def token_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
+                 shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> DataFrame:
+    """Encode whole texts, append the end id to each, and make shards in ascending order of the id.
 
     Null and empty texts are the end id alone. Rows without an id are left out; rows with the same id follow one
-    another in the order of their texts. Other columns are ignored. An empty table gives files without shards.
-    A shard ends with the document that fills it, so a very long text is a long shard of its own.
+    another in the order of their texts. Other columns are ignored. An empty table gives no shards. A shard ends
+    with the document that fills it, so a very long text is a long shard of its own.
     """
     shared = docs.sparkSession.sparkContext.broadcast({"path": tokenizer or default_tokenizer()})
     ordered = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     ).repartitionByRange("doc").sortWithinPartitions("doc", "text")
-    ordered.mapInArrow(_write(shared, shard_tokens, rounds), SHARD).write.parquet(path)
+    return ordered.mapInArrow(_write(shared, shard_tokens, rounds), SHARD)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +304,5 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def token_files_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    scratch = Scratch(docs.sparkSession, "token-files")
-    write_token_files(docs, f"{scratch.root}/files", id_col, text_col)
-    return read_token_files(docs.sparkSession.read.schema(SHARD).parquet(f"{scratch.root}/files"), id_col)
+    """Write the files to the shared folder and read them back."""
+    return read_token_files(Scratch(docs.sparkSession, "token-files").store(token_shards(docs, id_col, text_col), "files"), id_col)
