@@ -3,10 +3,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tidepanel.llm import packing, token_files
+from tidepanel.llm import packing, token_files, words
 from tidepanel.llm.neighbours import nearest_neighbours
 from tidepanel.llm.queries import QUERIES
 
@@ -65,14 +66,23 @@ def test_grammar_decodes_to_what_it_encoded():
     assert len(shard.sequence) < len(ids) or vocabulary > 1000
 
 
-def test_encoding_in_pieces_equals_encoding_whole():
+def test_encoding_in_pieces_equals_encoding_whole(monkeypatch):
     encoder = token_files.Encoder(token_files.default_tokenizer())
     whole = Tokenizer.from_file(token_files.default_tokenizer())
     assert encoder.cuts
     r = random.Random(7)
     signs = ["a", "B", "é", "ß", "1", "'s", "'ll", ".", "\n", " ", "  ", "\t", " ", "　", "中", "!!", "don't", " ", "\x85", "\x1c", "😀"]
     texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 25))) for _ in range(3000)]
-    assert [x.tolist() for x in encoder.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    texts += [" ".join(r.choice(signs[:13]) * r.randint(1, 3) for _ in range(r.randint(0, 60))) for _ in range(500)]
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    for limit in (200, 1 << 16, 1 << 22):
+        got = [x.tolist() for c in words.chunks(pa.array(texts), limit) for x in encoder.encode(c)]
+        assert got == want
+    monkeypatch.setattr(token_files, "word_hashes", lambda data, w, which=0: (w.ends - w.starts).astype(np.uint64) << np.uint64(32)
+                        if which else np.zeros(len(w.starts), np.uint64))
+    clash, few = token_files.Encoder(token_files.default_tokenizer()), ["a bb ccc", "d ffff", "ff g"]  # all pieces share a key
+    assert [x.tolist() for _ in range(2) for c in words.chunks(pa.array(few)) for x in clash.encode(c)] == [
+        e.ids for e in whole.encode_batch(few * 2, add_special_tokens=False)]
 
 
 def test_token_files_round_trip(make_docs):

@@ -10,7 +10,6 @@ No rule spans two documents, so each document is decoded alone, and sums of ``le
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,16 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidepanel.llm.storage import Scratch
+from tidepanel.llm.words import Chunk, Words, chunks, word_hashes, words
 
 END = 0
 SHARD_TOKENS = 1 << 20
 ROUNDS = 8
 ROUND_RULES = 2048
 LEAST_COUNT = 8
-CACHE_PIECES = 300_000
+CACHE_PIECES = 2_000_000
 _JOINED = 2000
-_BATCH_TEXT = 1 << 21
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
+_BATCH_TEXT = 1 << 22
 
 SHARD = ("part long, seq int, n_tokens long, docs binary, first_symbol binary, terminals binary, rules binary, "
          "lengths binary, width int, sequence binary")
@@ -40,10 +39,33 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_ONLY_SPACE = np.zeros(256, dtype=bool)
+_ONLY_SPACE[0x20] = True
+_ASCII_WHITE = np.zeros(256, dtype=bool)
+_ASCII_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+
+
+def space_after_white(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which documents have a space after white space of any kind, or at their begin or end."""
+    padded = np.concatenate([np.zeros(3, np.uint8), data])
+    at = np.flatnonzero(data == 0x20)
+    a, b, c = padded[at + 2], padded[at + 1], padded[at]  # the bytes before, nearest first
+    bad = _ASCII_WHITE[a]
+    bad |= (b == 0xC2) & ((a == 0x85) | (a == 0xA0)) | (c == 0xE1) & (b == 0x9A) & (a == 0x80)
+    bad |= (c == 0xE2) & (b == 0x80) & ((a >= 0x80) & (a <= 0x8A) | (a == 0xA8) | (a == 0xA9) | (a == 0xAF))
+    bad |= (c == 0xE2) & (b == 0x81) & (a == 0x9F) | (c == 0xE3) & (b == 0x80) & (a == 0x80)
+    out = np.zeros(len(offsets) - 1, dtype=bool)
+    out[np.searchsorted(offsets, at[bad], "right") - 1] = True
+    some = np.flatnonzero(np.diff(offsets))
+    out[some] |= (data[offsets[some]] == 0x20) | (data[offsets[some + 1] - 1] == 0x20)
+    return out
+
+
 class Encoder:
     """Whole texts to ids. A byte-level vocabulary starts a new piece at every single space, whatever stands before
-    it, so texts are cut there and each piece is encoded once while it stays in the cache. Texts in which a space
-    follows white space, and other kinds of tokenizer, are encoded as a whole."""
+    it, so texts are cut there, and each piece is encoded once while it stays in the cache. A piece is known by 96
+    bits of two hashes. Texts in which a space follows white space, and other kinds of tokenizer, are encoded as a
+    whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,68 +76,103 @@ class Encoder:
             plan = json.load(f)
         pre = plan.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not plan.get("normalizer")
-        self.recent: dict[str, bytes] = {}  # pieces used lately; the ones before them go when it is full
-        self.older: dict[str, bytes] = {}
+        self._forget()
         if self.cuts:
             vocabulary = self.tokenizer.get_vocab()  # one character for each byte
             self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
             self.sizes[list(vocabulary.values())] = [len(x) for x in vocabulary]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in found]
-
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Pieces with their space before them. Many are encoded as one text, which is cut at their bytes again."""
-        plain = [p for p in pieces if p and p == p.strip()]
-        rest = [p for p in pieces if not p or p != p.strip()]
-        found: dict[str, bytes] = {}
-        for a in range(0, len(plain), _JOINED):
-            some = plain[a:a + _JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)) + 1)
-            so_far = np.cumsum(self.sizes[ids])
-            at = np.searchsorted(so_far, ends) + 1
-            if (so_far[at - 1] != ends).any():  # not cut as expected: one by one
-                rest += some
-                continue
-            raw, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
-            found.update(zip(some, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
-        found.update(zip(rest, self._whole([" " + p for p in rest]), strict=True))
-        return found
-
-    def _learn(self, wanted: set[str]) -> None:
-        """Bring all wanted pieces into the recent ones."""
-        new = []
-        for p in wanted:
-            if p not in self.recent:
-                known = self.older.get(p)
-                if known is None:
-                    new.append(p)
-                else:
-                    self.recent[p] = known
-        self.recent.update(self._pieces(new))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, without the end id."""
-        out: list[bytes] = [b""] * len(texts)
-        cut, whole = {}, []
-        for k, text in enumerate(texts):
-            if self.cuts and not _SPACE_AFTER_SPACE.search(text):
-                pieces = text.split(" ")
-                cut[k] = pieces
-            elif text:
-                whole.append(k)
-        for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
+    def _forget(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.first, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)  # places in ``flat``
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces with their space before them, one after another, and how many each has. Many pieces are
+        encoded as one text, which is cut at their bytes again; odd ones are encoded alone."""
+        flat, many = [], []
+        for a in range(0, len(pieces), _JOINED):
+            some = pieces[a:a + _JOINED]
+            if all(p == p.strip() for p in some):
+                ids = self._whole([" " + " ".join(some)])[0]
+                ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)) + 1)
+                so_far = np.cumsum(self.sizes[ids])
+                at = np.searchsorted(so_far, ends) + 1
+                if (so_far[at - 1] == ends).all():
+                    flat.append(ids)
+                    many.append(np.diff(at, prepend=0))
+                    continue
+            alone = self._whole([" " + p for p in some])
+            flat += alone
+            many.append(np.array([len(x) for x in alone], np.int64))
+        return np.concatenate(flat), np.concatenate(many)
+
+    def _room(self, more: int) -> None:
+        if self.used + more > len(self.flat):
+            self.flat = np.concatenate([self.flat[:self.used], np.zeros(self.used + 2 * more, np.uint32)])
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
+        ids, many = self._pieces(pieces)
+        self._room(len(ids))
+        self.flat[self.used:self.used + len(ids)] = ids
+        at = np.searchsorted(self.keys, keys)
+        first = self.used + np.cumsum(many) - many
+        for name, new in (("keys", keys), ("checks", checks), ("first", first), ("many", many)):
+            setattr(self, name, np.insert(getattr(self, name), at, new))
+        self.used += len(ids)
+
+    def encode(self, c: Chunk) -> list[np.ndarray]:
+        """Ids of each text of a chunk, without the end id."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(c.rows)
+        odd = space_after_white(c.data, c.offsets) if self.cuts else np.ones(len(c.rows), dtype=bool)
+        whole = np.flatnonzero(odd & (np.diff(c.offsets) > 0)).tolist()
+        for k, ids in zip(whole, self._whole([c.text(k).decode() for k in whole]), strict=True):
             out[k] = ids
-        if len(self.recent) > CACHE_PIECES:
-            self.recent, self.older = {}, self.recent
-        self._learn({p for pieces in cut.values() for p in pieces[1:]})
-        known = self.recent
-        heads = self._whole([pieces[0] for pieces in cut.values()])
-        for (k, pieces), head in zip(cut.items(), heads, strict=True):
-            out[k] = head + b"".join(map(known.__getitem__, pieces[1:]))
-        return [np.frombuffer(x, np.uint32) for x in out]
+        w = words(c.data, c.offsets, _ONLY_SPACE)
+        head = np.zeros(len(w.starts), dtype=bool)
+        head[w.first[:-1][w.counts > 0]] = True
+        piece = np.flatnonzero(~head & ~odd[w.doc])
+        fine = np.flatnonzero((w.counts > 0) & ~odd)
+        heads = self._whole([c.data[w.starts[w.first[k]]:w.ends[w.first[k]]].tobytes().decode() for k in fine])
+        if len(self.keys) > CACHE_PIECES:
+            self._forget()
+        spans = Words(w.starts[piece], w.ends[piece], np.zeros(1, np.int64))
+        keys = word_hashes(c.data, spans)
+        checks = (word_hashes(c.data, spans, 1) >> np.uint64(32)).astype(np.uint32)
+        order = np.argsort(keys)
+        edge = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else order
+        kind = np.empty(len(keys), np.int64)
+        kind[order] = np.repeat(np.arange(len(edge)), np.diff(edge, append=len(keys)))
+        one, own = order[edge], keys[order[edge]]
+        at = np.minimum(np.searchsorted(self.keys, own), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != own) if len(self.keys) else np.arange(len(own))
+        if len(new):
+            texts = [c.data[a:b].tobytes().decode() for a, b in zip(spans.starts[one[new]].tolist(), spans.ends[one[new]].tolist(), strict=True)]
+            self._learn(own[new], checks[one[new]], texts)
+            at = np.searchsorted(self.keys, own)
+        same = self.checks[at[kind]] == checks if len(keys) else np.zeros(0, dtype=bool)
+        if not same.all():  # two pieces with one key: such texts are encoded as a whole
+            for k in set(w.doc[piece[~same]].tolist()):
+                out[k] = self._whole([c.text(k).decode()])[0]
+                odd[k] = True
+        # One row of (place, length) for each word of the texts that were cut, heads behind the cache.
+        first, many = np.zeros(len(w.starts), np.int64), np.zeros(len(w.starts), np.int64)
+        first[piece], many[piece] = self.first[at[kind]], self.many[at[kind]]
+        size = np.array([len(x) for x in heads], np.int64)
+        begin = self.used + np.cumsum(size) - size
+        self._room(int(size.sum()))
+        self.flat[self.used:self.used + int(size.sum())] = np.concatenate(heads) if heads else 0
+        first[w.first[fine]], many[w.first[fine]] = begin, size
+        ends = np.cumsum(many)
+        ids = self.flat[np.repeat(first - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = np.concatenate([[0], ends])
+        for k in fine.tolist():
+            if not odd[k]:
+                out[k] = ids[stops[w.first[k]]:stops[w.first[k + 1]]]
+        return out
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> dict:
@@ -236,11 +293,9 @@ def _write(shared, shard_tokens: int, rounds: int):
             return pa.RecordBatch.from_pylist([row], schema=_SHARD_ARROW)
 
         for batch in batches:
-            sizes = np.cumsum([len(x) for x in batch.column("text").to_pylist()]) if len(batch) else []
-            cuts = np.searchsorted(sizes, np.arange(0, sizes[-1] + 1, _BATCH_TEXT)) if len(sizes) else []
-            for a, b in zip([0, *cuts[1:]], [*cuts[1:], len(batch)], strict=True) if len(sizes) else []:
-                some = batch.slice(a, b - a)
-                for doc, found in zip(some.column("doc").to_pylist(), encoder.encode(some.column("text").to_pylist()), strict=True):
+            ids_of = batch.column("doc").to_pylist()
+            for c in chunks(batch.column("text"), _BATCH_TEXT):
+                for doc, found in zip(ids_of[c.rows.start:c.rows.stop], encoder.encode(c), strict=True):
                     part = doc if part is None else part
                     docs.append(doc)
                     ids.append(np.append(found, np.uint32(END)))
