@@ -98,9 +98,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, license, shared, n_shingles, containment, first_word): templates of which at least ``percent`` of the
     five-word shingles stand in one window of the document, with the best window (the first among equals).
 
-    Templates are a dictionary that the caller holds in memory, so their size is bounded by the driver's; they go out
-    as literals. Only documents with some template shingle are cut into windows: without one no window can hold
-    a template. Null and empty texts and texts of fewer than five words match nothing, nor do templates of fewer
+    Templates are a dictionary that the caller holds in memory, so their size is bounded by the driver's; they are the
+    only side that is broadcast. Only windows with some template shingle are made: without one no window can hold a
+    template. Null and empty texts and texts of fewer than five words match nothing, nor do templates of fewer
     than five words. Rows without an id are left out; documents that come twice give the same rows once.
     Other columns are ignored; an empty table or no templates give an empty result.
     """
@@ -108,24 +108,24 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = template_table(spark, TEMPLATES if templates is None else templates, percent, miss)
     known = table.collect()
     every = sorted({s for t in known for s in t["items"]})
-    classes = sorted({(t["size"], t["step"]) for t in known})
-    bands = {size: max(t["bands"] for t in known if t["size"] == size) for size, _ in classes}
+    bands = {t["size"]: max(u["bands"] for u in known if u["size"] == t["size"]) for t in known}
     read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    held = read.select("doc", shingles("text").alias("all"))
-    some = held.where(F.arrays_overlap("all", F.array(*[F.lit(s).cast("long") for s in every]) if every else F.expr("array(0L)")))
-    if not known:
-        some = some.where("false")
-    # One pass over a document makes the windows of all classes; a text shorter than a window is one window.
-    starts = [f"transform(sequence(0, greatest(0, size(all) - {size} + {step} - 1), {step}), at -> struct({size} as size, at as at))"
-              for size, step in classes]
-    windows = some.select("doc", "all", F.explode(F.expr(f"concat({', '.join(starts)})" if starts else "array(struct(1 as size, 0 as at))")).alias("w"))
-    windows = windows.select("doc", F.col("w.size").alias("size"), F.col("w.at").alias("at"),
-                             F.expr("array_distinct(slice(all, w.at + 1, w.size))").alias("held")).where("size(held) > 0")
+    literal = f"array({', '.join(f'{s}L' if s > -(1 << 63) else 'bigint(-9223372036854775808)' for s in every) or '0L'})"
+    # Where template shingles stand: only windows over such a place can hold a template.
+    places = "filter(sequence(0, size(all) - 1), i -> array_contains({}, all[i]))".format(literal)
+    held = read.select("doc", shingles("text").alias("all")).where("size(all) > 0" if known else "false")
+    marked = held.where(f"arrays_overlap(all, {literal})").select("doc", "all", F.explode(F.expr(places)).alias("p"))
+    classes = F.broadcast(table.select(F.explode("items").alias("shingle"), F.col("size").alias("class"), "step").distinct())
+    near = marked.join(classes, F.expr("all[p] = shingle"))
+    starts = near.select("doc", "all", F.col("class").alias("size"), F.explode(F.expr(
+        "sequence(greatest(0, int(ceil((p - class + 1) / step))) * step, int(floor(p / step)) * step, step)")).alias("at"))
+    windows = starts.select("doc", "size", "at", F.expr("array_distinct(slice(all, at + 1, size))").alias("held")).dropDuplicates(
+        ["doc", "size", "at"])
     most = F.expr("case size {} end".format(" ".join(f"when {s} then {b}" for s, b in bands.items())) if bands else "1")
     keyed = windows.withColumn("bands", most).withColumn("key", F.explode(F.expr(_band_keys("held", "bands"))))
     wanted = table.select(
         "license", "items", "n", F.col("size").alias("class"), F.explode(F.expr(_band_keys("items", "bands"))).alias("band_key"))
-    found = (keyed.join(wanted, (F.col("key") == F.col("band_key")) & (F.col("size") == F.col("class")))
+    found = (keyed.join(F.broadcast(wanted), (F.col("key") == F.col("band_key")) & (F.col("size") == F.col("class")))
              .select("doc", "license", "n", "at", F.size(F.array_intersect("held", "items")).alias("shared"))
              .where(f"100 * shared >= {percent} * n"))
     best = found.groupBy("doc", "license", "n").agg(F.max("shared").alias("shared"), F.min(F.struct((-F.col("shared")).alias("o"), "at")).alias("b"))
