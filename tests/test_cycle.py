@@ -181,3 +181,19 @@ def test_train_gate_and_rollback(spark):
     states = {r["version"]: r["status"] for r in store.registry.current().collect()}
     assert states == {"one": "active", "two": "rolled_back", "three": "archived"}
     assert [r["status"] for r in store.jobs.log().orderBy("_batch").collect()] == ["accepted", "accepted", "rejected", "rolled_back"]
+
+
+def test_errors_of_whole_dates_are_measured(spark):
+    """The window ends at a date, not within one: 6 rows asked for, 4 of a date."""
+    store = StateStore(spark, scratch_dir(spark, "state"))
+    cycle = DailyCycle(store, replace(DEFAULTS, expected_entities=4, error_window=6))
+    cycle.seed(_frame(spark, _day(-1, "abcd")))
+    cycle.process(_frame(spark, [r for k in range(5) for r in _day(k, "abcd", bump=float(k * k))]))
+    rows = store.fva.current().filter("date >= DATE'2025-04-04'").collect()  # the newest two dates
+    last = store.drift.log(only=ordinal(D + dt.timedelta(days=4))).first()
+    assert len(rows) == 8 and last["mae"] == pytest.approx(sum(r["abs_demand_error"] for r in rows) / 8)
+    cycle.settings = replace(cycle.settings, error_window=3)  # less than one date
+    cycle.process(_frame(spark, [(d, e, v * (ord(e) - 96), p) for d, e, v, p in _day(5, "abcd")]))
+    key = ordinal(D + dt.timedelta(days=5))
+    made = [r["abs_demand_error"] for r in store.fva.log(only=key).collect()]
+    assert len(made) == 4 and store.drift.log(only=key).first()["mae"] == pytest.approx(sum(made) / 4)

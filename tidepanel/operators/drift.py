@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.functions.columns import lenient_double, severity
 from tidepanel.functions.quantiles import exact_quantiles
@@ -66,14 +66,22 @@ def newest(fva: DataFrame, limit: int, order: Sequence[str] = INSERTION_ORDER) -
     return fva.orderBy(*[F.desc(c) for c in order if c in fva.columns]).limit(limit)
 
 
+def newest_dates(fva: DataFrame, least: int) -> DataFrame:
+    """All rows of the newest dates that together hold at least ``least`` rows."""
+    days = fva.groupBy("date").agg(F.count("*").alias("_rows"))  # one row per date
+    newer = F.sum("_rows").over(Window.orderBy(F.desc("date"))) - F.col("_rows")
+    kept = days.withColumn("_newer", newer).filter(F.col("_newer") < least).select("date")
+    return fva.join(F.broadcast(kept), "date", "left_semi")
+
+
 def error_metrics(
-    fva: DataFrame, window: int = DEFAULTS.error_window, model_version: str | None = None
+    fva: DataFrame, window: int | None = DEFAULTS.error_window, model_version: str | None = None
 ) -> DataFrame:
-    """MAE, MAPE and RMSE of the newest rows, across versions unless one is named."""
+    """MAE, MAPE and RMSE of the newest rows (all without a window), across versions unless one is named."""
     if model_version is not None:
         fva = fva.filter(F.col("model_version") == model_version)
     measures = error_aggregates(F.col("actual_demand"), F.col("pred_demand"))
-    return newest(fva, window).agg(
+    return (fva if window is None else newest(fva, window)).agg(
         *[c.alias(n) for n, c in measures.items()], F.count("*").alias("n_rows")
     )
 
@@ -227,9 +235,13 @@ def drift_status(
 
 def drift_snapshot(
     fva: DataFrame, psi: DataFrame, baseline_mae: float | Column, settings: Settings = DEFAULTS,
+    whole: bool = False,
 ) -> DataFrame:
-    """One row: error metrics, largest PSI, status and the PSI map as JSON."""
-    errors = error_metrics(fva, settings.error_window)
+    """One row: error metrics, largest PSI, status and the PSI map as JSON.
+
+    The metrics rest on the newest ``error_window`` rows, or with ``whole`` on all rows given.
+    """
+    errors = error_metrics(fva, None if whole else settings.error_window)
     # One entry per feature column of the contract.
     entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "psi"))))
     stability = psi.agg(

@@ -1,7 +1,7 @@
 """The daily cycle on Structured Streaming: ingest, compare, measure, alert, decide, forecast.
 
 Each date is one step whose work grows with the day's rows and not with history: the features
-need the last rows of each entity (``tail``) and the metrics the newest errors
+need the last rows of each entity (``tail``) and the metrics the errors of the newest dates
 (``error_window``); both are carried from date to date as small tables. Every table is written
 once per date into that date's partition and the runtime state last, so a step that is replayed
 after a failure overwrites itself, and a date at or before the watermark is ignored.
@@ -18,7 +18,7 @@ from tidepanel.functions.columns import lenient_double
 from tidepanel.operators.dashboard import daily_summary
 from tidepanel.operators.dedup import keep_last, union_keep_last
 from tidepanel.operators.drift import (
-    alerts_from_errors, align_forecasts, drift_snapshot, feature_psi, newest,
+    alerts_from_errors, align_forecasts, drift_snapshot, feature_psi, newest_dates,
 )
 from tidepanel.operators.features import FEATURE_LOOKBACK, feature_frame
 from tidepanel.operators.normalize import finalize_features, normalize_feed
@@ -222,13 +222,13 @@ class DailyCycle:
         self.store.tail.append(trailing_rows(tail.unionByName(batch)), key)
 
     def _compare(self, batch: DataFrame, key: int, previous: int) -> None:
-        """Errors of the date, and the newest errors over all dates."""
+        """Errors of the date, and those of the newest dates that hold ``error_window`` rows, each date whole."""
         store = self.store
         made = store.predictions.log(only=key - 1)  # forecasts for a date are made the day before
         store.fva.append(align_forecasts(batch, made).withColumn("created_at", F.current_timestamp()), key)
         fresh = store.fva.log(only=key).withColumnRenamed("_batch", "first_seq")
         held = store.error_window.log(only=previous).drop("_batch")
-        store.error_window.append(newest(held.unionByName(fresh), self.settings.error_window), key)
+        store.error_window.append(newest_dates(held.unionByName(fresh), self.settings.error_window), key)
 
     def _forecast(self, tail: DataFrame, batch: DataFrame, key: int) -> None:
         if self.forecasts:
@@ -251,7 +251,7 @@ class DailyCycle:
         else:
             psi = self.spark.createDataFrame([], "feature STRING, psi DOUBLE")
         baseline = float(state["active_baseline_mae"])
-        snapshot = drift_snapshot(errors, psi, baseline, self.settings)
+        snapshot = drift_snapshot(errors, psi, baseline, self.settings, whole=True)
         base = F.lit(baseline)
         perf_now = performance_drift(F.col("mae"), F.col("mape"), base, self.settings)
         roll_now = rollback_drift(F.col("mae"), base, self.settings)
