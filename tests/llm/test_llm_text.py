@@ -85,6 +85,21 @@ def test_main_text_of_odd_pages(spark):
     assert extract_text(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><meta charset=x><title>T</title><link href=y><body><p>A</p><p>B</p>", "A\n\nB"),
+    ("<head><title>T</title><style>p{}</style><div>A</div>", "A"), ("<head><script>x</script>A<p>B", "A\n\nB"),
+    ('<article><p>A<svg class="i"/>B</p><p>C</p></article>', "A B\n\nC"),
+    ("<article><p>A<svg><title/><style/><path d=x /></svg>B</p><p>C</p></article>", "A B\n\nC"),
+    ("<article><p>A <button>x</p><p>B</p><p><button>y</button>C</p></article>", "A\n\nB\n\nC"),
+    ("<article><p>A</p><div><svg><path></div><p>B</p><svg><g><svg></svg>x</g></svg><p>C</p></article>", "A\n\nB\n\nC"),
+    ("<article><p>A</p><noscript></article><p>x</noscript><template><div></template><p>B</p></article>", "A\n\nB"),
+    ("<article><p>A</p><script>x</article><p>B", "A"),
+    ('<main><article class="post category-social tag-promotion"><p>A</p><article class="comment"><p>B</p></article></article></main>', "A"),
+])
+def test_elements_without_end_and_class_names_of_articles(page, text):
+    assert main_text(page) == text
+
+
 def test_pages_keep_their_articles(spark, folder):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     for r in QUERIES["op2_html_extraction"](spark, folder).collect():

@@ -22,9 +22,12 @@ WINDOW = 3
 SURGE = 80
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|select|textarea|button|title|head)\b"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "textarea", "title")}  # no tags in them, up to the end tag
+_FOREIGN = frozenset("svg math".split())  # here a tag that ends in a slash is an empty element
+_NESTED = _FOREIGN | {"template", "object"}
+_DROPPED = _NESTED | frozenset("noscript iframe select button".split())
+_IN_HEAD = frozenset("base link meta noscript script style template title".split())
 _MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -45,8 +48,35 @@ _SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 _WITH = re.compile(r"\b(?:no|has|with|without)[_-]\w+", re.I)  # says what stands beside an element, not what it is
 
 
-def _left_out(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element and all in it is not part of the article."""
+def _tokens(page: str) -> tuple[list[tuple[int, int, str, str, str]], dict[int, int]]:
+    """(begin, end, slash, name, attributes) of each tag, comment or raw element (name '' or the element's, slash '*'),
+    and for dropped elements with an end tag the place in the list where they begin and that of their end tag."""
+    out: list[tuple[int, int, str, str, str]] = []
+    pairs: dict[int, int] = {}
+    starts: dict[str, list[int]] = {n: [] for n in _DROPPED}
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at, slash, name, attributes = m.end(), m[1] or "", (m[2] or "").lower(), m[3] or ""
+        empty = attributes.rstrip().endswith("/")
+        if name in _RAW and not slash:
+            if not (empty and (starts["svg"] or starts["math"])):
+                end = _RAW[name].search(page, at)
+                at = end.end() if end else len(page)
+            slash = "*"
+        elif name in _DROPPED:
+            if slash and starts[name]:
+                pairs[starts[name].pop()] = len(out)
+                if name not in _NESTED:
+                    starts[name].clear()
+            elif not slash and not (empty and name in _FOREIGN):
+                starts[name].append(len(out))
+        out.append((m.start(), at, slash, name, attributes))
+    return out, pairs
+
+
+def _left_out(name: str, attributes: str, inside: bool, nested: bool = False) -> bool:
+    """Whether an element and all in it is not part of the article. The words of a class say so of an article only if
+    it is ``nested`` in another one, as comments are; else they are the names of its subjects."""
     if name in _OUT or name == "header" and not inside:
         return True
     if "=" not in attributes and "hidden" not in attributes:
@@ -59,7 +89,7 @@ def _left_out(name: str, attributes: str, inside: bool) -> bool:
             return True
         if key == "role" and value.lower() in _OUT_ROLES:
             return True
-        if key in ("class", "id") and name not in ("html", "body", "main"):
+        if key in ("class", "id") and name not in ("html", "body", "main") and (name != "article" or nested):
             found = {w.lower() for w in _SPLIT.split(_WITH.sub(" ", value))} & _OUT_WORDS
             if found - ({"header"} if inside else set()):
                 return True
@@ -82,30 +112,43 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         text.clear()
         linked = 0
 
-    at = 0
-    for m in [*_TOKEN.finditer(page), None]:
-        if not skip and at < (m.start() if m else len(page)):
-            piece = html.unescape(page[at:m.start() if m else len(page)])
+    def end_of(name: str) -> None:
+        nonlocal skip, inside, links
+        last = ""
+        while last != name:
+            last = stack.pop()[0]
+            opened[last] -= 1
+        skip, inside = stack[-1][1:] if stack else (False, False)
+        links = opened["a"]
+
+    tokens, pairs = _tokens(page)
+    at, k, n = 0, 0, len(page)
+    while k <= len(tokens):
+        begin, stop, slash, name, attributes = tokens[k] if k < len(tokens) else (n, n, "", "", "")
+        if opened["head"] and at < begin and not page[at:begin].isspace():
+            end_of("head")  # text ends a head without end tag
+        if not skip and at < begin:
+            piece = html.unescape(page[at:begin])
             text.append(piece)
             if links:
                 linked += len("".join(piece.split()))
-        if m is None:
-            break
-        at, name = m.end(), (m[3] or "").lower()
-        if not name:
-            if m[1] and not skip:
-                text.append(" ")
+        at = stop
+        if not slash and opened["head"] and name and name not in _IN_HEAD:
+            end_of("head")  # so does an element of the body
+        dropped = name in _DROPPED and not slash
+        if (slash == "*" or dropped) and not skip:
+            text.append(" ")
+        closed = pairs.get(k) if dropped else None
+        if closed is not None:
+            at = tokens[closed][1]
+        k = (k if closed is None else closed) + 1
+        if not name or slash == "*" or closed is not None:
             continue
-        if m[2]:
+        if slash:
             if name in _BLOCKS:
                 close()
             if opened[name]:
-                last = ""
-                while last != name:
-                    last = stack.pop()[0]
-                    opened[last] -= 1
-                skip, inside = stack[-1][1:] if stack else (False, False)
-                links = opened["a"]
+                end_of(name)
             continue
         if name in _BLOCKS:
             close()
@@ -113,9 +156,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 opened[stack.pop()[0]] -= 1
         elif name in ("br", "wbr", "img") and not skip:
             text.append(" " if name == "br" else "")
-        if name in _VOID or m[4].rstrip().endswith("/"):
+        if name in _VOID or attributes.rstrip().endswith("/"):
             continue
-        skip = skip or _left_out(name, m[4], inside)
+        skip = skip or dropped or name == "head" or _left_out(name, attributes, inside, opened["article"] > 0)
         inside = inside or name in _MAIN and not skip
         stack.append((name, skip, inside))
         opened[name] += 1
@@ -162,7 +205,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Character references are decoded, white space within a block becomes one space. Null and empty pages and pages
     without an article have the text ''. A page without mark-up is one block. Broken mark-up is read as far as it
-    goes: an element without its end tag lasts as long as its parent. Every row is returned, also with null or
+    goes: an element without its end tag lasts as long as its parent, a head until the body begins, and only script,
+    style, textarea and title to the end of the page. Every row is returned, also with null or
     repeated ids. Other columns are ignored; an empty table gives an empty result.
     """
     source = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"),
