@@ -182,6 +182,28 @@ def test_formats_that_are_found():
         assert pii.entities(clean, triggers) == [], clean
 
 
+def test_names_are_replaced_wherever_they_stand_again(make_docs):
+    text = "Smith was out. Mr. John Smith called.\nSmith said that O'Neil and SMITH, not Smithson, met Anna O'Neil; Neil's note: smith@mail.example.org"
+    row = pii.replace_personal_data(make_docs([(1, text), (2, "Smith alone")]), keep=["doc_id"]).orderBy("doc_id").collect()
+    s = pii.Surrogates()
+    john, smith, anna, neil = s.word("John"), s.word("Smith"), s.word("Anna"), s.word("O'Neil")
+    mail = s.email("smith@mail.example.org")
+    assert row[0].text == (f"{smith} was out. Mr. {john} {smith} called.\n{smith} said that {neil} and {smith.upper()}, not Smithson, "
+                           f"met {anna} {neil}; {s.word('Neil')}'s note: {mail}")
+    assert row[1].text == "Smith alone"
+
+
+def test_secrets_are_found_by_part_of_their_name():
+    triggers, value = pii._triggers(), "9fK3xQ7zLm20"
+    for line in ("access_token={}", "client_secret: {}", "db_password={}", "aws_secret_access_key={}", '{{"token": "{}"}}', "'api_key': '{}'",
+                 "accessToken={}", "passwords: {}", "API_KEY_PROD = {}", "x-auth-token: {}", "a.token={}", "my secret2:{}"):
+        text = line.format(value)
+        assert [(k, text[a:b]) for a, b, k in pii.entities(text, triggers)] == [("secret", value)], line
+    for line in ("secretary: Katharina", "tokenizer: sentencepiece", "token of gratitude"):
+        assert pii.entities(line, triggers) == [], line
+    assert len(pii.entities("token" * 100_000 + ": x", triggers)) == 0
+
+
 def test_permutation_is_one():
     for n in (2, 3, 10, 26, 100, 1000):
         p = pii.Permutation("k", "x", n)

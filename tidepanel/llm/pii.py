@@ -47,6 +47,8 @@ _DIGITS, _HEX = "0123456789", "0123456789abcdef"
 
 _SECRETS = [f(w) for w in ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "access-key")
             for f in (str.lower, str.upper, str.capitalize)]
+# What may follow in the same word: another part of it or a plural, so that "secretary" or "tokenizer" is none.
+_SECRET_END = r"(?:[_-][\w-]*|[0-9A-Z][\w-]*|s|keys?|value|hash)?(?![\w-])"
 _NAME = r"[A-ZÀ-ÖØ-ÞŁŚŠŽČĆĐА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 
 
@@ -58,7 +60,7 @@ _GIVEN = [n for v in GIVEN.values() for n in v]
 # No entity goes over the end of a line.
 ENTITY = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    rf"|\b(?P<secret>(?:{_any(_SECRETS)})[ \t]*[:=][ \t]*[\"']?)(?P<value>[A-Za-z0-9+/_-]{{8,}})"
+    rf"|(?<![\w-])(?=[\w-]*?(?:{_any(_SECRETS)}){_SECRET_END})(?P<secret>[\w-]++[\"']?[ \t]*[:=][ \t]*[\"']?)(?P<value>[A-Za-z0-9+/_-]{{8,}})"
     r"|(?<![\w.])(?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?![\w]|\.[0-9])"
     r"|(?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"
     r"|(?<![\w+.-])(?P<card>[0-9]{13,19}|[0-9]{4}(?P<sep>[ -])[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w]|[.-][0-9])"
@@ -74,7 +76,7 @@ def _triggers() -> ahocorasick.Automaton:
     """What every entity has somewhere: a digit, an at sign, a secret's name, a form of address or a given name."""
     out = ahocorasick.Automaton()
     for mark in [*"0123456789@", *_SECRETS, *TITLES, *_GIVEN]:
-        out.add_word(mark, len(mark))
+        out.add_word(mark, (len(mark), mark in TITLES or mark in _GIVEN))  # names of secrets stand inside words, too
     out.make_automaton()
     return out
 
@@ -82,11 +84,11 @@ def _triggers() -> ahocorasick.Automaton:
 def suspects(text: str, triggers: ahocorasick.Automaton) -> Iterator[tuple[int, int]]:
     """The lines that can hold an entity."""
     done = -1
-    for last, size in triggers.iter(text):
+    for last, (size, alone) in triggers.iter(text):
         first = last - size + 1
         if first < done:
             continue
-        if size > 1 and (last + 1 < len(text) and text[last + 1].isalnum() or first and text[first - 1].isalnum()):
+        if alone and (last + 1 < len(text) and text[last + 1].isalnum() or first and text[first - 1].isalnum()):
             continue  # part of another word
         end = text.find("\n", last)
         done = len(text) if end < 0 else end
@@ -253,8 +255,8 @@ def _sort(address: ipaddress.IPv4Address) -> tuple:
 
 
 def entities(text: str, triggers: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of each entity in a text, in order."""
-    out = []
+    """(start, end, kind) of each entity in a text, in order; name words of its persons also where they stand alone."""
+    out: list[tuple[int, int, str]] = []
     for a, b in suspects(text, triggers):
         for m in ENTITY.finditer(text, a, b):
             if m["secret"]:
@@ -265,6 +267,26 @@ def entities(text: str, triggers: ahocorasick.Automaton) -> list[tuple[int, int,
                 out.append((*m.span(), "person"))
             else:
                 out.append((*m.span(), next(k for k in ("email", "ip", "ip6", "ssn", "card", "iban", "phone") if m[k])))
+    words = {w for a, b, kind in out if kind == "person" for w in _WORD.findall(text[a:b])}
+    names = {w for word in words for w in (word, *_PART.findall(word)) if len(w) > 1 and w[0].isupper()}
+    return _with_repeats(text, out, names) if names else out
+
+
+_PART = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:[-'’][^\W\d_]+)*(?!\w)")
+
+
+def _with_repeats(text: str, found: list[tuple[int, int, str]], names: set[str]) -> list[tuple[int, int, str]]:
+    """The entities and, between them, the words that are a name word of some person, as it is or in capitals."""
+    out, at = [], 0
+    forms = names | {w.upper() for w in names} | {w.capitalize() for w in names if w.isupper()}
+    for start, end, kind in [*found, (len(text), len(text), "")]:
+        for m in _WORD.finditer(text, at, start):
+            found_in = [m] if m[0] in forms else [p for p in _PART.finditer(text, *m.span()) if p[0] in forms]
+            out += [(*p.span(), "person") for p in found_in]
+        if kind:
+            out.append((start, end, kind))
+        at = end
     return out
 
 
