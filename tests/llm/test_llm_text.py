@@ -140,6 +140,20 @@ def test_license_scan_of_edited_and_odd_texts(spark, make_docs):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def test_neighbouring_licenses_are_told_apart(spark, make_docs):
+    known = licenses.TEMPLATES | licenses.NEIGHBOURS
+    names = sorted(known)
+    pad = "".join(f"w{k} " for k in range(60))
+    rows = [(k, f"{pad}{known[n]} {pad}") for k, n in enumerate(names)]
+    both = ["GPL-3.0-or-later", "LGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-line", "GPL-3.0-line"]
+    rows.append((1000, pad.join(known[n] for n in both)))
+    got = {}
+    for r in license_scan(make_docs(rows)).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert {k: got.get(k) for k in range(len(names))} == {k: [n] for k, n in enumerate(names)}
+    assert sorted(got[1000]) == sorted(both)
+
+
 def test_surrogates_are_distinct_typed_and_the_same_everywhere():
     s, r = pii.Surrogates("k"), random.Random(1)
     emails = {f"{r.choice('abcdefgh')}{k}@mail{k % 7}.example.com" for k in range(500)}
