@@ -50,6 +50,16 @@ def test_packing_places_every_token_once(make_docs, monkeypatch):
     assert packing.pack(make_docs(rows).limit(0)).collect() == []
 
 
+def test_packing_query_counts_tokens(spark, make_docs, tmp_path):
+    rows = [(1, "hello world, unbelievable"), (2, "中文没有空格" * 900), (3, "QmFzZTY0" * 2000), (4, None), (5, ""), (None, "x"), (6, "a <|endoftext|> b")]
+    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    whole, have = Tokenizer.from_file(token_files.default_tokenizer()), {}
+    for x in QUERIES["op3_length_bucket_packing"](spark, str(tmp_path)).collect():
+        have[x.doc_id] = have.get(x.doc_id, 0) + x.length
+        assert x.length <= x.bucket <= packing.LONGEST and x.first_token == packing.LONGEST * x.segment
+    assert have == {i: len(whole.encode(t or "", add_special_tokens=False).ids) for i, t in rows if i is not None}
+
+
 def test_grammar_decodes_to_what_it_encoded():
     r = np.random.default_rng(1)
     for n_docs, vocabulary in ((1, 3), (40, 5), (40, 50_000)):

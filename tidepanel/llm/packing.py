@@ -6,10 +6,15 @@ that hold at most a budget of (padded) tokens are then filled inside each bucket
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidepanel.llm.storage import Scratch
+from tidepanel.llm.token_files import Encoder, default_tokenizer
+from tidepanel.llm.words import chunks
 
 BUCKETS = 8
 LONGEST = 2048
@@ -48,6 +53,26 @@ def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
     return sorted(out)
 
 
+def _count(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        box = shared.value  # stays with the Python process
+        encoder = box.get("encoder") or box.setdefault("encoder", Encoder(box["path"]))
+        for batch in batches:
+            sizes = [len(ids) for c in chunks(batch.column("text")) for ids in encoder.encode(c)]
+            yield pa.RecordBatch.from_pydict({"doc": batch.column("doc"), "n_tokens": pa.array(sizes, pa.int64())})
+    return run
+
+
+def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """(id, ``n_tokens``) of each row in one pass, by the tokenizer of the token files; null and empty texts have none.
+
+    All rows are returned, also repeated ones and those without an id. Other columns are ignored.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast({"path": tokenizer or default_tokenizer()})
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return source.mapInArrow(_count(shared), "doc long, n_tokens long").select(F.col("doc").alias(id_col), "n_tokens")
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
          buckets: int = BUCKETS, longest: int = LONGEST, budget: int = BUDGET) -> DataFrame:
     """(id, segment, first_token, length, bucket, batch, slot): where each piece of each document goes.

@@ -10,7 +10,7 @@ from tidepanel.llm.language import held_out, identify, learn
 from tidepanel.llm.licenses import license_scan
 from tidepanel.llm.near_dedup import near_duplicates
 from tidepanel.llm.neighbours import nearest_neighbours
-from tidepanel.llm.packing import pack
+from tidepanel.llm.packing import pack, token_lengths
 from tidepanel.llm.pii import replace_personal_data
 from tidepanel.llm.sql import SQL
 from tidepanel.llm.substring_dedup import repeated_windows_removed
@@ -32,7 +32,7 @@ def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_length_bucket_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(_table(spark, folder, "documents"))
+    return pack(token_lengths(_table(spark, folder, "documents")), length_col="n_tokens")
 
 
 def op4_repair_token_files(spark: SparkSession, folder: str) -> DataFrame:
