@@ -95,6 +95,15 @@ def test_encoding_in_pieces_equals_encoding_whole(monkeypatch):
         e.ids for e in whole.encode_batch(few * 2, add_special_tokens=False)]
 
 
+def test_added_tokens_are_read_as_the_library_does():
+    encoder, whole = token_files.Encoder(token_files.default_tokenizer()), Tokenizer.from_file(token_files.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain a b", "x<|endoftext|><|endoftext|>y z", "end <|endo", "ftext|> of", "", "a b <|endoftext|"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    for limit in (10, 1 << 22):
+        assert [x.tolist() for c in words.chunks(pa.array(texts * 2), limit) for x in encoder.encode(c)] == want * 2
+
+
 def test_token_files_round_trip(make_docs):
     rows = [(3, "b a"), (1, "Hello world, hello World"), (2, None), (5, ""), (None, "x"), (3, "a b"), (4, "z " * 20_000)]
     got = sorted(tuple(r) for r in token_files.token_files_round_trip(make_docs(rows)).collect())

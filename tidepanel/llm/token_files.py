@@ -64,18 +64,19 @@ def space_after_white(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Whole texts to ids. A byte-level vocabulary starts a new piece at every single space, whatever stands before
     it, so texts are cut there, and each piece is encoded once while it stays in the cache. A piece is known by 96
-    bits of two hashes. Texts in which a space follows white space, and other kinds of tokenizer, are encoded as a
-    whole."""
+    bits of two hashes. Texts in which a space follows white space or that hold the string of an added token, and
+    other kinds of tokenizer, are encoded as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             plan = json.load(f)
+        self.added = [x["content"].encode() for x in plan.get("added_tokens") or [] if x["content"]]
         pre = plan.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not plan.get("normalizer")
+        self.cuts = self.cuts and not any(b" " in x for x in self.added)  # pieces are put together with spaces
         self._forget()
         if self.cuts:
             vocabulary = self.tokenizer.get_vocab()  # one character for each byte
@@ -124,10 +125,24 @@ class Encoder:
             setattr(self, name, np.insert(getattr(self, name), at, new))
         self.used += len(ids)
 
+    def _with_added(self, c: Chunk) -> np.ndarray:
+        """Which documents of a chunk hold the string of an added token."""
+        out, data = np.zeros(len(c.rows), dtype=bool), c.data.tobytes()
+        for mark in self.added:
+            at = data.find(mark)
+            while at >= 0:
+                k = int(np.searchsorted(c.offsets, at, "right")) - 1
+                if at + len(mark) <= c.offsets[k + 1]:  # not over the end of a text
+                    out[k] = True
+                    at = data.find(mark, int(c.offsets[k + 1]))
+                else:
+                    at = data.find(mark, at + 1)
+        return out
+
     def encode(self, c: Chunk) -> list[np.ndarray]:
         """Ids of each text of a chunk, without the end id."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(c.rows)
-        odd = space_after_white(c.data, c.offsets) if self.cuts else np.ones(len(c.rows), dtype=bool)
+        odd = space_after_white(c.data, c.offsets) | self._with_added(c) if self.cuts else np.ones(len(c.rows), dtype=bool)
         whole = np.flatnonzero(odd & (np.diff(c.offsets) > 0)).tolist()
         for k, ids in zip(whole, self._whole([c.text(k).decode() for k in whole]), strict=True):
             out[k] = ids
