@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidepanel.llm.chat_format import conversations_round_trip
 from tidepanel.llm.decontaminate import contamination
 from tidepanel.llm.html_text import extract_text
 from tidepanel.llm.language import held_out, identify, learn
@@ -70,6 +71,14 @@ def op10_hnsw_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_neighbours(_table(spark, folder, "embeddings"))
 
 
+def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one, -7, whose texts look like marks."""
+    marks = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    return conversations_round_trip(_table(spark, folder, "conversations").select(*own.columns).unionByName(own))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_html_extraction, op3_length_bucket_packing, op4_repair_token_files, op5_language_id,
-    op6_benchmark_decontamination, op7_license_scan, op8_pii_surrogates, op9_substring_dedup, op10_hnsw_neighbours)}
+    op6_benchmark_decontamination, op7_license_scan, op8_pii_surrogates, op9_substring_dedup, op10_hnsw_neighbours,
+    op12_chat_formatting)}

@@ -57,4 +57,18 @@ WITH w AS (SELECT doc_id, {_split("coalesce(text, '')", _SPACE)} AS ws FROM docu
   kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    # What the marks of the template add, and each text once.
+    "op12_chat_formatting": r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+  placed AS (SELECT *, row_number() OVER w AS n, coalesce(lag(role) OVER w = role, false) AS joined,
+      length(replace(replace(text, '\', '\b'), '<', '\l')) AS text_size,
+      length(replace(replace(replace(role, '\', '\b'), '<', '\l'), chr(10), '\n')) AS role_size
+    FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(text_size + CASE WHEN joined THEN length('<next>') ELSE length('<turn></turn>') + role_size + 1 END)::BIGINT AS formatted_chars
+FROM placed GROUP BY conv_id""",
 }
