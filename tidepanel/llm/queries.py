@@ -16,6 +16,7 @@ from tidepanel.llm.pii import replace_personal_data
 from tidepanel.llm.sql import SQL
 from tidepanel.llm.substring_dedup import repeated_windows_removed
 from tidepanel.llm.token_files import token_files_round_trip
+from tidepanel.llm.whitening import whiten
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -71,6 +72,10 @@ def op10_hnsw_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_neighbours(_table(spark, folder, "embeddings"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(_table(spark, folder, "embeddings"))
+
+
 def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and one, -7, whose texts look like marks."""
     marks = r"\### Assistant: </turn> ok"
@@ -81,4 +86,4 @@ def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_html_extraction, op3_length_bucket_packing, op4_repair_token_files, op5_language_id,
     op6_benchmark_decontamination, op7_license_scan, op8_pii_surrogates, op9_substring_dedup, op10_hnsw_neighbours,
-    op12_chat_formatting)}
+    op11_embedding_whitening, op12_chat_formatting)}
