@@ -15,6 +15,7 @@ from tidepanel.llm.packing import pack, token_lengths
 from tidepanel.llm.pii import replace_personal_data
 from tidepanel.llm.sql import SQL
 from tidepanel.llm.substring_dedup import repeated_windows_removed
+from tidepanel.llm.token_alignment import align_tokens
 from tidepanel.llm.token_files import token_files_round_trip
 from tidepanel.llm.whitening import whiten
 
@@ -83,7 +84,11 @@ def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return conversations_round_trip(_table(spark, folder, "conversations").select(*own.columns).unionByName(own))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align_tokens(_table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_html_extraction, op3_length_bucket_packing, op4_repair_token_files, op5_language_id,
     op6_benchmark_decontamination, op7_license_scan, op8_pii_surrogates, op9_substring_dedup, op10_hnsw_neighbours,
-    op11_embedding_whitening, op12_chat_formatting)}
+    op11_embedding_whitening, op12_chat_formatting, op13_tokenizer_alignment)}
