@@ -138,3 +138,13 @@ def test_the_query_over_the_whole_table(spark, folder, plain):
     got, want = rows_of(QUERIES["op13_tokenizer_alignment"](spark, folder)), plain(rows)
     assert [x[:-1] for x in got] == [x[:-1] for x in want]
     assert all(g[-1] == w[-1] for g, w in zip(got, want) if w[-1] is not None)
+
+
+def test_ranks_give_the_ids_of_the_tokenizer_file():
+    aligner = T.Aligner(*PATHS)
+    texts = [f" a{chr(c)}1 {chr(c)}b {chr(c)}{chr(c)} 2{chr(c)}\n{chr(c)}'s" for c in range(1, 0x30000, 7) if not 0xD800 <= c < 0xE000]
+    texts += [" " + t for t in odd_texts(300) if t]
+    quick = aligner._ids_a(texts)
+    assert aligner.quick is not None
+    aligner.quick = None
+    assert aligner._ids_a(texts) == quick
