@@ -144,8 +144,11 @@ def reason_text(
     return F.when(reasons == "", "Stable organic demand").otherwise(reasons)
 
 
-def attach_context(forecasts: DataFrame, batch: DataFrame) -> DataFrame:
-    """Carry the batch's price (as predicted price), signals, event and labels onto forecasts."""
+def attach_context(forecasts: DataFrame, batch: DataFrame, dated: bool = False) -> DataFrame:
+    """Carry the batch's price (as predicted price), signals, event and labels onto forecasts.
+
+    ``dated`` takes a batch of several dates: a forecast gets the rows of the day before its target.
+    """
     texts = ["event_type", "event_effect_hint"]
     labels = [c for c in ("brand", "product_name", "category") if c in batch.columns]
     order = [c for c in ("date", "_seq") if c in batch.columns]
@@ -155,9 +158,12 @@ def attach_context(forecasts: DataFrame, batch: DataFrame) -> DataFrame:
             "search_index", "sentiment_index", "ad_index",
             *[(F.col(t) if t in batch.columns else F.lit(None).cast("string")).alias(t) for t in texts], *labels,
         ),
-        ["entity_id"], order,
-    ).drop("date", "_seq")
-    joined = forecasts.drop("pred_price", *labels).join(context, "entity_id", "left")
+        ["entity_id", "date"] if dated else ["entity_id"], order,
+    )
+    keys = ["entity_id"]
+    if dated:
+        keys, context = [*keys, "target_date"], context.withColumn("target_date", F.date_add("date", 1))
+    joined = forecasts.drop("pred_price", *labels).join(context.drop("date", "_seq"), keys, "left")
     return joined.select(
         *[c for c in joined.columns if c not in ("pred_price", "pred_demand")],
         safe_double(F.col("pred_price")).alias("pred_price"),

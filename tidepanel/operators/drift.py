@@ -86,6 +86,29 @@ def error_metrics(
     )
 
 
+def error_metrics_by_date(fva: DataFrame, dates: DataFrame, least: int) -> DataFrame:
+    """MAE, MAPE and RMSE at each of ``dates``: over all rows of the newest dates up to it that together hold at least
+    ``least`` rows (as :func:`newest_dates` takes them).
+
+    Rows become totals per date; a date's window is a range frame over the running number of rows.
+    """
+    gap = F.col("actual_demand") - F.col("pred_demand")
+    totals = fva.groupBy("date").agg(
+        F.count("*").alias("_n"), F.sum(F.abs(gap)).alias("_abs"),
+        F.sum(F.abs(gap / F.greatest(F.abs("actual_demand"), F.lit(ACTUAL_FLOOR)))).alias("_share"),
+        F.sum(gap * gap).alias("_square"),
+    )
+    placed = totals.join(dates.select("date"), "date", "full_outer").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    # One row per date from here on.
+    running = placed.withColumn("_so_far", F.sum("_n").over(Window.orderBy("date")))
+    recent = Window.orderBy("_so_far").rangeBetween(1 - least, 0)
+    n = F.sum("_n").over(recent)
+    means = {m: F.try_divide(F.sum(c).over(recent), n) for m, c in (("mae", "_abs"), ("mape", "_share"), ("_mean_square", "_square"))}
+    measured = running.select("date", *[c.alias(m) for m, c in means.items()], n.alias("n_rows"))
+    asked = measured.join(dates.select("date"), "date", "left_semi")
+    return asked.select("date", "mae", "mape", F.sqrt("_mean_square").alias("rmse"), "n_rows")
+
+
 def regression_scores(scored: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """MAE, RMSE and R² of ``pred`` against ``actual``."""
     gap = F.col("actual") - F.col("pred")
@@ -260,6 +283,21 @@ def drift_snapshot(
     )
 
 
+def drift_snapshots(
+    metrics: DataFrame, psi: DataFrame, baseline_mae: Column, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """:func:`drift_snapshot` of many dates: ``metrics`` has a row per date, ``psi`` one per date and feature."""
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "psi"))))
+    stability = psi.groupBy("date").agg(F.max("psi").alias("_worst"), F.to_json(entries).alias("_by_feature"))
+    judged = F.col("mae").isNotNull()
+    rows = metrics.join(stability, "date", "left").withColumns({
+        "max_feature_psi": F.when(judged, F.coalesce("_worst", F.lit(0.0))).otherwise(0.0),
+        "payload_json": F.when(judged, F.coalesce("_by_feature", F.lit("{}"))).otherwise("{}"),
+    })
+    status = drift_status(F.col("mae"), F.col("max_feature_psi"), baseline_mae, settings)
+    return rows.drop("_worst", "_by_feature").withColumn("drift_status", status)
+
+
 # ---- alerts ----------------------------------------------------------------------------------------
 
 

@@ -54,22 +54,25 @@ def action(should_retrain: Column, rollback_flag: Column) -> Column:
 
 
 def policy_replay(
-    daily: DataFrame, segment: Sequence[str], settings: Settings = DEFAULTS, order: str = "date"
+    daily: DataFrame, segment: Sequence[str], settings: Settings = DEFAULTS, order: str = "date",
+    start: dict[str, int] | None = None, feedback: bool = True,
 ) -> DataFrame:
     """Decision of every day, with feedback: a retrain resets its counters, a rollback its streak.
 
-    ``daily`` has one row per segment and day: mae, mape, max_feature_psi, baseline_mae, n_new.
+    ``daily`` has one row per segment and day: mae, mape, max_feature_psi, baseline_mae, n_new. ``start`` gives the
+    counters before the first day (0 each: sim_day, last_retrain, rows, perf, roll). Without ``feedback`` decisions
+    are only recorded, as where nobody acts on them.
     """
+    before = {"sim_day": 0, "last_retrain": 0, "rows": 0, "perf": 0, "roll": 0, **(start or {})}
     day = F.struct(order, "mae", "mape", "max_feature_psi", "baseline_mae", "n_new")
-    start = F.struct(
-        F.lit(0).alias("sim_day"), F.lit(0).alias("last_retrain"), F.lit(0).cast("bigint").alias("rows"),
-        F.lit(0).alias("perf"), F.lit(0).alias("roll"),
+    opening = F.struct(
+        *[F.lit(v).cast("bigint" if n == "rows" else "int").alias(n) for n, v in before.items()]
     )
     entry = (
         "struct<%s:date,sim_day:int,rows_since_retrain:bigint,perf_streak:int,rollback_streak:int,"
         "performance_drift:boolean,severe_feature_drift:boolean,action:string>" % order
     )
-    init = F.struct(start.alias("state"), F.array().cast(f"array<{entry}>").alias("log"))
+    init = F.struct(opening.alias("state"), F.array().cast(f"array<{entry}>").alias("log"))
 
     def step(acc: Column, d: Column) -> Column:
         # A day without errors to judge keeps the counters as they are.
@@ -86,13 +89,13 @@ def policy_replay(
             F.when(judged, rows), settings,
         )
         act = action(retrain, judged & rollback)
-        done = act == "retrain"
+        done, acted = (act == "retrain", act != "none") if feedback else (F.lit(False), F.lit(False))
         state = F.struct(
             sim_day.alias("sim_day"),
             F.when(done, sim_day).otherwise(acc["state"]["last_retrain"]).alias("last_retrain"),
             F.when(done, F.lit(0).cast("bigint")).otherwise(rows).alias("rows"),
             F.when(done, 0).otherwise(perf).alias("perf"),
-            F.when(act != "none", 0).otherwise(roll).alias("roll"),
+            F.when(acted, 0).otherwise(roll).alias("roll"),
         )
         line = F.struct(
             d[order].alias(order), sim_day.alias("sim_day"), rows.alias("rows_since_retrain"),

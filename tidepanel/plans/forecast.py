@@ -77,14 +77,19 @@ def forecast_next_day(
     return forecast_rows(live, batch, scorer)
 
 
-def forecast_rows(live: DataFrame, batch: DataFrame, scorer: NaiveScorer | ModelScorer) -> DataFrame:
-    """Forecasts from rows of the batch's dates that already carry the scorer's features."""
+def forecast_rows(
+    live: DataFrame, batch: DataFrame, scorer: NaiveScorer | ModelScorer, dated: bool = False
+) -> DataFrame:
+    """Forecasts from rows of the batch's dates that already carry the scorer's features.
+
+    ``dated`` forecasts the day after each date of the batch, from that date's rows.
+    """
     ready = finalize_features(live, scorer.features) if scorer.needs_features else live
     scored = scorer.predict(ready).select(
         "entity_id", F.date_add("date", 1).alias("target_date"), "pred_demand",
         scorer.explain().alias("shap_explanation"),
     )
-    placed = with_reasons(attach_context(scored, batch))
+    placed = with_reasons(attach_context(scored, batch, dated))
     labels = [c for c in ("brand", "product_name", "category") if c in placed.columns]
     return placed.select(
         F.current_timestamp().alias("prediction_ts"), "target_date", "entity_id", "pred_demand", "pred_price",

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidepanel.functions.columns import safe_sql
 from tidepanel.operators.series import beside
@@ -38,8 +38,11 @@ class LogTable:
         self.writers = list(writers)
         self._ddl = f"{ddl}, {BATCH} BIGINT, {PART} STRING"
 
-    def append(self, df: DataFrame, batch: int) -> None:
-        """Write the batch's partition; absent columns are NULL, unreadable measures 0."""
+    def append(self, df: DataFrame, batch: int | Column) -> None:
+        """Write the batch's partition; absent columns are NULL, unreadable measures 0.
+
+        A column as ``batch`` deals the rows to their batches, all of them in one job.
+        """
         present = set(df.columns)
 
         def shaped(name: str, kind: str) -> str:
@@ -47,15 +50,17 @@ class LogTable:
                 return f"CAST(NULL AS {kind}) AS `{name}`"
             return safe_sql(name, name) if name in self.zeroed else f"CAST(`{name}` AS {kind}) AS `{name}`"
 
-        rows = df.selectExpr(*[shaped(n, k) for n, k in S.columns(self.ddl)], f"{batch}L AS {BATCH}")
+        number = batch if isinstance(batch, Column) else F.lit(batch)
+        rows = df.select(*[F.expr(shaped(n, k)) for n, k in S.columns(self.ddl)], number.cast("bigint").alias(BATCH))
         writer = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in self.writers]
         rows = rows.withColumn(PART, F.concat(F.lit("of "), *writer) if writer else F.lit("all"))
-        rows.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        even = rows.hint("rebalance", F.col(BATCH)) if isinstance(batch, Column) else rows.hint("rebalance")
+        even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             BATCH, PART
         ).parquet(self.path)
 
-    def log(self, upto: int | None = None, only: int | None = None) -> DataFrame:
-        """Raw rows; both limits prune partitions."""
+    def log(self, upto: int | None = None, only: int | None = None, among: Sequence[int] | None = None) -> DataFrame:
+        """Raw rows; all limits prune partitions."""
         try:
             rows = self.spark.read.schema(self._ddl).parquet(self.path)
         except AnalysisException as error:
@@ -66,6 +71,8 @@ class LogTable:
             rows = rows.filter(F.col(BATCH) <= upto)
         if only is not None:
             rows = rows.filter(F.col(BATCH) == only)
+        if among is not None:
+            rows = rows.filter(F.col(BATCH).isin(*among))
         return rows.drop(PART)
 
     def current(self, upto: int | None = None) -> DataFrame:

@@ -5,10 +5,14 @@ need the last rows of each entity (``tail``) and the metrics the errors of the n
 (``error_window``); both are carried from date to date as small tables. Every table is written
 once per date into that date's partition and the runtime state last, so a step that is replayed
 after a failure overwrites itself, and a date at or before the watermark is ignored.
+
+Several dates that wait are replayed as sets (``_catch_up``): one job per table for all of them, with errors by range
+frames over the dates' totals and the policy as a fold, and what they leave is what one step after another leaves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date as Date
 
@@ -18,11 +22,12 @@ from tidepanel.functions.columns import lenient_double
 from tidepanel.operators.dashboard import daily_summary
 from tidepanel.operators.dedup import keep_last, union_keep_last
 from tidepanel.operators.drift import (
-    alerts_from_errors, align_forecasts, drift_snapshot, feature_psi, newest_dates,
+    alerts_from_errors, align_forecasts, drift_snapshot, drift_snapshots, error_metrics_by_date, feature_psi,
+    newest_dates,
 )
 from tidepanel.operators.features import FEATURE_LOOKBACK, feature_frame
 from tidepanel.operators.normalize import finalize_features, normalize_feed
-from tidepanel.operators.policy import decide, performance_drift, rollback_drift
+from tidepanel.operators.policy import decide, performance_drift, policy_replay, rollback_drift
 from tidepanel.plans.forecast import ModelScorer, NaiveScorer, forecast_rows
 from tidepanel.plans.lifecycle import accepted_state, active_entry, active_model, retrain, rollback_to_stable
 from tidepanel.plans.model import Learner, load
@@ -70,9 +75,9 @@ def trailing_rows(rows: DataFrame, n: int = FEATURE_LOOKBACK) -> DataFrame:
 _PENDING = ("incomplete", "waiting")
 
 
-def _settled(spark, rows: DataFrame) -> DataFrame:
-    """The rows written apart, for a table that is about to replace what they were read from."""
-    path = scratch_dir(spark, "refused")
+def _settled(spark, rows: DataFrame, label: str = "refused") -> DataFrame:
+    """The rows written apart: read often, or about to be replaced where they were read from."""
+    path = scratch_dir(spark, label)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
@@ -89,12 +94,14 @@ class DailyCycle:
         learner: Learner | None = None,
         forecasts: bool = True,
         skip_incomplete: bool = False,
+        prepare: Callable[[DataFrame], DataFrame] | None = None,
     ):
         """``learner`` turns policy decisions into training runs; without it they are only recorded.
 
         Without a scorer the store's active model takes up its work again, with its profile and its
         error as baseline; a store without one starts with the naive scorer. Dates wait behind an
-        incomplete one until it is complete, unless ``skip_incomplete``.
+        incomplete one until it is complete, unless ``skip_incomplete``. ``prepare`` shapes the features that are
+        measured for drift, as those of the profile were shaped.
         """
         self.store, self.spark, self.settings = store, store.spark, settings
         self._registered = {}
@@ -107,6 +114,7 @@ class DailyCycle:
         self.profile = profile if profile is not None else self.scorer.profile
         self.events, self.regimes, self.learner, self.forecasts = events, regimes, learner, forecasts
         self.skip_incomplete = skip_incomplete
+        self.prepare = prepare or (lambda frame: frame)
 
     def seed(self, history: DataFrame) -> None:
         """Load the panel that exists before the first feed date."""
@@ -132,13 +140,32 @@ class DailyCycle:
         if not any(d["fresh"] for d in days):
             return []
         feed = feed.drop("_fresh")
+        ready = self._ready(days)
+        # With a learner a decision may change the model that the next date is forecast with.
+        together = self.learner is None and len(ready) > 1
         results, blocked = [], False
         for d in days:
+            if together and d["date"] in ready:
+                continue
             done = self.step(feed.filter(F.col("date") == F.lit(d["date"])), d["date"], d, blocked)
             blocked |= done["status"] in _PENDING and not self.skip_incomplete
             if d["fresh"] or done["status"] == "ingested":
                 results.append(done)
-        return results
+        if together:
+            rows = feed.filter(F.col("date").isin(*ready))
+            results += self._catch_up(rows, {d["date"]: int(d["n_entities"]) for d in days if d["date"] in ready})
+        return sorted(results, key=lambda r: r["date"])
+
+    def _ready(self, days) -> list[Date]:
+        """The dates that no gate holds back, oldest first."""
+        watermark, ready = self.store.state_values()["last_ingested_date"], []
+        for d in days:
+            if not d["complete"]:
+                if not self.skip_incomplete:
+                    break
+            elif not watermark or d["date"].isoformat() > watermark:
+                ready.append(d["date"])
+        return ready
 
     def _state(self) -> dict[str, str]:
         """The state; a store whose state names no model yet has the registry's active one."""
@@ -214,9 +241,101 @@ class DailyCycle:
         store.set_state(changes, key)
         return {
             "date": day, "status": "ingested", "rows": n_rows, "action": metrics["action"],
+            "perf_streak": metrics["perf_streak"], "roll_streak": metrics["roll_streak"],
             **{m: metrics[m] for m in ("mae", "mape", "rmse", "max_feature_psi", "drift_status")},
         }
 
+    # ---- many dates ----------------------------------------------------------------------------
+
+    def _catch_up(self, rows: DataFrame, days: dict[Date, int]) -> list[dict]:
+        """All dates of ``days`` (their entities by date) in one plan per table; the state is written last."""
+        store, state = self.store, self._state()
+        dates = sorted(days)
+        keys = [ordinal(d) for d in dates]
+        before = state["last_ingested_date"] or state.get("seed_date") or ""
+        previous, last = ordinal(Date.fromisoformat(before)) if before else keys[0] - 1, keys[-1]
+        of_date = F.unix_date("date")
+
+        store.panel.append(rows, of_date)
+        batch = store.panel.log(among=keys).drop("_batch")
+        tail = store.tail.log(only=previous).drop("_batch")
+        live = batch
+        if self.profile is not None or (self.forecasts and self.scorer.needs_features):
+            live = _settled(self.spark, self._live(tail, batch, keys), "live")
+
+        with ThreadPoolExecutor() as pool:
+            jobs = [
+                pool.submit(store.actuals.append, batch.withColumn("created_at", F.current_timestamp()), of_date),
+                pool.submit(store.summary.append, daily_summary(batch), of_date),
+                pool.submit(self._keep_tail, tail, batch, last),
+            ]
+            if self.forecasts:
+                # What is said on one date is compared on the next.
+                ahead = forecast_rows(live, batch, self.scorer, dated=True)
+                store.predictions.append(ahead, F.unix_date("target_date") - 1)
+            made = store.predictions.log(among=[k - 1 for k in keys])
+            store.fva.append(align_forecasts(batch, made).withColumn("created_at", F.current_timestamp()), of_date)
+            fresh = store.fva.log(among=keys).withColumnRenamed("_batch", "first_seq")
+            errors = store.error_window.log(only=previous).drop("_batch").unionByName(fresh)
+            jobs += [
+                pool.submit(store.alerts.append, alerts_from_errors(fresh, None), of_date),
+                pool.submit(store.error_window.append, newest_dates(errors, self.settings.error_window), last),
+            ]
+            judged = self._judge(errors, live, days, state)
+            for job in jobs:
+                job.result()
+
+        names = ("mae", "mape", "rmse", "max_feature_psi", "drift_status", "payload_json")
+        kept = self.spark.createDataFrame(
+            [(r["date"], *(r[n] for n in names)) for r in judged],
+            "date DATE, mae DOUBLE, mape DOUBLE, rmse DOUBLE, max_feature_psi DOUBLE, drift_status STRING, payload_json STRING",
+        )
+        store.drift.append(
+            kept.select("*", F.current_timestamp().alias("drift_ts"), F.lit(self.scorer.version).alias("model_version")),
+            of_date,
+        )
+        end = judged[-1]
+        store.set_state({
+            "last_ingested_date": dates[-1].isoformat(),
+            "sim_day": str(end["sim_day"]),
+            "rows_since_last_retrain": str(end["rows_since_retrain"]),
+            "consecutive_perf_drift": str(end["perf_streak"]),
+            "consecutive_rollback_drift": str(end["rollback_streak"]),
+            "active_model_version": state["active_model_version"] or self.scorer.version,
+        }, last)
+        return [
+            {
+                "date": r["date"], "status": "ingested", "rows": days[r["date"]], "action": r["action"],
+                "perf_streak": r["perf_streak"], "roll_streak": r["rollback_streak"], **{n: r[n] for n in names[:-1]},
+            }
+            for r in judged
+        ]
+
+    def _judge(self, errors: DataFrame, live: DataFrame, days: dict[Date, int], state: dict[str, str]) -> list:
+        """Per date: errors of its newest dates, feature drift, status, counters and decision."""
+        dated = self.spark.createDataFrame(sorted(days.items()), "date DATE, n_new BIGINT")
+        metrics = error_metrics_by_date(errors, dated, self.settings.error_window).join(F.broadcast(dated), "date")
+        if self.profile is not None:
+            inputs = self.scorer.features
+            psi = feature_psi(self.prepare(finalize_features(live, inputs)), self.profile, inputs, segment=["date"])
+        else:
+            psi = self.spark.createDataFrame([], "date DATE, feature STRING, psi DOUBLE")
+        baseline = F.lit(float(state["active_baseline_mae"]))
+        daily = drift_snapshots(metrics, psi, baseline, self.settings).withColumns(
+            {"baseline_mae": baseline, "segment": F.lit(0)}
+        )
+        start = {
+            "sim_day": state["sim_day"], "last_retrain": state["last_retrain_sim_day"],
+            "rows": state["rows_since_last_retrain"], "perf": state["consecutive_perf_drift"],
+            "roll": state["consecutive_rollback_drift"],
+        }
+        daily = _settled(self.spark, daily, "daily")
+        decisions = policy_replay(
+            daily, ["segment"], self.settings, start={n: int(v) for n, v in start.items()}, feedback=False
+        )
+        # One row per date.
+        return daily.drop("n_new", "segment").join(decisions, "date").orderBy("date").collect()
+
     def _keep_tail(self, tail: DataFrame, batch: DataFrame, key: int) -> None:
         """Each entity's last rows; the batch is newer than all of them."""
         self.store.tail.append(trailing_rows(tail.unionByName(batch)), key)
@@ -232,22 +351,23 @@ class DailyCycle:
 
     def _forecast(self, tail: DataFrame, batch: DataFrame, key: int) -> None:
         if self.forecasts:
-            live = self._live(tail, batch, key) if self.scorer.needs_features else batch
+            live = self._live(tail, batch, [key]) if self.scorer.needs_features else batch
             self.store.predictions.append(forecast_rows(live, batch, self.scorer), key)
 
-    def _live(self, tail: DataFrame, batch: DataFrame, key: int) -> DataFrame:
-        """Features of the date; the tail is all the history they can reach."""
+    def _live(self, tail: DataFrame, batch: DataFrame, keys: list[int]) -> DataFrame:
+        """Features of the dates; the tail is all the history they can reach."""
         scorer = self.scorer
         frame = feature_frame(
             tail.unionByName(batch), self.events, self.regimes, scorer.event_kinds, scorer.features
         )
-        return frame.filter(F.unix_date("date") == key)
+        return frame.filter(F.unix_date("date").isin(*keys))
 
     def _measure(self, errors, tail, batch, state, n_rows: int, key: int):
         """Drift snapshot and policy decision of the date, as one row."""
         if self.profile is not None:
             inputs = self.scorer.features
-            psi = feature_psi(finalize_features(self._live(tail, batch, key), inputs), self.profile, inputs)
+            live = finalize_features(self._live(tail, batch, [key]), inputs)
+            psi = feature_psi(self.prepare(live), self.profile, inputs)
         else:
             psi = self.spark.createDataFrame([], "feature STRING, psi DOUBLE")
         baseline = float(state["active_baseline_mae"])
