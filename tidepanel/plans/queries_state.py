@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidepanel.functions.columns import week_start
 from tidepanel.operators import attribution as A, dashboard as D, dedup, drift, features as X, policy as P
-from tidepanel.operators.normalize import finalize_features
+from tidepanel.operators.normalize import finalize_features, normalize_feed
 from tidepanel.plans import model as M
 from tidepanel.plans.forecast import NaiveScorer, forecast_next_day
 from tidepanel.plans.lifecycle import retrain
 from tidepanel.plans.queries_reports import _METRICS, _daily_metrics, _reason_sql
-from tidepanel.plans.registry import Inputs, query
+from tidepanel.plans.registry import Inputs, grid_sql, on_grid, query
+from tidepanel.plans.shared_sql import base_sql, feature_sql, finalized_sql, proximity_sql, regime_sql, with_tables
 from tidepanel.settings import DEFAULTS
 from tidepanel.sources import schemas as S, state
 from tidepanel.sources.state import LogTable, StateStore
@@ -207,10 +208,9 @@ def g11_append_summary(i: Inputs) -> DataFrame:
 
 # ---- the daily cycle over a feed ---------------------------------------------------------------------------
 
-# The last dates as a feed, one delivery per date, after a history of all dates before; every
-# entity reports every day, except that the third delivery misses one entity and is refused.
-FEED_DAYS = 6
-_FEED_START = f"(SELECT max(date) - {FEED_DAYS - 1} FROM activity)"
+# The first date is history, all later ones come through a feed in which every entity reports every day. The third of
+# them misses one entity.
+_FEED_START = "(SELECT min(date) + 1 FROM activity)"
 _FEED_SQL = f"""
 SELECT d.date, n.entity_id, coalesce(a.demand_index, 0.0) AS demand_index, coalesce(a.price_index, 0.0) AS price_index,
   coalesce(a.search_index, 0.0) AS search_index, coalesce(a.sentiment_index, 0.0) AS sentiment_index,
@@ -229,14 +229,11 @@ FROM ({_FEED_SQL}) AS t JOIN ({_FEED_SQL}) AS y ON y.entity_id = t.entity_id AND
 def _feed(i: Inputs) -> tuple[DataFrame, int, DataFrame]:
     """(deliveries, number of entities, history before them)."""
     panel = i.stored(i.activity, "panel")
-    first = F.date_sub(panel.agg(F.max("date")).scalar(), FEED_DAYS - 1)
+    first = F.date_add(panel.agg(F.min("date")).scalar(), 1)
     names = panel.select("entity_id", "brand", "category").distinct()
-    days = names.withColumn("_first", first).select(
-        "entity_id", "brand", "category",
-        F.explode(F.sequence(F.col("_first"), F.date_add("_first", FEED_DAYS - 1))).alias("date"),
-    )
+    dates = panel.filter(F.col("date") >= first).select("date").distinct()  # a calendar
     measures = panel.filter(F.col("date") >= first).drop("brand", "category")
-    filled = days.join(measures, ["entity_id", "date"], "left")
+    filled = names.join(F.broadcast(dates)).join(measures, ["entity_id", "date"], "left")
     feed = filled.selectExpr(*[
         f"CAST({c if c in filled.columns else 'NULL'} AS {t}) AS {c}" for c, t in S.columns(S.FEED)
     ])
@@ -251,8 +248,9 @@ _FEED_FILE = {
 }
 
 
-def _run_daily(i: Inputs, cycle: C.DailyCycle, feed: DataFrame, history: DataFrame, halves: bool = False) -> None:
-    """Deliver one date after another into the feed folder and run the stream after each.
+def _run_daily(i: Inputs, cycle: C.DailyCycle, feed: DataFrame, history: DataFrame, halves: bool = False) -> list[dict]:
+    """Deliver the feed into its folder and run the stream after each delivery: the first dates one after another, then
+    all that are left, in one delivery.
 
     The third date misses an entity, or with ``halves`` comes in two deliveries with the fourth between them.
     """
@@ -260,16 +258,17 @@ def _run_daily(i: Inputs, cycle: C.DailyCycle, feed: DataFrame, history: DataFra
     folder, checkpoint = i.scratch("feed"), i.scratch("checkpoint")
     lowest = feed.agg(F.min("entity_id")).scalar()
     dates = [r["date"] for r in feed.select("date").distinct().orderBy("date").collect()]
-    days = [feed.filter(F.col("date") == F.lit(d)) for d in dates]
-    low, rest = (F.col("entity_id") == lowest), (F.col("entity_id") != lowest)
+    when, low = F.col("date"), F.col("entity_id") == lowest
     if halves:
-        days = [*days[:2], days[2].filter(rest), days[3], days[2].filter(low), *days[4:]]
+        parts = [when <= dates[1], (when == dates[2]) & ~low, when == dates[3], ((when == dates[2]) & low) | (when > dates[3])]
     else:
-        days[2] = days[2].filter(rest)
-    for day in days:
-        named = day.select(*[F.col(c).alias(n) for n, c in _FEED_FILE.items()])
+        parts = [when == dates[0], (when > dates[0]) & ((when != dates[2]) | ~low)]
+    results = []
+    for part in parts:
+        named = feed.filter(part).select(*[F.col(c).alias(n) for n, c in _FEED_FILE.items()])
         named.write.mode("append").option("header", True).csv(folder)
-        cycle.run_stream(folder, checkpoint)
+        results += cycle.run_stream(folder, checkpoint)
+    return results
 
 
 @query(
@@ -302,26 +301,99 @@ def g7_split_date(i: Inputs) -> DataFrame:
     return store.fva.current()
 
 
+# The cycle of g13: all 88 features of the panel as it was fed, drift by date against the profile of the whole of it.
+_FED = f"""
+SELECT date, entity_id, demand_index, price_index, search_index, sentiment_index, ad_index FROM activity
+WHERE date < {_FEED_START} UNION ALL
+SELECT date, entity_id, demand_index, price_index, search_index, sentiment_index, ad_index FROM ({_FEED_SQL}) AS f"""
+_UNPIVOTED = "UNPIVOT (SELECT COLUMNS(* EXCLUDE (entity_id)) FROM fed_gridded) ON COLUMNS(* EXCLUDE (date)) INTO NAME feature VALUE value"
+_CYCLE_BASELINE = 1.5
+_CYCLE_TABLES = {
+    "fed": _FED,
+    "fed_base": base_sql("fed"),
+    "fed_near": proximity_sql("fed_base"),
+    "fed_regimes": regime_sql("fed_base"),
+    "fed_features": feature_sql("fed_base", "fed_near", "fed_regimes"),
+    "fed_gridded": finalized_sql("fed_features"),
+    "fed_cells": _UNPIVOTED,
+    "fed_edges": f"""SELECT feature, list_sort(list_distinct([min(value), {grid_sql('quantile_cont(value, 0.1)')},
+      {grid_sql('quantile_cont(value, 0.5)')}, {grid_sql('quantile_cont(value, 0.9)')}, max(value)])) AS e
+      FROM fed_cells GROUP BY feature""",
+    "fed_hits": f"""SELECT c.date, c.feature, CASE WHEN value = e[len(e)] THEN len(e) - 1
+        ELSE len(list_filter(e, lambda x: x <= value)) END AS bin, count(*) AS n
+      FROM fed_cells AS c JOIN fed_edges AS d ON d.feature = c.feature
+      WHERE c.date >= {_FEED_START} AND value BETWEEN e[1] AND e[len(e)] GROUP BY ALL""",
+    "fed_shares": """SELECT b.date, b.feature, b.size, b.bin, coalesce(h.n, 0)
+        / greatest(sum(coalesce(h.n, 0)) OVER (PARTITION BY b.date, b.feature), 1) AS share
+      FROM (SELECT date, feature, len(e) AS size, unnest(range(1, greatest(len(e), 2))) AS bin
+        FROM fed_edges, (SELECT DISTINCT date FROM fed_hits) AS t) AS b
+      LEFT JOIN fed_hits AS h ON h.date = b.date AND h.feature = b.feature AND h.bin = b.bin""",
+    "fed_psi": """SELECT date, feature, CASE WHEN max(size) < 3 THEN 0.0
+        ELSE sum((greatest(share, 1e-6) - x) * ln(greatest(share, 1e-6) / x)) END AS psi
+      FROM (SELECT *, [0.1, 0.4, 0.4, 0.1][bin] AS x FROM fed_shares) AS s GROUP BY date, feature""",
+    "fed_totals": f"""SELECT d.date, d.n_new, count(v.entity_id) AS n, coalesce(sum(abs(actual_demand - pred_demand)), 0) AS a,
+        coalesce(sum(abs(actual_demand - pred_demand) / greatest(abs(actual_demand), 1e-6)), 0) AS p,
+        coalesce(sum((actual_demand - pred_demand) * (actual_demand - pred_demand)), 0) AS s
+      FROM (SELECT date, count(*) AS n_new FROM ({_FEED_SQL}) AS f GROUP BY date) AS d
+      LEFT JOIN ({_CYCLE_SQL}) AS v ON v.date = d.date GROUP BY d.date, d.n_new""",
+    # Whole dates, the newest that together hold at least 200 rows.
+    "fed_metrics": """SELECT date, n_new, sum(a) / nullif(sum(n), 0) AS mae, sum(p) / nullif(sum(n), 0) AS mape,
+        sqrt(sum(s) / nullif(sum(n), 0)) AS rmse
+      FROM (SELECT d.date, d.n_new, t.a, t.p, t.s, t.n,
+          sum(t.n) OVER (PARTITION BY d.date ORDER BY t.date DESC) - t.n AS newer
+        FROM fed_totals AS d JOIN fed_totals AS t ON t.date <= d.date) AS w
+      WHERE newer < 200 GROUP BY date, n_new""",
+    "fed_days": f"""SELECT m.date, CAST(row_number() OVER (ORDER BY m.date) AS INTEGER) AS n, m.n_new, m.mae, m.mape, m.rmse,
+        CASE WHEN mae IS NULL THEN 0.0 ELSE p.worst END AS worst, CASE WHEN mae IS NULL THEN '' ELSE p.psi_map END AS psi_map,
+        coalesce(mae > {_CYCLE_BASELINE} * 1.25 OR mape > 0.2, false) AS perf, coalesce(mae > {_CYCLE_BASELINE} * 1.15, false) AS roll
+      FROM fed_metrics AS m JOIN (SELECT date, max(psi) AS worst,
+          string_agg(feature || '=' || CAST(floor(psi * 1e6 + 0.501) AS BIGINT), ' ' ORDER BY feature) AS psi_map
+        FROM fed_psi GROUP BY date) AS p ON p.date = m.date""",
+    "fed_walk": """SELECT 0 AS n, CAST(0 AS BIGINT) AS rows, 0 AS ps, 0 AS rs
+      UNION ALL SELECT d.n, w.rows + d.n_new, CASE WHEN d.mae IS NULL THEN w.ps WHEN d.perf THEN w.ps + 1 ELSE 0 END,
+        CASE WHEN d.mae IS NULL THEN w.rs WHEN d.roll THEN w.rs + 1 ELSE 0 END
+      FROM fed_walk AS w JOIN fed_days AS d ON d.n = w.n + 1""",
+}
+
+
 @query(
-    "g13_run_cycle", "date d, mae f, mape f, rmse f",
-    f"""WITH fva AS ({_CYCLE_SQL}), days AS (SELECT DISTINCT date FROM ({_FEED_SQL}) AS f)
-    SELECT d.date, m.* FROM days AS d, LATERAL (SELECT {_METRICS} FROM (SELECT * FROM fva WHERE fva.date <= d.date
-      ORDER BY fva.date DESC, entity_id DESC LIMIT 200) AS w) AS m""",
+    "g13_run_cycle",
+    "date d, mae f, mape f, rmse f, max_feature_psi f, drift_status s, psi_map s, perf_streak i, roll_streak i, action s",
+    with_tables(f"""SELECT d.date, d.mae, d.mape, d.rmse, d.worst AS max_feature_psi,
+      CASE WHEN d.mae IS NULL THEN 'insufficient_data' WHEN d.worst > 0.3 THEN 'severe_feature_drift'
+        WHEN d.worst > 0.2 THEN 'feature_drift' WHEN d.mae > {_CYCLE_BASELINE} * 1.25 THEN 'performance_drift' ELSE 'stable' END AS drift_status,
+      d.psi_map, w.ps AS perf_streak, w.rs AS roll_streak,
+      CASE WHEN d.mae IS NULL THEN 'none' WHEN w.rs >= 2 THEN 'rollback'
+        WHEN d.n >= 3 AND ((d.perf AND w.ps >= 3 AND w.rows >= 100) OR (d.worst > 0.3 AND w.rows >= 100)
+          OR (d.n >= 14 AND w.rows >= 150)) THEN 'retrain' ELSE 'none' END AS action
+    FROM fed_days AS d JOIN fed_walk AS w ON w.n = d.n""", _CYCLE_TABLES),
 )
 def g13_run_cycle(i: Inputs) -> DataFrame:
-    """Error metrics of every cycle, with feature drift against the history's profile and the policy on."""
+    """Every date of the cycle: errors, drift of all features against the profile, status, streaks and decision."""
     feed, entities, history = _feed(i)
+    names = list(S.FEATURE_CONTRACT)
+    third = F.date_add(feed.agg(F.min("date")).scalar(), 2)
+    whole = history.unionByName(feed.filter(F.col("date") != third), allowMissingColumns=True)
+    frame = i.stored(on_grid(finalize_features(X.feature_frame(normalize_feed(whole), i.events, i.regimes), names), names), "fed-features")
     store = StateStore(i.spark, i.scratch("state"))
-    names = ["demand_lag_1", "demand_7d_mean", "search_7d_avg", "price_7d_avg", "sentiment_7d_avg"]
-    base = i.stored(finalize_features(X.feature_frame(history), names), "history-features")
-    scorer = NaiveScorer()
-    scorer.features = names
     cycle = C.DailyCycle(
-        store, replace(DEFAULTS, expected_entities=entities), scorer,
-        profile=i.stored(drift.baseline_profile(base, names), "profile"), skip_incomplete=True,
+        store, replace(DEFAULTS, expected_entities=entities), NaiveScorer(), events=i.events, regimes=i.regimes,
+        profile=i.stored(on_grid(drift.baseline_profile(frame, names), ["q10", "q50", "q90"]), "profile"),
+        skip_incomplete=True, prepare=lambda live: on_grid(live, names),
     )
-    _run_daily(i, cycle, feed, history)
-    return store.drift.current().withColumn("date", F.date_from_unix_date(F.col("first_seq").cast("int")))
+    day_before = history.agg(F.max(F.unix_date("date"))).first()[0]
+    store.set_state({"active_baseline_mae": str(_CYCLE_BASELINE)}, day_before)
+    done = _run_daily(i, cycle, feed, normalize_feed(history))
+    told = i.spark.createDataFrame(
+        [(r["date"], r["perf_streak"], r["roll_streak"], r["action"]) for r in done if r["status"] == "ingested"],
+        "date DATE, perf_streak BIGINT, roll_streak BIGINT, action STRING",
+    )
+    logged = store.drift.log().withColumn("date", F.date_from_unix_date(F.col("_batch").cast("int")))
+    units = F.transform(
+        F.array_sort(F.map_entries(F.from_json("payload_json", "map<string,double>"))),
+        lambda e: F.concat(e["key"], F.lit("="), F.floor(e["value"] * 1e6 + 0.501).cast("string")),
+    )
+    return logged.withColumn("psi_map", F.array_join(units, " ")).join(told, "date")
 
 
 # ---- policy -------------------------------------------------------------------------------------------------

@@ -81,9 +81,9 @@ SELECT * FROM errors ORDER BY date DESC, entity_id DESC, model_version DESC LIMI
 def base_sql(panel: str) -> str:
     """A panel with every feature input, defaults where the panel has no such column."""
     own = {
-        "retail": {"discount_pct": "discount_pct"},
-        "activity": {"new_reviews": "new_reviews"},
-    }["retail" if panel.startswith("retail") else "activity"]
+        "retail": {"discount_pct": "discount_pct"}, "activity": {"new_reviews": "new_reviews"},
+        "fed": {},  # a feed brings no other signals
+    }[panel]
     shown = {
         "sentiment_mean": "sentiment_index", "search_interest": "search_index", "price_new": "price_index",
         "ad_index": "ad_index", "search_index": "search_index", "sentiment_index": "sentiment_index", **own,
