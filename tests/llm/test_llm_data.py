@@ -1,6 +1,7 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,26 @@ def test_grammar_decodes_to_what_it_encoded():
     assert len(shard.sequence) < len(ids) or vocabulary > 1000
 
 
+def test_no_pair_worth_a_rule_is_left():
+    r = np.random.default_rng(5)
+    run = np.full(262_144, 7, np.uint32)
+    words = [r.integers(1, 400, r.integers(1, 9)).astype(np.uint32) for _ in range(300)]
+    text = np.concatenate([words[k] for k in r.zipf(1.3, 6000) % 300])
+    mixed = np.concatenate([np.tile([3, 3, 3, 4], 500), np.tile([1, 2, 1], 400), np.repeat([9, 8, 9], [33, 40, 7])]).astype(np.uint32)
+    for ids, most in ((run, 2 * 18), (text, len(text) // 3), (mixed, 200)):
+        ends = np.zeros(len(ids), dtype=bool)
+        ends[-1] = True
+        row = token_files.compress(ids, ends)
+        shard = token_files.Shard(row | {"docs": np.zeros(1, "<i8").tobytes()})
+        left = shard.sequence.astype(np.int64)
+        assert (shard.document(0) == ids).all() and len(left) + len(shard.rules) <= most
+        counts, k = Counter(), 0
+        while k < len(left) - 1:  # of equal symbols, pairs that do not overlap
+            counts[left[k], left[k + 1]] += 1
+            k += 2 if left[k] == left[k + 1] and k + 2 < len(left) and left[k + 2] == left[k] else 1
+        assert max(counts.values(), default=0) < token_files.LEAST_COUNT
+
+
 def test_encoding_in_pieces_equals_encoding_whole(monkeypatch):
     encoder = token_files.Encoder(token_files.default_tokenizer())
     whole = Tokenizer.from_file(token_files.default_tokenizer())

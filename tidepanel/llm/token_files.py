@@ -22,9 +22,7 @@ from tidepanel.llm.words import Chunk, Words, chunks, word_hashes, words
 
 END = 0
 SHARD_TOKENS = 1 << 20
-ROUNDS = 8
-ROUND_RULES = 2048
-LEAST_COUNT = 8
+LEAST_COUNT = 7  # a rule takes twelve bytes, as six symbols do
 CACHE_PIECES = 2_000_000
 _JOINED = 2000
 _BATCH_TEXT = 1 << 22
@@ -71,6 +69,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # pieces are kept here; keeping them there as well costs a third of the time
         with open(path, encoding="utf-8") as f:
             plan = json.load(f)
         self.added = [x["content"].encode() for x in plan.get("added_tokens") or [] if x["content"]]
@@ -190,61 +190,90 @@ class Encoder:
         return out
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> dict:
+def _maybe_frequent(pairs: np.ndarray) -> np.ndarray:
+    """Leaves out pairs that a count of hashed buckets already shows to be rare."""
+    bits = max(10, int(len(pairs)).bit_length())
+    bucket = ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.bincount(bucket, minlength=1 << bits)[bucket] >= LEAST_COUNT
+
+
+def _counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs, how often each stands, and the kind of every given one."""
+    order = np.argsort(pairs)
+    held = pairs[order]
+    edge = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1], [True]]))
+    kind = np.empty(len(pairs), np.int64)
+    kind[order] = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    return held[edge[:-1]], np.diff(edge), kind
+
+
+def _every_other(at: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """Of places whose symbol equals the next one: every second one of each run, from its left."""
+    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (seq[at[1:]] != seq[at[:-1]])])
+    first = at[new][np.cumsum(new) - 1]
+    return at[(at - first) % 2 == 0]
+
+
+def compress(ids: np.ndarray, ends: np.ndarray) -> dict:
     """Re-Pair over one shard. ``ends`` marks the last token of each document.
 
-    Each round counts all pairs and replaces the most frequent ones together; a symbol that is the left part of one
-    chosen pair is the right part of none, so no two replacements overlap. Rounds stop when they save less than 1 %.
+    Rounds go on until no pair stands ``LEAST_COUNT`` times, below which a rule takes more than it saves. In a round every
+    place with a frequent pair is replaced unless a place that overlaps it has a more frequent one; of a run of equal
+    symbols every second place is taken, from its left. A pair gets a rule if that is so ``LEAST_COUNT`` times, as it always
+    is for the most frequent one. A pair that is rare stays so, as new pairs hold a new symbol; a round looks at places of
+    new and of frequent pairs only.
     """
     terminals = np.flatnonzero(np.bincount(ids))
     place = np.zeros(terminals[-1] + 1, np.uint32)
     place[terminals] = np.arange(len(terminals))
-    seq, ends = place[ids], ends.copy()
+    seq, ends = place[ids].astype(np.int64), ends.copy()
     rules: list[np.ndarray] = []
     n = len(terminals)
-    lengths = np.ones(n, np.int64)
-    for _ in range(rounds):
-        before = len(seq)
-        narrow = n <= 1 << 16  # then a pair is one number of 32 bits, which sorts faster
-        bits, kind_of = (16, np.uint32) if narrow else (32, np.uint64)
-        whole = seq[:-1].astype(kind_of) << kind_of(bits) | seq[1:]
-        pairs = np.sort(whole[~ends[:-1]])
-        if not len(pairs):
+    look = np.flatnonzero(~ends[:-1])  # where a pair begins that may be frequent
+    while True:
+        pairs = seq[look] << 32 | seq[look + 1]
+        some = _maybe_frequent(pairs)
+        look, pairs = look[some], pairs[some]
+        equal = seq[look] == seq[look + 1]
+        if equal.any():
+            free = ~equal
+            free[np.searchsorted(look, _every_other(look[equal], seq))] = True
+            look, pairs = look[free], pairs[free]
+        if not len(look):
             break
-        edge = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1], [True]]))
-        count, kind = np.diff(edge), pairs[edge[:-1]]
-        often = np.flatnonzero(count >= LEAST_COUNT)
-        often = often[np.lexsort((kind[often], -count[often]))][:2 * ROUND_RULES]
-        lefts, rights, chosen = set(), set(), []
-        for code in kind[often].tolist():
-            a, b = code >> bits, code & (1 << bits) - 1
-            if a != b and a not in rights and b not in lefts and len(chosen) < ROUND_RULES:
-                lefts.add(a)
-                rights.add(b)
-                chosen.append(code)
-        if not chosen:
+        kinds, count, kind = _counted(pairs)
+        rank = np.empty(len(kinds), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(1, len(kinds) + 1)
+        rank[count < LEAST_COUNT] = 0
+        if not rank.any():
             break
-        chosen = np.sort(np.array(chosen, kind_of))
-        parts = np.stack([chosen >> kind_of(bits), chosen & kind_of((1 << bits) - 1)], axis=1).astype(np.int64)
-        is_left, is_right = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-        is_left[parts[:, 0]], is_right[parts[:, 1]] = True, True
-        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~ends[:-1])
-        code = whole[at]
-        place = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
-        right = chosen[place] == code
-        at, place = at[right], place[right]
-        seq[at] = n + place
+        best = np.zeros(len(seq) + 1, np.int64)
+        best[look] = rank[kind]
+        own = best[look]
+        wins = (own > best[look + 1]) & (own > best[look - 1])  # before the first place lies the last one, a 0
+        chosen = np.bincount(kind[wins], minlength=len(kinds)) >= LEAST_COUNT
+        wins &= chosen[kind]
+        at = look[wins]
+        wanted = np.zeros(len(seq), dtype=bool)
+        wanted[look[own > 0]] = True  # frequent pairs that are left come again
+        seq[at] = (np.cumsum(chosen) - 1 + n)[kind[wins]]
         ends[at] = ends[at + 1]
+        wanted[at] = True
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
-        seq, ends = seq[keep], ends[keep]
-        rules.append(parts)
-        lengths = np.concatenate([lengths, lengths[parts].sum(axis=1)])
-        n += len(chosen)
-        if len(seq) > 0.99 * before:
-            break
-    width = 2 if n <= 1 << 16 else 4
+        before = at[at > 0] - 1
+        wanted[np.where(keep[before], before, before - 1)] = True
+        seq, ends, wanted = seq[keep], ends[keep], wanted[keep]
+        rules.append(np.stack([kinds[chosen] >> 32, kinds[chosen] & 0xFFFFFFFF], axis=1))
+        n += int(chosen.sum())
+        look = np.flatnonzero(wanted[:-1] & ~ends[:-1])
+    lengths = np.ones(n, np.int64)
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    done = len(terminals)
+    for parts in rules:
+        lengths[done:done + len(parts)] = lengths[parts].sum(axis=1)
+        done += len(parts)
+    width = 2 if n <= 1 << 16 else 4
     return {"first_symbol": np.concatenate([[0], np.flatnonzero(ends) + 1]).astype("<i8").tobytes(),
             "terminals": terminals.astype("<u4").tobytes(), "rules": pairs.astype("<u4").tobytes(),
             "lengths": lengths.astype("<u4").tobytes(), "width": width, "sequence": seq.astype(f"<u{width}").tobytes()}
@@ -294,7 +323,7 @@ class Shard:
         return self.expand(self.sequence[a:b])[start - before:stop - before]
 
 
-def _write(shared, shard_tokens: int, rounds: int):
+def _write(shared, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = shared.value  # stays with the Python process, so pieces are encoded once in it
         encoder = box.get("encoder") or box.setdefault("encoder", Encoder(box["path"]))
@@ -304,7 +333,7 @@ def _write(shared, shard_tokens: int, rounds: int):
             ends = np.zeros(size, dtype=bool)
             ends[np.cumsum([len(x) for x in ids]) - 1] = True
             row = {"part": part, "seq": seq, "n_tokens": size, "docs": np.array(docs, "<i8").tobytes()}
-            row |= compress(np.concatenate(ids), ends, rounds)
+            row |= compress(np.concatenate(ids), ends)
             return pa.RecordBatch.from_pylist([row], schema=_SHARD_ARROW)
 
         for batch in batches:
@@ -328,7 +357,7 @@ _SHARD_ARROW = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary":
 
 
 def token_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
-                 shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> DataFrame:
+                 shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode whole texts, append the end id to each, and make shards in ascending order of the id.
 
     Null and empty texts are the end id alone. Rows without an id are left out; rows with the same id follow one
@@ -339,7 +368,7 @@ def token_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ordered = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     ).repartitionByRange("doc").sortWithinPartitions("doc", "text")
-    return ordered.mapInArrow(_write(shared, shard_tokens, rounds), SHARD)
+    return ordered.mapInArrow(_write(shared, shard_tokens), SHARD)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
