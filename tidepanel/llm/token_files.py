@@ -226,12 +226,12 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> dict:
     terminals = np.flatnonzero(np.bincount(ids))
     place = np.zeros(terminals[-1] + 1, np.uint32)
     place[terminals] = np.arange(len(terminals))
-    seq, ends = place[ids].astype(np.int64), ends.copy()
+    seq, ends = place[ids].astype(np.int32), ends.copy()
     rules: list[np.ndarray] = []
     n = len(terminals)
     look = np.flatnonzero(~ends[:-1])  # where a pair begins that may be frequent
     while True:
-        pairs = seq[look] << 32 | seq[look + 1]
+        pairs = seq[look].astype(np.int64) << 32 | seq[look + 1]
         some = _maybe_frequent(pairs)
         look, pairs = look[some], pairs[some]
         equal = seq[look] == seq[look + 1]
@@ -242,12 +242,12 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> dict:
         if not len(look):
             break
         kinds, count, kind = _counted(pairs)
-        rank = np.empty(len(kinds), np.int64)
+        rank = np.empty(len(kinds), np.int32)
         rank[np.argsort(count, kind="stable")] = np.arange(1, len(kinds) + 1)
         rank[count < LEAST_COUNT] = 0
         if not rank.any():
             break
-        best = np.zeros(len(seq) + 1, np.int64)
+        best = np.zeros(len(seq) + 1, np.int32)
         best[look] = rank[kind]
         own = best[look]
         wins = (own > best[look + 1]) & (own > best[look - 1])  # before the first place lies the last one, a 0
@@ -279,6 +279,12 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> dict:
             "lengths": lengths.astype("<u4").tobytes(), "width": width, "sequence": seq.astype(f"<u{width}").tobytes()}
 
 
+def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, as many as its ``size``, one after another."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Shard:
     """Reads one row of the files."""
 
@@ -292,25 +298,25 @@ class Shard:
         self._flat: tuple[np.ndarray, np.ndarray] | None = None
 
     def _table(self) -> tuple[np.ndarray, np.ndarray]:
-        """The expansions of all symbols one after another, and where each begins."""
+        """The expansions of all symbols one after another, and where each begins. Rules whose parts are all known are
+        expanded together."""
         if self._flat is None:
             first = np.concatenate([[0], np.cumsum(self.lengths)])
             flat = np.empty(first[-1], np.uint32)
-            base = len(self.terminals)
+            base, done = len(self.terminals), 0
             flat[:base] = self.terminals
-            for k, (a, b) in enumerate(self.rules.tolist(), base):
-                at, n = first[k], self.lengths[a]
-                flat[at:at + n] = flat[first[a]:first[a] + n]
-                flat[at + n:first[k + 1]] = flat[first[b]:first[b + 1]]
+            newest = np.maximum.accumulate(self.rules.max(axis=1)) if len(self.rules) else np.zeros(0, np.int64)
+            while done < len(self.rules):
+                stop = int(np.searchsorted(newest, base + done))
+                parts = self.rules[done:stop].reshape(-1)
+                flat[first[base + done]:first[base + stop]] = flat[_places(first[parts], self.lengths[parts])]
+                done = stop
             self._flat = flat, first
         return self._flat
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         flat, first = self._table()
-        size = self.lengths[symbols]
-        ends = np.cumsum(size)
-        inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
-        return flat[np.repeat(first[symbols], size) + inside]
+        return flat[_places(first[symbols], self.lengths[symbols])]
 
     def document(self, k: int) -> np.ndarray:
         return self.expand(self.sequence[self.first_symbol[k]:self.first_symbol[k + 1]])
@@ -376,15 +382,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(len(batch)):
             row = batch.slice(k, 1).to_pylist()[0]
             shard = Shard(row)
-            start, starts, sizes, sums = row["start"], [], [], []
-            for d in range(len(shard.docs)):
-                ids = shard.document(d)
-                starts.append(start)
-                sizes.append(len(ids))
-                sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                start += len(ids)
+            ids = memoryview(shard.expand(shard.sequence).astype("<u4").tobytes())
+            stops = np.concatenate([[0], np.cumsum(shard.lengths[shard.sequence])])[shard.first_symbol]
+            sums = [zlib.crc32(ids[4 * a:4 * b]) for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
             yield pa.RecordBatch.from_pydict({
-                "doc": pa.array(shard.docs), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()),
+                "doc": pa.array(shard.docs), "start": pa.array(row["start"] + stops[:-1]), "n_tokens": pa.array(np.diff(stops)),
                 "ids_crc32": pa.array(sums, pa.int64())})
 
 
