@@ -32,6 +32,7 @@ CACHE_BYTES = 128 << 20
 PIECE_WORDS = 1 << 17
 _JOINED = 2000
 RUN_DOCS = 1 << 16
+GROUP_CHARS = 1 << 19
 
 _DOC_BITS = 20  # documents of a run
 _WHITE = r"\s᠎▁"
@@ -192,21 +193,30 @@ class Aligner:
 
     def numbers(self, words: list[str]) -> list[int]:
         """The place of each word in the cache."""
-        found = list(map(self.index.get, words))
-        if None in found:
-            self.learn(list(dict.fromkeys(w for w, k in zip(words, found) if k is None)))
-            found = list(map(self.index.__getitem__, words))
-        return found
+        try:
+            return list(map(self.index.__getitem__, words))
+        except KeyError:
+            self.learn([w for w in dict.fromkeys(words) if w not in self.index])
+            return list(map(self.index.__getitem__, words))
+
+    def prepared(self, texts: list[str]) -> list[list[str]]:
+        """The words of some texts, those that are new learned together."""
+        if self.held > CACHE_BYTES:
+            self._forget()
+        words = [self.words(x) if x else [] for x in texts]
+        new = dict.fromkeys(w for some in words for w in some[:PIECE_WORDS] if w not in self.index)
+        if new:
+            self.learn(list(new))
+        return words
 
-    def align(self, text: str) -> tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray]:
+    def align(self, text: str, words: list[str] | None = None) -> tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray]:
         """((A tokens, B tokens, groups, links), hash of the groups, pairs, how often each is linked); a pair that
         several words have comes several times."""
         none = (0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not text:
             return none
-        if self.held > CACHE_BYTES:
-            self._forget()
-        words, digest, sums = self.words(text), hashlib.sha256(), np.zeros(4, np.int64)
+        words = words or self.prepared([text])[0]
+        digest, sums = hashlib.sha256(), np.zeros(4, np.int64)
         keys, times = [], []
         for k in range(0, len(words), PIECE_WORDS):  # a very long text some words at a time
             at = self.numbers(words[k:k + PIECE_WORDS])
@@ -258,6 +268,19 @@ _RUNS_DDL = ("kind string, run long, part int, at int, doc long, n_a long, n_b l
              "head binary, body binary")
 
 
+def _prepared(batch: pa.RecordBatch, aligner: Aligner) -> Iterator[tuple[int | None, str, list[str]]]:
+    """(document, text, words) of a batch, about ``GROUP_CHARS`` of text looked up together."""
+    group: list[tuple[int | None, str]] = []
+    size = 0
+    for k, (doc, text) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True), 1):
+        group.append((doc, text.as_py() or ""))
+        size += len(group[-1][1])
+        if size >= GROUP_CHARS or k == len(batch):
+            for (one, own), words in zip(group, aligner.prepared([x for _, x in group]), strict=True):
+                yield one, own, words
+            group, size = [], 0
+
+
 def _encode(shared, run_records: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -273,16 +296,15 @@ def _encode(shared, run_records: int):
             yield pa.RecordBatch.from_pylist(docs, schema=_RUNS)
             yield pa.RecordBatch.from_pylist(list(_run_rows(held, number, aligner)), schema=_RUNS)
 
-        for batch in batches:
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
-                n, sha, keys, times = aligner.align(text.as_py() or "")
-                docs.append({"kind": "doc", "run": number, "at": len(docs), "doc": doc, "sha": sha,
-                             **dict(zip(("n_a", "n_b", "n_groups", "n_links"), n))})
-                held.append((keys, times))
-                records += len(keys)
-                if records >= run_records or len(docs) == RUN_DOCS:
-                    yield from rows()
-                    docs, held, records, number = [], [], 0, number + 1
+        for doc, text, words in (x for batch in batches for x in _prepared(batch, aligner)):
+            n, sha, keys, times = aligner.align(text, words)
+            docs.append({"kind": "doc", "run": number, "at": len(docs), "doc": doc, "sha": sha,
+                         **dict(zip(("n_a", "n_b", "n_groups", "n_links"), n))})
+            held.append((keys, times))
+            records += len(keys)
+            if records >= run_records or len(docs) == RUN_DOCS:
+                yield from rows()
+                docs, held, records, number = [], [], 0, number + 1
         if docs:
             yield from rows()
     return run
