@@ -264,3 +264,18 @@ def test_a_replayed_catch_up_overwrites_itself(spark):
     assert [r["status"] for r in cycle.process(rows)] == ["ingested"] * 5
     assert store.panel.current().count() == store.panel.log().count() == 30
     assert store.fva.log().count() == 12 and store.state_values()["sim_day"] == "5"
+
+
+def test_a_compacted_cycle_goes_on_as_before(spark):
+    stores = [StateStore(spark, scratch_dir(spark, "state")) for _ in range(2)]
+    for store, after in zip(stores, (None, 2)):
+        cycle = DailyCycle(store, THREE, compact_after=after)
+        cycle.seed(_frame(spark, [r for k in range(-5, 0) for r in _day(k)]))
+        for chunk in (range(0, 4), range(4, 5), range(5, 8)):
+            cycle.process(_frame(spark, [r for k in chunk for r in _day(k, bump=float(k * k))]))
+    plain, folded = stores
+    assert plain.panel.batches() == 9 and folded.panel.batches() == folded.tail.batches() == 1
+    for name in ("panel", "actuals", "summary", "predictions", "fva", "alerts", "drift"):
+        assert _table(getattr(plain, name).current()) == _table(getattr(folded, name).current()), name
+    assert plain.state_values() == folded.state_values()
+    assert _table(plain.history()) == _table(folded.history())

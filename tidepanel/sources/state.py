@@ -6,11 +6,18 @@ writers in a batch (models, versions, reasons) split the batch by writer in ``_p
 never replaces another's rows. Readers fold the log to one row per key: the newest values, and the
 batch of first insertion as ``first_seq``. They can read the log as it was after any batch, which
 is what makes a step that depends on its own tables repeatable.
+
+Old batches can be compacted: they are folded into segments, segments of one tier into one of the next, and a manifest
+names the segments that are live and the last batch in them. A manifest is a new file that appears by a rename, so a reader
+sees the view before or after, and of two compactions at a time one fails. Reads open segments and newer batches only.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -22,6 +29,8 @@ from tidepanel.sources import schemas as S
 
 BATCH = "_batch"
 PART = "_part"
+FIRST = "_first"  # the batch of first insertion, and before a column's name its value then
+FAN_IN = 4
 
 
 class LogTable:
@@ -30,8 +39,10 @@ class LogTable:
     def __init__(
         self, spark: SparkSession, path: str, ddl: str, keys: Sequence[str] = (),
         keep_from_first: Sequence[str] = (), order: Sequence[str] = (), measures_to_zero: Sequence[str] = (),
-        writers: Sequence[str] = (),
+        writers: Sequence[str] = (), only_newest: bool = False,
     ):
+        """``only_newest`` is for working sets of which nobody reads but the newest batch."""
+        self.only_newest = only_newest
         self.spark, self.path, self.ddl = spark, path, ddl
         self.keys, self.kept, self.order = list(keys), list(keep_from_first), list(order)
         self.zeroed = set(measures_to_zero)
@@ -43,6 +54,8 @@ class LogTable:
 
         A column as ``batch`` deals the rows to their batches, all of them in one job.
         """
+        if not isinstance(batch, Column) and batch <= self._manifest()["upto"]:
+            raise ValueError(f"batch {batch} of {self.path} is compacted")
         present = set(df.columns)
 
         def shaped(name: str, kind: str) -> str:
@@ -61,40 +74,121 @@ class LogTable:
 
     def log(self, upto: int | None = None, only: int | None = None, among: Sequence[int] | None = None) -> DataFrame:
         """Raw rows; all limits prune partitions."""
-        try:
-            rows = self.spark.read.schema(self._ddl).parquet(self.path)
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            rows = self.spark.createDataFrame([], self._ddl)  # nothing was written yet
+        names = [*S.names(self.ddl), BATCH]
+        rows = reduce(DataFrame.unionByName, [f.select(*names) for f in self._live()])
         if upto is not None:
             rows = rows.filter(F.col(BATCH) <= upto)
         if only is not None:
             rows = rows.filter(F.col(BATCH) == only)
         if among is not None:
             rows = rows.filter(F.col(BATCH).isin(*among))
-        return rows.drop(PART)
+        return rows
 
     def current(self, upto: int | None = None) -> DataFrame:
         """One row per key: latest values, ``first_seq`` and the columns kept from first insertion."""
-        rows = self.log(upto)
         if not self.keys:
-            return rows.withColumnRenamed(BATCH, "first_seq")
+            return self.log(upto).withColumnRenamed(BATCH, "first_seq")
+        rows = reduce(DataFrame.unionByName, self._live())
+        if upto is not None:
+            rows = rows.filter(F.col(BATCH) <= upto)
+        first = [f"{FIRST}_{c} AS {c}" if c in self.kept else c for c in S.names(self.ddl)]
+        return self._folded(rows).selectExpr(*first, f"{FIRST} AS first_seq")
+
+    def _folded(self, rows: DataFrame) -> DataFrame:
+        """One row per key with the newest values, their batch, and what is kept of the first ones."""
         names = S.names(self.ddl)
         rest = [n for n in names if n not in self.keys and n not in self.kept]
         lead = [c for c in self.order if c in rest]
         newest = ", ".join([BATCH, *lead, *[c for c in rest if c not in lead]])
-        oldest = ", ".join([BATCH, *self.kept])
+        kept = [FIRST, *[f"{FIRST}_{c}" for c in self.kept]]
         folded = rows.groupBy(*self.keys).agg(
-            F.expr(f"max(struct({newest})) AS _new"), F.expr(f"min(struct({oldest})) AS _old")
-        )
-        return folded.selectExpr(
-            *[
-                n if n in self.keys else f"_old.{n} AS {n}" if n in self.kept else f"_new.{n} AS {n}"
-                for n in names
-            ],
-            f"_old.{BATCH} AS first_seq",
+            F.expr(f"max(struct({newest})) AS _new"), F.expr(f"min(struct({', '.join(kept)})) AS _old")
         )
+        values = [n if n in self.keys else f"_old.{FIRST}_{n} AS {n}" if n in self.kept else f"_new.{n} AS {n}" for n in names]
+        return folded.selectExpr(*values, f"_new.{BATCH} AS {BATCH}", *[f"_old.{c} AS {c}" for c in kept])
+
+    # ---- compaction ----------------------------------------------------------------------------
+
+    def _live(self) -> list[DataFrame]:
+        """Rows of the segments and of the batches after them, with what is kept of first insertion."""
+        manifest = self._manifest()
+        try:
+            raw = self.spark.read.schema(self._ddl).parquet(self.path)
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            raw = self.spark.createDataFrame([], self._ddl)  # nothing was written yet
+        raw = raw.filter(F.col(BATCH) > manifest["upto"]) if manifest["segments"] else raw
+        frames = [raw.drop(PART).selectExpr("*", f"{BATCH} AS {FIRST}", *[f"{c} AS {FIRST}_{c}" for c in self.kept])]
+        if manifest["segments"]:
+            paths = [x["path"] for x in manifest["segments"]]
+            frames.append(self.spark.read.schema(frames[0].schema).parquet(*paths))
+        return frames
+
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _listed(self, path: str) -> list[str]:
+        fs, at = self._fs(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _manifest(self) -> dict[str, Any]:
+        held = [n for n in self._listed(f"{self.path}_manifests") if n.endswith(".json")]
+        if not held:
+            return {"number": 0, "upto": -1 << 62, "segments": []}
+        text = self.spark.read.text(f"{self.path}_manifests/{held[-1]}", wholetext=True).first()[0]
+        return json.loads(text)
+
+    def _swap(self, manifest: dict[str, Any]) -> None:
+        """Make a manifest the newest; fails if there is one of its number."""
+        folder = f"{self.path}_manifests"
+        fs, draft = self._fs(f"{folder}/.draft-{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        final = self._fs(f"{folder}/{manifest['number']:012d}.json")[1]
+        if fs.exists(final) or not fs.rename(draft, final):
+            fs.delete(draft, False)
+            raise RuntimeError(f"{self.path}: another compaction came first")
+
+    def _segment(self, rows: DataFrame, tier: int) -> dict[str, Any]:
+        path = f"{self.path}_segments/{uuid.uuid4().hex}"
+        (self._folded(rows) if self.keys else rows).write.parquet(path)
+        return {"path": path, "tier": tier}
+
+    def batches(self) -> int:
+        """How many batches lie in the log, compacted ones left out."""
+        return sum(n.startswith(f"{BATCH}=") for n in self._listed(self.path))
+
+    def compact(self, upto: int) -> bool:
+        """Fold the batches up to ``upto`` into the segments; ``FAN_IN`` segments of a tier become one of the next.
+
+        Of keyed tables the newest row of each key stays and what is kept of its first; reads as of a folded batch
+        are over. Files that are no longer live are removed after the swap.
+        """
+        batches = [int(n.split("=")[1]) for n in self._listed(self.path) if n.startswith(f"{BATCH}=")]
+        old = self._manifest()
+        folded = sorted(b for b in batches if b <= upto)
+        fresh = [b for b in folded if b > old["upto"]]
+        if not fresh or (self.only_newest and len(batches) == len(folded) == 1):
+            return False
+        dropped: list[str] = []
+        if self.only_newest:
+            folded = [b for b in folded if b != max(batches)]
+        else:
+            rows = self._live()[0].filter(F.col(BATCH) <= upto)
+            segments, tier = [*old["segments"], self._segment(rows, 0)], 0
+            while len(same := [x for x in segments if x["tier"] == tier]) >= FAN_IN:
+                merged = self.spark.read.schema(rows.schema).parquet(*[x["path"] for x in same])
+                segments = [x for x in segments if x["tier"] != tier] + [self._segment(merged, tier + 1)]
+                dropped += [x["path"] for x in same]
+                tier += 1
+            self._swap({"number": old["number"] + 1, "upto": upto, "segments": segments})
+        for path in [*dropped, *[f"{self.path}/{BATCH}={b}" for b in folded]]:
+            fs, at = self._fs(path)
+            fs.delete(at, True)
+        return True
 
 
 _FORECAST_KEYS = ["entity_id", "model_version"]
@@ -133,8 +227,8 @@ class StateStore:
         self.registry = log("registry", S.REGISTRY, ["version"], writers=["version"])
         self.state = log("runtime_state", S.RUNTIME_STATE, ["state_key"])
         # Working sets of the daily cycle: trailing rows per entity and the newest errors.
-        self.tail = log("tail", S.PANEL)
-        self.error_window = log("error_window", f"{S.FORECAST_VS_ACTUAL}, first_seq BIGINT")
+        self.tail = log("tail", S.PANEL, only_newest=True)
+        self.error_window = log("error_window", f"{S.FORECAST_VS_ACTUAL}, first_seq BIGINT", only_newest=True)
         self.refused = log("refused", f"{S.PANEL}, reason STRING", writers=["reason"])
 
     # ---- runtime state -------------------------------------------------------------------------
@@ -151,6 +245,11 @@ class StateStore:
         frame = self.spark.createDataFrame(rows, "state_key STRING, state_value STRING")
         self.state.append(frame.withColumn("updated_at", F.current_timestamp()), batch)
 
+    def compact(self, upto: int) -> list[str]:
+        """Compact all tables but the refused rows, to which late dates are still added; names those that changed."""
+        tables = {n: t for n, t in vars(self).items() if isinstance(t, LogTable) and t is not self.refused}
+        return [n for n, t in tables.items() if t.compact(upto)]
+
     # ---- history -------------------------------------------------------------------------------
 
     def history(self) -> DataFrame:

@@ -95,13 +95,15 @@ class DailyCycle:
         forecasts: bool = True,
         skip_incomplete: bool = False,
         prepare: Callable[[DataFrame], DataFrame] | None = None,
+        compact_after: int | None = None,
     ):
         """``learner`` turns policy decisions into training runs; without it they are only recorded.
 
         Without a scorer the store's active model takes up its work again, with its profile and its
         error as baseline; a store without one starts with the naive scorer. Dates wait behind an
         incomplete one until it is complete, unless ``skip_incomplete``. ``prepare`` shapes the features that are
-        measured for drift, as those of the profile were shaped.
+        measured for drift, as those of the profile were shaped. With ``compact_after`` the state is compacted up to the
+        date before the newest one when more batches than that lie in the panel's log.
         """
         self.store, self.spark, self.settings = store, store.spark, settings
         self._registered = {}
@@ -115,6 +117,7 @@ class DailyCycle:
         self.events, self.regimes, self.learner, self.forecasts = events, regimes, learner, forecasts
         self.skip_incomplete = skip_incomplete
         self.prepare = prepare or (lambda frame: frame)
+        self.compact_after = compact_after
 
     def seed(self, history: DataFrame) -> None:
         """Load the panel that exists before the first feed date."""
@@ -154,6 +157,10 @@ class DailyCycle:
         if together:
             rows = feed.filter(F.col("date").isin(*ready))
             results += self._catch_up(rows, {d["date"]: int(d["n_entities"]) for d in days if d["date"] in ready})
+        if self.compact_after is not None and self.store.panel.batches() > self.compact_after:
+            done = self.store.state_values()["last_ingested_date"]
+            if done:
+                self.store.compact(ordinal(Date.fromisoformat(done)) - 1)  # a step reads nothing older one by one
         return sorted(results, key=lambda r: r["date"])
 
     def _ready(self, days) -> list[Date]:
