@@ -6,10 +6,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidepanel.llm import packing, token_files, words
-from tidepanel.llm.neighbours import nearest_neighbours
+from tidepanel.llm.neighbours import build_index, nearest_neighbours
 from tidepanel.llm.queries import QUERIES
 
 
@@ -163,6 +164,22 @@ def test_neighbours_recall(spark, folder):
     assert all([x for x, _, _ in sorted(g)] == list(range(1, 21)) for g in got.values())
 
 
+def test_neighbours_recall_over_many_shards_built_apart(spark, folder):
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    size = max(1, len(rows) // 24)
+    index = build_index(table, shard_rows=size)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and index.count() >= 20
+    assert index.select("dim", "shard", F.spark_partition_id().alias("task")).distinct().groupBy("task").count().agg(F.max("count")).first()[0] <= 4
+    got = {}
+    for r in nearest_neighbours(table, shard_rows=size).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = [(i, v) for i, v in rows if i % 20 == 0]
+    hit = sum(len(got[i] & set(_exact(rows, i, q))) for i, q in asked)
+    assert hit >= 0.9 * 20 * len(asked)
+
+
 @pytest.mark.parametrize("shard_rows", [1000, 40])
 def test_neighbours_with_ties_and_odd_vectors(spark, shard_rows):
     r = np.random.default_rng(3)

@@ -169,11 +169,18 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS,
                 links: int = LINKS, width: int = BUILD_WIDTH) -> DataFrame:
-    """One row of flat arrays per shard. Every valid row is indexed; each length of vectors has its own shards."""
-    rows = valid_vectors(vectors, id_col, vector_col)
-    sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    """One row of flat arrays per shard. Every valid row is indexed; each length of vectors has its own shards.
+
+    The rows are small beside the work on them, so they are dealt to twice as many tasks as there are shards:
+    adaptive coalescing, which looks at bytes, would build many shards in one task.
+    """
+    scratch = Scratch(vectors.sparkSession, "neighbour-rows")
+    rows = scratch.store(valid_vectors(vectors, id_col, vector_col), "rows")
+    sizes = scratch.store(rows.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")), "sizes")
+    tasks = max(64, 2 * (sizes.agg(F.sum("shards")).first()[0] or 0))
     spread = rows.join(sizes, "dim").withColumn("shard", F.expr("cast(pmod(xxhash64(vec), shards) as int)"))
-    return spread.select("shard", "dim", "vec", "point").groupBy("dim", "shard").applyInArrow(_build(links, width), INDEX)
+    dealt = spread.select("shard", "dim", "vec", "point").repartition(tasks, "dim", "shard")
+    return dealt.groupBy("dim", "shard").applyInArrow(_build(links, width), INDEX)
 
 
 class _Searcher:
