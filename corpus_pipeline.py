@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidepanel.llm.decontaminate import contamination
 from tidepanel.llm.language import UNDETERMINED, held_out, identify, learn
 from tidepanel.llm.near_dedup import near_duplicates
-from tidepanel.llm.packing import pack
+from tidepanel.llm.packing import pack, token_lengths
 from tidepanel.llm.pii import replace_personal_data
 from tidepanel.llm.storage import Scratch
 
@@ -58,8 +58,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes: bucket, batch and slot."""
-    return pack(docs)
+    """Where each piece of each document goes, lengths in tokens: bucket, batch and slot."""
+    return pack(token_lengths(docs), length_col="n_tokens")
 
 
 STAGES = [
