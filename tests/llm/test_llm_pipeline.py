@@ -2,7 +2,9 @@ import re
 
 import brute
 import corpus_pipeline
-from tidepanel.llm import packing, pii
+from tokenizers import Tokenizer
+
+from tidepanel.llm import packing, pii, token_files
 from tidepanel.llm.language import held_out
 
 
@@ -15,11 +17,15 @@ def test_stages_match_brute_force(spark, folder, tmp_path):
         found.write.parquet(str(tmp_path / name))
         after = spark.read.parquet(str(tmp_path / name))
         if name == "packing":
-            want = {i: len(brute.split(r.text)) for i, r in before.items()}
-            have = {}
+            whole = Tokenizer.from_file(token_files.default_tokenizer())
+            want = {i: len(whole.encode(r.text or "", add_special_tokens=False).ids) for i, r in before.items()}
+            have, batches = {}, {}
             for r in after.collect():
                 have[r.doc_id] = have.get(r.doc_id, 0) + r.length
-            assert have == want and all(r.length <= packing.LONGEST for r in after.collect())
+                assert r.length <= min(r.bucket, packing.LONGEST)
+                if r.length:
+                    batches[r.bucket, r.batch] = batches.get((r.bucket, r.batch), 0) + r.bucket
+            assert have == want and max(batches.values()) <= packing.BUDGET
             break
         assert after.columns == docs.columns
         kept = {r.doc_id: r for r in after.collect()}
