@@ -8,6 +8,7 @@ from tidepanel.operators.attribution import attach_context, with_reasons
 from tidepanel.operators.dedup import union_keep_last
 from tidepanel.operators.features import live_feature_frame
 from tidepanel.operators.normalize import finalize_features
+from tidepanel.plans.contributions import shares_text, with_shares
 from tidepanel.plans.model import TrainedModel, contribution_text, score
 from tidepanel.sources import schemas as S
 
@@ -29,20 +30,25 @@ class NaiveScorer:
 
 
 class ModelScorer:
-    """A stored model, with the linear weights that explain it."""
+    """A stored model, explained by the shares of its trees, or by linear ``weights`` where these are given."""
 
     needs_features = True
 
     def __init__(self, model: TrainedModel, weights: dict[str, tuple[float, float]] | None = None):
-        self.model, self.weights = model, weights or model.weights
+        self.model, self.weights = model, weights
         self.version, self.profile = model.version, model.profile
         self.features, self.event_kinds = model.features, model.event_kinds or None
 
     def predict(self, live: DataFrame) -> DataFrame:
-        return score(self.model.pipeline, live, self.features)
+        scored = score(self.model.pipeline, live, self.features)
+        if self.weights or self.model.leaves is None:
+            return scored
+        return with_shares(scored, self.model.leaves, self.features)
 
     def explain(self) -> Column:
-        return contribution_text(self.weights) if self.weights else F.lit(None).cast("string")
+        if self.weights:
+            return contribution_text(self.weights)
+        return F.lit(None).cast("string") if self.model.leaves is None else shares_text(self.features)
 
 
 def latest_context(history: DataFrame, actuals: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidepanel.operators.drift import baseline_profile, regression_scores
 from tidepanel.operators.normalize import contract_columns, finalize_features
+from tidepanel.plans.contributions import Leaves, largest_text, read_leaves
 from tidepanel.settings import DEFAULTS, Settings
 
 PROFILE, PIPELINE, METADATA = "profile", "pipeline", "metadata"
@@ -108,6 +110,7 @@ class TrainedModel:
     rmse: float
     event_kinds: list[str]
     weights: dict[str, tuple[float, float]] = field(default_factory=dict)
+    leaves: Leaves | None = None
 
 
 _META = (
@@ -158,40 +161,54 @@ def load(spark: SparkSession, path: str) -> TrainedModel:
         profile=spark.read.parquet(f"{path}/{PROFILE}"),
         mae=meta["mae"], rmse=meta["rmse"], event_kinds=list(meta["event_kinds"] or []),
         weights={k: (v["coefficient"], v["mean"]) for k, v in (meta["weights"] or {}).items()},
+        leaves=read_leaves(spark, f"{path}/{PIPELINE}"),
     )
 
 
 # ---- contributions ----------------------------------------------------------------------------------------
 
 
-def linear_surrogate(frame: DataFrame, features: Sequence[str], label: str = "target") -> dict[str, tuple[float, float]]:
-    """Coefficient and mean of each feature from a linear fit of ``label``."""
+RIDGE = 1e-3
+
+
+def linear_surrogate(
+    frame: DataFrame, features: Sequence[str], label: str = "target", ridge: float = RIDGE
+) -> dict[str, tuple[float, float]]:
+    """Coefficient and mean of each feature from a ridge fit of ``label`` on standardised inputs.
+
+    ``ridge`` counts in standard deviations of the label, so the weights do not depend on units; it settles how
+    collinear inputs share a weight. Inputs that are constant but for rounding get none. The normal equations are
+    summed in one pass.
+    Raises ValueError where they have no solution.
+    """
+    ready = finalize_features(frame, features).filter(F.col(label).isNotNull())
+    seen = ready.agg(F.stddev_pop(label).alias("label"), *[
+        F.struct(F.avg(f).alias("mean"), F.stddev_pop(f).alias("spread"), F.max(F.abs(f)).alias("size")).alias(f"x{k}")
+        for k, f in enumerate(features)
+    ]).first()
+    means = {f: float(seen[f"x{k}"]["mean"] or 0.0) for k, f in enumerate(features)}
+    used = [f for k, f in enumerate(features) if (seen[f"x{k}"]["spread"] or 0.0) > 1e-9 * max(1.0, seen[f"x{k}"]["size"] or 0.0)]
+    weights = dict.fromkeys(used, 0.0)
+    if seen["label"] and used:  # else no rows, or nothing to explain
+        weights = _ridge(ready, used, label, ridge * seen["label"])
+    return {f: (weights.get(f, 0.0), m) for f, m in means.items()}
+
+
+def _ridge(ready: DataFrame, features: Sequence[str], label: str, penalty: float) -> dict[str, float]:
     assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
-    ready = assembler.transform(finalize_features(frame, features))
-    fitted = LinearRegression(featuresCol="_x", labelCol=label, solver="auto", regParam=1e-6).fit(ready)
-    means = frame.agg(*[F.avg(f).alias(f) for f in features]).first()
-    return {f: (float(c), float(means[f] or 0.0)) for f, c in zip(features, fitted.coefficients)}
+    fitted = LinearRegression(
+        featuresCol="_x", labelCol=label, solver="normal", regParam=penalty, elasticNetParam=0.0,
+    ).fit(assembler.transform(ready))
+    if list(fitted.summary.objectiveHistory) != [0.0] or not all(math.isfinite(c) for c in fitted.coefficients):
+        raise ValueError("the normal equations of the surrogate have no solution")  # an iterative fit took over
+    return {f: float(c) for f, c in zip(features, fitted.coefficients)}
 
 
 def contribution_text(weights: dict[str, tuple[float, float]], top: int = 3) -> Column:
-    """The ``top`` features that moved a prediction most, largest first."""
-    parts = F.array(*[
+    """The ``top`` features that moved a prediction most by linear weights, largest first."""
+    return largest_text(F.array(*[
         F.struct(
             ((F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - mean) * coef).alias("v"), F.lit(f).alias("f")
         )
         for f, (coef, mean) in weights.items()
-    ])
-
-    def larger_first(a: Column, b: Column) -> Column:
-        return F.when(F.abs(a["v"]) > F.abs(b["v"]), -1).when(F.abs(a["v"]) < F.abs(b["v"]), 1).when(
-            a["f"] < b["f"], -1
-        ).when(a["f"] > b["f"], 1).otherwise(0)
-
-    lines = F.transform(
-        F.slice(F.array_sort(parts, larger_first), 1, top),
-        lambda p: F.concat(
-            p["f"], F.lit(" contributed to "),
-            F.when(p["v"] > 0, "increase").otherwise("decrease"), F.lit(" demand"),
-        ),
-    )
-    return F.array_join(lines, " | ")
+    ]), top)

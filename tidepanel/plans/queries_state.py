@@ -10,6 +10,7 @@ from tidepanel.functions.columns import week_start
 from tidepanel.operators import attribution as A, dashboard as D, dedup, drift, features as X, policy as P
 from tidepanel.operators.normalize import finalize_features, normalize_feed
 from tidepanel.plans import model as M
+from tidepanel.plans.contributions import SHARES, shares_text, with_shares
 from tidepanel.plans.forecast import NaiveScorer, forecast_next_day
 from tidepanel.plans.lifecycle import retrain
 from tidepanel.plans.queries_reports import _METRICS, _daily_metrics, _reason_sql
@@ -656,11 +657,17 @@ def h12_reason_text(i: Inputs) -> DataFrame:
     return i.retail.withColumn("explanation_text", text)
 
 
-@query("h13_contributions", "entity_id s, date d, shap_explanation s")
+@query("h13_contributions", "entity_id s, date d, pred_demand f, explained f, shap_explanation s")
 def h13_contributions(i: Inputs) -> DataFrame:
-    """The three inputs that move each row's next-day demand most, by a linear surrogate."""
-    frame = i.stored(X.training_frame(i.activity, i.events, i.regimes, _INPUTS), "frame")
-    return frame.withColumn("shap_explanation", M.contribution_text(M.linear_surrogate(frame, _INPUTS)))
+    """The three inputs that move each row's next-day demand most in the trees; ``explained`` is the mean and all shares."""
+    model = _trained(i)
+    if model is None:
+        return i.spark.createDataFrame(
+            [], "entity_id STRING, date DATE, pred_demand DOUBLE, explained DOUBLE, shap_explanation STRING")
+    scored = M.score(model.pipeline, i.feature_rows, model.features)
+    told = with_shares(scored, model.leaves, model.features)
+    total = F.aggregate(SHARES, F.lit(model.leaves.mean), lambda a, x: a + x)
+    return told.withColumn("explained", total).withColumn("shap_explanation", shares_text(model.features))
 
 
 @query("h14_retrain", "version s, status s, mae f, rmse f")
