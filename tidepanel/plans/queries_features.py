@@ -360,40 +360,41 @@ def c16_training_frame(i: Inputs) -> DataFrame:
 
 
 def _live_batch(i: Inputs) -> DataFrame:
-    """The last date again with corrected demand, as a batch that follows the history."""
+    """The last date again with corrected demand, prices and searches, as a batch that follows the history."""
     last = i.activity.agg(F.max("date")).scalar()
-    return i.activity.filter(F.col("date") == last).withColumn("demand_index", F.col("demand_index") + 1)
+    return i.activity.filter(F.col("date") == last).withColumns({
+        "demand_index": F.col("demand_index") + 1, "price_index": F.col("price_index") * 1.5 + 1,
+        "search_index": F.col("search_index") + 2,
+    })
 
 
 @query(
     "c17_live_frame", _spec(_ALL),
-    # Today's demand is in no feature: every demand feature ends at the previous row.
-    f"SELECT entity_id, date, {_FILLED} FROM feature_rows WHERE date = (SELECT max(date) FROM activity)",
+    # Prices and searches of the batch are in its features; its demand is not, as those end at the previous row.
+    f"SELECT entity_id, date, {_FILLED} FROM live_rows WHERE date = (SELECT max(date) FROM activity)",
 )
 def c17_live_frame(i: Inputs) -> DataFrame:
     return X.live_frame(i.activity, _live_batch(i), i.events, i.regimes)
 
 
+_MEANS = ", ".join(f"avg({n}) AS {n}" for n in _ALL)
+_MEANS_FILLED = ", ".join(f"avg(coalesce({n}, 0.0)) AS {n}" for n in _ALL)
+
+
 @query(
-    "c18_audit_frames", "frame s, n_rows i, demand_lag_1 f, price_new_7d_mean f, days_since_last_event f",
-    "SELECT 'full_training_frame' AS frame, count(*) AS n_rows, sum(demand_lag_1) AS demand_lag_1, "
-    "sum(price_new_7d_mean) AS price_new_7d_mean, sum(days_since_last_event) AS days_since_last_event FROM feature_rows "
-    "UNION ALL SELECT 'full_live_frame', count(*), sum(demand_lag_1), sum(price_new_7d_mean), "
-    "sum(days_since_last_event) FROM feature_rows "
-    "UNION ALL SELECT 'final_training_frame', count(*), sum(demand_lag_1), sum(price_new_7d_mean), "
-    "sum(days_since_last_event) FROM (SELECT *, lead(demand_index) OVER (PARTITION BY entity_id ORDER BY date) "
-    "AS t FROM feature_rows) AS x WHERE t IS NOT NULL "
-    "UNION ALL SELECT 'final_live_frame', count(*), sum(coalesce(demand_lag_1, 0)), sum(price_new_7d_mean), "
-    "sum(days_since_last_event) FROM feature_rows WHERE date = (SELECT max(date) FROM activity)",
+    "c18_audit_frames", "frame s, n_rows i, " + ", ".join(f"{n} f" for n in _ALL),
+    f"SELECT 'full_training_frame' AS frame, count(*) AS n_rows, {_MEANS} FROM feature_rows "
+    f"UNION ALL SELECT 'full_live_frame', count(*), {_MEANS} FROM live_rows "
+    f"UNION ALL SELECT 'final_training_frame', count(*), {_MEANS_FILLED} FROM (SELECT *, lead(demand_index) OVER "
+    "(PARTITION BY entity_id ORDER BY date) AS t FROM feature_rows) AS x WHERE t IS NOT NULL "
+    f"UNION ALL SELECT 'final_live_frame', count(*), {_MEANS_FILLED} FROM live_rows "
+    "WHERE date = (SELECT max(date) FROM activity)",
 )
 def c18_audit_frames(i: Inputs) -> DataFrame:
-    frames = X.audit_frames(i.activity, _live_batch(i), i.events, i.regimes)
+    """Rows and the mean of every feature of the four frames."""
     out = None
-    for name, frame in frames.items():
-        line = frame.agg(
-            F.count("*").alias("n_rows"),
-            *[F.sum(c).alias(c) for c in ("demand_lag_1", "price_new_7d_mean", "days_since_last_event")],
-        ).withColumn("frame", F.lit(name))
+    for name, frame in X.audit_frames(i.activity, _live_batch(i), i.events, i.regimes).items():
+        line = frame.agg(F.count("*").alias("n_rows"), *[F.avg(c).alias(c) for c in _ALL]).withColumn("frame", F.lit(name))
         out = line if out is None else out.unionByName(line)
     return out
 

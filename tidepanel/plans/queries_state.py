@@ -11,7 +11,7 @@ from tidepanel.operators import attribution as A, dashboard as D, dedup, drift,
 from tidepanel.operators.normalize import finalize_features, normalize_feed
 from tidepanel.plans import model as M
 from tidepanel.plans.contributions import SHARES, shares_text, with_shares
-from tidepanel.plans.forecast import NaiveScorer, forecast_next_day
+from tidepanel.plans.forecast import NaiveScorer, forecast_next_day, latest_context
 from tidepanel.plans.lifecycle import retrain
 from tidepanel.plans.queries_reports import _METRICS, _daily_metrics, _reason_sql
 from tidepanel.plans.registry import Inputs, grid_sql, on_grid, query
@@ -641,7 +641,25 @@ def h4_predict(i: Inputs) -> DataFrame:
     + " AS explanation_text FROM activity WHERE date = (SELECT max(date) FROM activity)",
 )
 def h11_forecast(i: Inputs) -> DataFrame:
-    return forecast_next_day(i.activity, None, NaiveScorer(), actuals=i.activity.limit(0))
+    """From the newest actuals; the history ends before them."""
+    known = i.activity.agg(F.max("date")).scalar()
+    history = i.activity.filter(F.col("date") < known)
+    return forecast_next_day(history, None, NaiveScorer(), actuals=i.activity.filter(F.col("date") >= i.first_live_date))
+
+
+@query(
+    "h15_context_batch", "source s, entity_id s, date d, demand_index f, price_index f",
+    f"""SELECT CASE WHEN x.newer THEN 'actuals' ELSE 'history' END AS source, entity_id, date, demand_index, price_index
+    FROM activity JOIN (SELECT max(date) AS last, TRUE AS newer FROM activity
+      UNION ALL SELECT max(date), FALSE FROM activity WHERE date < {_LATE}) AS x ON date = x.last""",
+)
+def h15_context_batch(i: Inputs) -> DataFrame:
+    """The rows that a forecast without a batch starts from: with newer actuals, and from history alone."""
+    history = i.activity.filter(F.col("date") < i.first_live_date)
+    newer = i.activity.filter(F.col("date") >= i.first_live_date)
+    legs = {"actuals": latest_context(history, newer), "history": latest_context(history, newer.filter(F.lit(False)))}
+    named = [rows.withColumn("source", F.lit(name)) for name, rows in legs.items()]
+    return named[0].unionByName(named[1])
 
 
 @query(

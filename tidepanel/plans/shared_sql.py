@@ -81,7 +81,7 @@ SELECT * FROM errors ORDER BY date DESC, entity_id DESC, model_version DESC LIMI
 def base_sql(panel: str) -> str:
     """A panel with every feature input, defaults where the panel has no such column."""
     own = {
-        "retail": {"discount_pct": "discount_pct"}, "activity": {"new_reviews": "new_reviews"},
+        "retail": {"discount_pct": "discount_pct"}, "activity": {"new_reviews": "new_reviews"}, "corrected": {"new_reviews": "new_reviews"},
         "fed": {},  # a feed brings no other signals
     }[panel]
     shown = {
@@ -252,6 +252,13 @@ SELECT c.category, c.run_no, c.version, c.mae,
   CASE WHEN c.mae <= r.active_mae * 0.98 THEN r.active_version ELSE r.last_stable_version END
 FROM replay AS r JOIN candidates AS c ON c.category = r.category AND c.run_no = r.run_no + 1"""
 
+# The panel after a batch that brings the last date again.
+CORRECTED = """
+SELECT * REPLACE (CASE WHEN latest THEN demand_index + 1 ELSE demand_index END AS demand_index,
+    CASE WHEN latest THEN price_index * 1.5 + 1 ELSE price_index END AS price_index,
+    CASE WHEN latest THEN search_index + 2 ELSE search_index END AS search_index)
+FROM (SELECT *, date = (SELECT max(date) FROM activity) AS latest FROM activity) AS x"""
+
 TABLES: dict[str, str] = {
     "retail": RETAIL,
     "activity": ACTIVITY,
@@ -268,6 +275,11 @@ TABLES: dict[str, str] = {
     "regime_marks": regime_sql("base"),
     "feature_rows": feature_sql("base", "proximity", "regime_marks"),
     "gridded": finalized_sql("feature_rows"),
+    "corrected": CORRECTED,
+    "live_base": base_sql("corrected"),
+    "live_proximity": proximity_sql("live_base"),
+    "live_regimes": regime_sql("live_base"),
+    "live_rows": feature_sql("live_base", "live_proximity", "live_regimes"),
     "profile": PROFILE,
     "psi": PSI,
     "psi_mean_std": PSI_MEAN_STD,
