@@ -424,20 +424,46 @@ def c20_streaks(i: Inputs) -> DataFrame:
     return P.streaks(days, "hit", ["category"], ["date"])
 
 
-_POLICY = replace(DEFAULTS, retrain_mape_threshold=0.75, retrain_min_new_rows=20, retrain_schedule_min_rows=30)
+# Drift of all 88 features by category and day, against the profile of the panel before its last ten dates. A day
+# holds one value of each calendar feature, far from any profile, so the policy of h9 asks for more than the default.
+_SEVERE = 13.0
+_CATEGORY_PSI = {
+    "category_cells": """SELECT a.category, g.date, g.feature, g.value
+      FROM (UNPIVOT (SELECT * FROM gridded) ON COLUMNS(* EXCLUDE (entity_id, date)) INTO NAME feature VALUE value) AS g
+      JOIN activity AS a ON a.entity_id = g.entity_id AND a.date = g.date""",
+    "category_edges": "SELECT feature, list_sort(list_distinct([min, q10, q50, q90, max])) AS e FROM profile",
+    "category_hits": """SELECT category, date, c.feature, CASE WHEN value = e[len(e)] THEN len(e) - 1
+        ELSE len(list_filter(e, lambda x: x <= value)) END AS bin, count(*) AS n
+      FROM category_cells AS c JOIN category_edges AS d ON d.feature = c.feature
+      WHERE value BETWEEN e[1] AND e[len(e)] GROUP BY ALL""",
+    "category_shares": """SELECT b.*, coalesce(h.n, 0)
+        / greatest(sum(coalesce(h.n, 0)) OVER (PARTITION BY b.category, b.date, b.feature), 1) AS share
+      FROM (SELECT category, date, feature, len(e) AS size, unnest(range(1, greatest(len(e), 2))) AS bin
+        FROM category_edges, (SELECT DISTINCT category, date FROM category_cells) AS t) AS b
+      LEFT JOIN category_hits AS h ON h.category = b.category AND h.date = b.date AND h.feature = b.feature AND h.bin = b.bin""",
+    "category_psi": """SELECT category, date, max(psi) AS psi FROM (
+        SELECT category, date, feature, CASE WHEN max(size) < 3 THEN 0.0
+          ELSE sum((greatest(share, 1e-6) - x) * ln(greatest(share, 1e-6) / x)) END AS psi
+        FROM (SELECT *, [0.1, 0.4, 0.4, 0.1][bin] AS x FROM category_shares) AS s GROUP BY category, date, feature) AS f
+      GROUP BY category, date""",
+}
+_POLICY = replace(
+    DEFAULTS, retrain_mape_threshold=0.75, retrain_min_new_rows=20, retrain_schedule_min_rows=30, psi_severe_threshold=_SEVERE,
+)
 
 
 @query(
     "h9_policy",
     "category s, date d, sim_day i, rows_since_retrain i, perf_streak i, rollback_streak i, performance_drift i, "
-    "severe_feature_drift i, action s",
-    f"""WITH RECURSIVE days AS ({_CATEGORY_DAYS}),
+    "max_feature_psi f, severe_feature_drift i, action s",
+    with_tables(f"""SELECT * FROM (WITH RECURSIVE days AS ({_CATEGORY_DAYS}),
       base AS (SELECT category, avg(mae) AS baseline FROM days GROUP BY category),
-      seq AS (SELECT d.*, b.baseline, abs(d.mae / b.baseline - 1) / 2 AS psi,
+      seq AS (SELECT d.*, b.baseline, p.psi,
           CASE WHEN d.mae > b.baseline * 1.25 OR d.mape > 0.75 THEN 1 ELSE 0 END AS perf,
           CASE WHEN d.mae > b.baseline * 1.15 THEN 1 ELSE 0 END AS roll,
           row_number() OVER (PARTITION BY d.category ORDER BY d.date) AS n
-        FROM days AS d JOIN base AS b ON b.category = d.category),
+        FROM days AS d JOIN base AS b ON b.category = d.category
+        JOIN category_psi AS p ON p.category = d.category AND p.date = d.date),
       walk AS (
         SELECT category, 0 AS n, CAST(NULL AS DATE) AS date, 0 AS last, CAST(0 AS BIGINT) AS rows, 0 AS ps, 0 AS rs,
           0 AS perf, 0 AS severe, CAST(0 AS BIGINT) AS show_rows, 0 AS show_ps, 0 AS show_rs, 'none' AS action FROM base
@@ -449,24 +475,32 @@ _POLICY = replace(DEFAULTS, retrain_mape_threshold=0.75, retrain_min_new_rows=20
           CASE WHEN action <> 'none' THEN 0 ELSE rs END,
           perf, severe, rows, ps, rs, action
         FROM (SELECT *, CASE WHEN rs >= 2 THEN 'rollback' WHEN n - last >= 3 AND ((perf = 1 AND ps >= 3 AND rows >= 20)
-              OR (psi > 0.3 AND rows >= 20) OR (n - last >= 14 AND rows >= 30)) THEN 'retrain' ELSE 'none' END AS action,
-              CASE WHEN psi > 0.3 THEN 1 ELSE 0 END AS severe
+              OR (psi > {_SEVERE} AND rows >= 20) OR (n - last >= 14 AND rows >= 30)) THEN 'retrain' ELSE 'none' END AS action,
+              CASE WHEN psi > {_SEVERE} THEN 1 ELSE 0 END AS severe
           FROM (SELECT s.category, CAST(s.n AS INTEGER) AS n, s.date, w.last, w.rows + s.n_rows AS rows,
               CASE WHEN s.perf = 1 THEN w.ps + 1 ELSE 0 END AS ps, CASE WHEN s.roll = 1 THEN w.rs + 1 ELSE 0 END AS rs,
               s.perf, s.psi
             FROM walk AS w JOIN seq AS s ON s.category = w.category AND s.n = w.n + 1) AS stepped) AS decided)
-    SELECT category, date, n AS sim_day, show_rows AS rows_since_retrain, show_ps AS perf_streak,
-      show_rs AS rollback_streak, perf AS performance_drift, severe AS severe_feature_drift, action FROM walk WHERE n > 0""",
+    SELECT w.category, w.date, n AS sim_day, show_rows AS rows_since_retrain, show_ps AS perf_streak,
+      show_rs AS rollback_streak, perf AS performance_drift, p.psi AS max_feature_psi,
+      severe AS severe_feature_drift, action
+    FROM walk AS w JOIN category_psi AS p ON p.category = w.category AND p.date = w.date WHERE n > 0) AS h""", _CATEGORY_PSI),
 )
 def h9_policy(i: Inputs) -> DataFrame:
     """Decisions of every day per category; the category's mean error is its baseline."""
+    names = list(S.FEATURE_CONTRACT)
+    frame = i.stored(on_grid(finalize_features(i.feature_rows, names).select("entity_id", "date", *names), names), "features")
+    marks = ["q10", "q50", "q90", "mean", "std"]
+    profile = i.stored(on_grid(drift.baseline_profile(frame.filter(F.col("date") < i.first_live_date), names), marks), "profile")
+    of = i.activity.select("entity_id", "date", "category")
+    psi = drift.feature_psi(frame.join(of, ["entity_id", "date"]), profile, names, "quantile", ["category", "date"])
+    worst = i.stored(psi.groupBy("category", "date").agg(F.max("psi").alias("max_feature_psi")), "psi")
     days = i.stored(_category_days(i), "days")
     base = days.groupBy("category").agg(F.avg("mae").alias("baseline_mae"))
-    daily = days.join(base, "category").select(
-        "category", "date", "mae", "mape", "baseline_mae", F.col("n_rows").alias("n_new"),
-        (F.abs(F.col("mae") / F.col("baseline_mae") - 1) / 2).alias("max_feature_psi"),
+    daily = days.join(base, "category").join(worst, ["category", "date"]).select(
+        "category", "date", "mae", "mape", "baseline_mae", F.col("n_rows").alias("n_new"), "max_feature_psi",
     )
-    return P.policy_replay(daily, ["category"], _POLICY)
+    return P.policy_replay(daily, ["category"], _POLICY).join(worst, ["category", "date"])
 
 
 @query(
