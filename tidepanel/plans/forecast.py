@@ -35,20 +35,19 @@ class ModelScorer:
     needs_features = True
 
     def __init__(self, model: TrainedModel, weights: dict[str, tuple[float, float]] | None = None):
-        self.model, self.weights = model, weights
+        self.model, self.weights = model, weights or model.weights
+        self.by_trees = not weights and model.leaves is not None
         self.version, self.profile = model.version, model.profile
         self.features, self.event_kinds = model.features, model.event_kinds or None
 
     def predict(self, live: DataFrame) -> DataFrame:
         scored = score(self.model.pipeline, live, self.features)
-        if self.weights or self.model.leaves is None:
-            return scored
-        return with_shares(scored, self.model.leaves, self.features)
+        return with_shares(scored, self.model.leaves, self.features) if self.by_trees else scored
 
     def explain(self) -> Column:
-        if self.weights:
-            return contribution_text(self.weights)
-        return F.lit(None).cast("string") if self.model.leaves is None else shares_text(self.features)
+        if self.by_trees:
+            return shares_text(self.features)
+        return contribution_text(self.weights) if self.weights else F.lit(None).cast("string")
 
 
 def latest_context(history: DataFrame, actuals: DataFrame | None = None) -> DataFrame:
