@@ -100,6 +100,37 @@ def test_elements_without_end_and_class_names_of_articles(page, text):
     assert main_text(page) == text
 
 
+STORY = "Word after word makes a story that goes on for long enough to be seen by each of its readers."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f'<article><p>{STORY}</p><h2 id="related-work">Related work</h2><section id="discussion"><h2>Discussion</h2><p>Yes.</p></section>'
+     f'<div class="side-effects"><p>Few.</p></div><div class="related-posts"><p>{STORY}</p></div>'
+     f'<section class="comments"><p>{STORY}</p></section></article>', [STORY, "Related work", "Discussion", "Yes.", "Few."]),
+    (f'<body><article class="teaser"><p>Short teaser</p></article><div class="story"><h1>T</h1><p>{STORY * 3}</p><p>End</p></div>',
+     ["T", STORY * 3, "End"]),
+    (f'<body><article><p>Short card</p></article><div class="story"><h1>T</h1><p>{STORY * 3}</p><p>End</p></div>', ["T", STORY * 3, "End"]),
+    (f'<article class="post"><p>A</p><p>{STORY}</p></article><article class="post related"><p>{STORY}</p></article>', ["A", STORY]),
+    (f"<article><h2>A</h2><p>{STORY}</p></article><article><h2>B</h2><p>{STORY}</p></article>", ["A", STORY, "B", STORY]),
+    (f"<article></article><div><p>A</p><p>{STORY}</p><p>B</p></div><div>Made by us</div>", ["A", STORY, "B"]),
+    (f"<div><h1>T</h1><div><p>{STORY}</p><p>x</p></div><div class=comments><p>{STORY}</p></div></div>", ["T", STORY, "x"]),
+    (f"<div><div><p>{STORY * 2}</p></div><div><p>{STORY}</p><p>x</p></div></div>", [STORY * 2, STORY, "x"]),
+    (f'<div class="sidebar"><p>{STORY}</p></div><div class="search"><p>{STORY * 9}</p></div>', [STORY * 9]),
+    ("<div>" * 3000 + f"<p>{STORY}</p>" + "</div>" * 3000, [STORY]),
+])
+def test_blocks_of_pages_without_with_empty_and_with_several_articles(page, text):
+    assert main_text(page) == "\n\n".join(text)
+
+
+def test_most_pages_keep_their_text_without_names_of_parts(spark, folder):
+    pages = [r.html for r in spark.read.parquet(f"{folder}/pages.parquet").select("html").collect()]
+    right = 0
+    for page in pages:
+        neutral = re.sub(r"<(/?)(?:nav|article|footer|aside|header|main|form)\b", r"<\1div", page)
+        right += main_text(re.sub(r'\b(class|id)="[^"]*"', 'class="x"', neutral)) == main_text(page)
+    assert 10 * right >= 9 * len(pages)
+
+
 def test_pages_keep_their_articles(spark, folder):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     for r in QUERIES["op2_html_extraction"](spark, folder).collect():

@@ -1,10 +1,13 @@
 """Main text of web pages by the distribution of text over lines.
 
-Mark-up is stripped to lines, one for each block element. A line weighs as many characters as it has outside links
-beyond those in links; lines of menus, headers, footers, side bars, notices, adverts, forms and comments weigh nothing and are
-never kept. Sums of weights over a sliding window of lines rise steeply where the article begins (surge) and fall to
-nothing where it ends (dive); what lies between is kept. Where the page itself marks its article, only lines in it
-have weight, all their characters count, and any text is a surge.
+Mark-up is stripped to lines, one for each block element. A line weighs as many characters as it has outside links beyond
+those in links. Menus, side bars, footers, forms and hidden elements are no text. The weights summed over the tree of
+elements show the block that holds the article: the heaviest article or main element if it has a quarter of the page's
+weight, else the innermost block that keeps three fifths of the weight of the one around it. Class names only weigh: an
+element named wholly after a part of the page (``related-posts``, not ``side-effects``) counts an eighth in that choice and is
+left out beside the chosen block and below it, but not where it contains the block. Sums of weights over a sliding window of
+lines rise steeply where text begins (surge) and fall to nothing where it ends (dive): they cut the lines of a block that is
+not marked, and keep dense lines outside of the block (a quarter as dense as those in it), a second article among them. Headings right before kept lines stay.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 3
 SURGE = 80
+HELD = 0.6  # share of a block's weight that an inner block must hold to be chosen instead
+MARKED = 0.25  # share of the page's weight that makes a marked article the chosen block
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
@@ -42,9 +47,18 @@ _OUT_WORDS = frozenset(
     "foot cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations comment comments commentlist "
     "respond reply replies discussion disqus pagination pager toolbar widget widgets tags copyright disclaimer skip "
-    "hidden form search".split())
+    "hidden form search teaser teasers".split())
+_WITH_THEM = frozenset(  # words that stand beside those above in the name of a part
+    "a an and area article articles bar block body bottom box btn button buttons by center col column container content "
+    "div entry field first global group head heading icon icons in inner item items js label last left link links list "
+    "main message mobile nested of on outer page panel post posts primary right row secondary section site slot small "
+    "stories sub text thread title to top ui unit us user view wrap wrapper".split())
+_COMMENTS = frozenset("comment comments commentlist respond disqus".split())
 _MAIN = frozenset("article main".split())
-_SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_HOLDERS = frozenset("article body center div main section table tbody td tr".split())  # elements that can be the chosen block
+_SPLIT = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
+_DIGITS = re.compile(r"\d*")
 _WITH = re.compile(r"\b(?:no|has|with|without)[_-]\w+", re.I)  # says what stands beside an element, not what it is
 
 
@@ -74,10 +88,9 @@ def _tokens(page: str) -> tuple[list[tuple[int, int, str, str, str]], dict[int,
     return out, pairs
 
 
-def _left_out(name: str, attributes: str, inside: bool, nested: bool = False) -> bool:
-    """Whether an element and all in it is not part of the article. The words of a class say so of an article only if
-    it is ``nested`` in another one, as comments are; else they are the names of its subjects."""
-    if name in _OUT or name == "header" and not inside:
+def _hidden(name: str, attributes: str) -> bool:
+    """Whether an element is a part of the page beside its text, or not shown."""
+    if name in _OUT:
         return True
     if "=" not in attributes and "hidden" not in attributes:
         return False
@@ -89,36 +102,72 @@ def _left_out(name: str, attributes: str, inside: bool, nested: bool = False) ->
             return True
         if key == "role" and value.lower() in _OUT_ROLES:
             return True
-        if key in ("class", "id") and name not in ("html", "body", "main") and (name != "article" or nested):
-            found = {w.lower() for w in _SPLIT.split(_WITH.sub(" ", value))} & _OUT_WORDS
-            if found - ({"header"} if inside else set()):
-                return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, in a marked article) of each block that is not left out, in page order."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, left out, in the article
+def _named_part(name: str, attributes: str, inside: bool) -> str:
+    """'part' if a class or id names an element wholly after a part of the page, 'header' if after a header only.
+
+    Headings are never named so, as their ids repeat their words; inside an article the id of a section doesn't count
+    unless it says comments, for the same reason.
+    """
+    if name in _HEADINGS or name in ("html", "body", "main", "p") or "=" not in attributes:
+        return ""
+    found = ""
+    for key, a, b, c in _MARKS.findall(attributes):
+        key = key.lower()
+        if key not in ("class", "id"):
+            continue
+        for one in _WITH.sub(" ", a or b or c).split():
+            words = {w.lower() for w in _SPLIT.split(one) if not _DIGITS.fullmatch(w)}
+            out = words & _OUT_WORDS
+            if not out or words - _OUT_WORDS - _WITH_THEM:
+                continue
+            if key == "id" and name == "section" and inside and not out & _COMMENTS:
+                continue
+            if out != {"header"}:
+                return "part"
+            found = "header"
+    return found
+
+
+class _Page:
+    """Lines of a page, each with its innermost element, and the tree of elements by their order (0 is the page)."""
+
+    def __init__(self) -> None:
+        self.text: list[str] = []
+        self.linked: list[int] = []
+        self.heading: list[bool] = []
+        self.element: list[int] = []
+        self.parent, self.name, self.part, self.marked = [0], [""], [""], [False]
+
+
+def lines(page: str) -> _Page:
+    """The blocks of a page in its order, those not shown and those of menus, side bars, footers and forms left out."""
+    out = _Page()
+    stack: list[tuple[str, bool, int]] = []  # name, left out, its number
     text: list[str] = []
-    linked, links, skip, inside = 0, 0, False, False
+    linked, links, skip, here = 0, 0, False, 0
     opened: Counter[str] = Counter()
 
     def close() -> None:
         nonlocal linked
         line = " ".join("".join(text).split())
         if line:
-            out.append((line, linked, inside))
+            out.text.append(line)
+            out.linked.append(linked)
+            out.heading.append(any(opened[h] for h in _HEADINGS))
+            out.element.append(here)
         text.clear()
         linked = 0
 
     def end_of(name: str) -> None:
-        nonlocal skip, inside, links
+        nonlocal skip, here, links
         last = ""
         while last != name:
             last = stack.pop()[0]
             opened[last] -= 1
-        skip, inside = stack[-1][1:] if stack else (False, False)
+        skip, here = stack[-1][1:] if stack else (False, 0)
         links = opened["a"]
 
     tokens, pairs = _tokens(page)
@@ -153,38 +202,97 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name in _BLOCKS:
             close()
             if name in ("p", "li") and stack and stack[-1][0] == name:  # the end tag may be left out
-                opened[stack.pop()[0]] -= 1
+                end_of(name)
         elif name in ("br", "wbr", "img") and not skip:
             text.append(" " if name == "br" else "")
         if name in _VOID or attributes.rstrip().endswith("/"):
             continue
-        skip = skip or dropped or name == "head" or _left_out(name, attributes, inside, opened["article"] > 0)
-        inside = inside or name in _MAIN and not skip
-        stack.append((name, skip, inside))
+        inside = out.marked[here]
+        skip = skip or dropped or name == "head" or _hidden(name, attributes)
+        if name in _BLOCKS and not skip:
+            part = "header" if name == "header" else _named_part(name, attributes, inside)
+            out.parent.append(here)
+            out.name.append(name)
+            out.part.append("" if part == "header" and inside else part)
+            out.marked.append(inside or name in _MAIN)
+            here = len(out.parent) - 1
+        stack.append((name, skip, here))
         opened[name] += 1
         links = opened["a"]
     close()
     return out
 
 
+def _chosen(found: _Page, weight: list[int]) -> int:
+    """The element that holds the article."""
+    n = len(found.parent)
+    total = [0.0] * n
+    for w, e in zip(weight, found.element):
+        total[e] += w
+    for e in range(n - 1, 0, -1):  # inner elements come after those around them
+        if found.part[e]:
+            total[e] /= 8
+        total[found.parent[e]] += total[e]
+    outer = [e for e in range(1, n) if found.marked[e] and not found.marked[found.parent[e]]]
+    best = max(outer, key=lambda e: (total[e], -e), default=0)
+    if best and total[best] > 0 and total[best] >= MARKED * total[0]:
+        return best
+    heaviest: dict[int, int] = {}
+    for e in range(n - 1, 0, -1):
+        p = found.parent[e]
+        if found.name[e] in _HOLDERS | {"html"} and (p not in heaviest or total[e] >= total[heaviest[p]]):
+            heaviest[p] = e
+    at = 0
+    while at in heaviest and total[heaviest[at]] > 0 and total[heaviest[at]] >= HELD * total[at]:
+        at = heaviest[at]
+    return at
+
+
+def _runs(weight: np.ndarray, window: int, least: int) -> list[bool]:
+    """For each line whether it lies between a surge and a dive."""
+    sums = np.convolve(weight, np.ones(window, np.int64))[window - 1:]  # a line and those after it
+    out, on = [], False
+    for k in range(len(weight)):
+        ahead = bool(weight[k:k + window].any())
+        on = ahead if on else bool(weight[k]) and sums[k] >= least
+        out.append(on)
+    return out
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The blocks between surges and dives, joined by two newlines."""
     found = lines(page or "")
-    marked = any(inside for _, _, inside in found)
-    weight = np.array([len(t) * inside if marked else max(0, len(t) - 2 * k) for t, k, inside in found], np.int64)
-    if not weight.any():
+    if not found.text:
         return ""
-    sums = np.convolve(weight, np.ones(window, np.int64))[window - 1:]  # a line and those after it
-    least = 1 if marked else min(surge, int(sums.max()))
-    kept, on = [], False
-    for k, (line, _, inside) in enumerate(found):
-        if not on and weight[k] and sums[k] >= least:
-            on = True  # surge: this line and the next ones hold text
-        elif on and not weight[k:k + window].any():
-            on = False  # dive
-        if on and (weight[k] or not marked and weight[k:k + window].any()) and (inside or not marked):
-            kept.append(line)
-    return "\n\n".join(kept)
+    plain = [max(0, len(t) - 2 * k) for t, k in zip(found.text, found.linked)]
+    full = [p or len(t) * found.marked[e] for p, t, e in zip(plain, found.text, found.element)]
+    block = _chosen(found, full)
+    around, at = {block}, block
+    while at:
+        at = found.parent[at]
+        around.add(at)
+    page_wide = found.name[block] in ("", "html", "body")
+    under, part = [False] * len(found.parent), [False] * len(found.parent)
+    for e in range(len(found.parent)):
+        p = found.parent[e]
+        under[e] = e == block or e > 0 and under[p]
+        kind = found.part[e] if e not in around else ""
+        part[e] = e > 0 and part[p] or kind == "part" or kind == "header" and (page_wide or not under[e])
+    marked = found.marked[block]
+    own = [under[e] and not part[e] for e in found.element]
+    inner = np.array([(len(t) if marked else p) * o for t, p, o in zip(found.text, plain, own)], np.int64)
+    rest = np.array([p * (not under[e] and not part[e] and (found.marked[e] or not marked))
+                     for p, e in zip(plain, found.element)], np.int64)
+    top = int(np.convolve(inner, np.ones(window, np.int64)).max())
+    first = _runs(inner, window, min(surge, top) if page_wide else 1)
+    kept = [f and o for f, o in zip(first, own)]
+    if rest.any():
+        second = _runs(rest, window, surge if marked else max(surge, top // 4))
+        for k, e in enumerate(found.element):
+            kept[k] = kept[k] or second[k] and not under[e] and not part[e] and (found.marked[e] or not marked)
+    for k in range(len(kept) - 2, -1, -1):
+        kept[k] = kept[k] or found.heading[k] and kept[k + 1] and not part[found.element[k]]
+    return "\n\n".join(t for t, k in zip(found.text, kept) if k)
 
 
 def _extract(window: int, surge: int):
