@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidepanel.functions.columns import week_start
 from tidepanel.operators import attribution as A, dashboard as D, dedup, drift, features as X, policy as P
 from tidepanel.operators.normalize import finalize_features, normalize_feed
-from tidepanel.plans import model as M
+from tidepanel.plans import model as M, queries_features  # noqa: F401  (queries that share their SQL)
 from tidepanel.plans.contributions import SHARES, shares_text, with_shares
 from tidepanel.plans.forecast import NaiveScorer, forecast_next_day, latest_context
 from tidepanel.plans.lifecycle import retrain
 from tidepanel.plans.queries_reports import _METRICS, _daily_metrics, _reason_sql
-from tidepanel.plans.registry import Inputs, grid_sql, on_grid, query
+from tidepanel.plans.registry import Inputs, QUERIES, grid_sql, on_grid, query
 from tidepanel.plans.shared_sql import base_sql, feature_sql, finalized_sql, proximity_sql, regime_sql, with_tables
 from tidepanel.settings import DEFAULTS
 from tidepanel.sources import schemas as S, state
 from tidepanel.sources.state import LogTable, StateStore
-from tidepanel.streaming import cycle as C
+from tidepanel.streaming import cycle as C, keyed as K
 
 _LATE = "(SELECT max(date) - 9 FROM activity)"
 
@@ -424,6 +424,53 @@ def c20_streaks(i: Inputs) -> DataFrame:
     return P.streaks(days, "hit", ["category"], ["date"])
 
 
+def _deliveries(i: Inputs, rows: DataFrame, run) -> None:
+    """The rows as files of a stream in two deliveries of dates, ``run`` on the folder after each; the second run goes on
+    from the state that the first one left."""
+    rows = i.stored(rows, "rows")
+    days = rows.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    middle = F.date_add(F.lit(days["a"]), (days["b"] - days["a"]).days // 2) if days["a"] else F.lit(None).cast("date")
+    folder = i.scratch("stream")
+    for part in (F.col("date") <= middle, F.col("date") > middle):
+        rows.filter(part).write.mode("append").parquet(folder)
+        run(i.spark.readStream.schema(rows.schema).parquet(folder))
+
+
+@query("c20_streaks_streamed", "category s, date d, streak i", QUERIES["c20_streaks"].sql)
+def c20_streaks_streamed(i: Inputs) -> DataFrame:
+    """The streaks of c20 from keyed state, over a restart."""
+    days = _category_days(i).select("category", "date", (F.col("mae") > 1.5).alias("hit"))
+    out, checkpoint = i.scratch("streaks"), i.scratch("checkpoint")
+    _deliveries(i, days, lambda s: K.run_keyed(K.stream_streaks(s, "category", "hit"), out, checkpoint))
+    return i.spark.read.parquet(out)
+
+
+@query("c15_features_streamed", QUERIES["c15_feature_frame"].spec, QUERIES["c15_feature_frame"].sql)
+def c15_features_streamed(i: Inputs) -> DataFrame:
+    """The features of c15, each entity's last rows kept in keyed state, over a restart."""
+    events, regimes = i.stored(i.events, "events"), i.stored(i.regimes, "regimes")
+    out, checkpoint = i.scratch("features"), i.scratch("checkpoint")
+    _deliveries(i, i.activity, lambda s: K.stream_features(s, out, checkpoint, events, regimes))
+    return i.spark.read.parquet(out)
+
+
+@query("e1_summary_streamed", QUERIES["e1_daily_summary"].spec, QUERIES["e1_daily_summary"].sql)
+def e1_summary_streamed(i: Inputs) -> DataFrame:
+    """The daily summary of e1 by watermarked windows, over a restart; a last row without entity closes the last dates."""
+    out, checkpoint = i.scratch("summary"), i.scratch("checkpoint")
+    rows = i.retail.select("date", "entity_id", *S.FEED_MEASURES, "event_type")
+
+    def run(stream: DataFrame) -> None:
+        stream = C.stream_daily_summary(stream, "1 day").drop("entities")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(
+            "append").trigger(availableNow=True).start().awaitTermination()
+
+    end = rows.agg(F.date_add(F.max("date"), 9).alias("date"))
+    _deliveries(i, rows.unionByName(end.filter("date IS NOT NULL"), allowMissingColumns=True), run)
+    return i.spark.read.schema("date DATE, product_count BIGINT, event_count BIGINT, "
+                               + ", ".join(f"avg_{m} DOUBLE" for m in S.FEED_MEASURES)).parquet(out)
+
+
 # Drift of all 88 features by category and day, against the profile of the panel before its last ten dates. A day
 # holds one value of each calendar feature, far from any profile, so the policy of h9 asks for more than the default.
 _SEVERE = 13.0

@@ -457,9 +457,29 @@ class DailyCycle:
 
 
 def stream_daily_summary(feed: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The daily summary as a watermarked one-day window over a stream of feed rows."""
+    """The daily summary as a watermarked one-day window over a stream of feed rows, written in append mode.
+
+    Rows are first summed by date and entity, so that the distinct entities of a date are counted exactly from one state
+    row each, however often an entity reports; late rows count until the watermark passes their date. ``entities`` is a
+    sketch of the same entities, which other spans of dates are counted from by :func:`distinct_over`.
+    """
     stamped = feed.withColumn("_ts", F.col("date").cast("timestamp")).withWatermark("_ts", delay)
-    means = [F.avg(lenient_double(F.col(m))).alias(f"avg_{m}") for m in S.FEED_MEASURES]
-    return stamped.groupBy(F.window("_ts", "1 day")).agg(*means, F.count("*").alias("n_rows")).select(
-        F.col("window.start").cast("date").alias("date"), *[f"avg_{m}" for m in S.FEED_MEASURES], "n_rows"
+    kind = F.coalesce(F.col("event_type"), F.lit("organic")) if "event_type" in feed.columns else F.lit("organic")
+    day, means = F.window("_ts", "1 day"), S.FEED_MEASURES
+    by_entity = stamped.withColumns({f"_{m}": lenient_double(F.col(m)) for m in means}).groupBy(day, "entity_id").agg(
+        *[F.sum(f"_{m}").alias(f"_sum_{m}") for m in means], *[F.count(f"_{m}").alias(f"_n_{m}") for m in means],
+        F.count_if(kind != "organic").alias("_events"), F.count("*").alias("_rows"),
+    )
+    again = by_entity.withColumn("_end", F.window_time("window")).groupBy(F.window("_end", "1 day")).agg(
+        *[(F.sum(f"_sum_{m}") / F.nullif(F.sum(f"_n_{m}"), F.lit(0))).alias(f"avg_{m}") for m in means],
+        F.count("entity_id").alias("product_count"), F.sum("_events").alias("event_count"),
+        F.sum("_rows").alias("n_rows"), F.hll_sketch_agg("entity_id").alias("entities"),
+    )
+    return again.select(F.col("window.start").cast("date").alias("date"), *again.columns[1:])
+
+
+def distinct_over(summary: DataFrame, unit: str = "week") -> DataFrame:
+    """Distinct entities of each week (or another unit) from the sketches of its dates: an estimate, within a few per cent."""
+    return summary.groupBy(F.date_trunc(unit, F.col("date")).cast("date").alias("start")).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("entities")).alias("product_count")
     )
