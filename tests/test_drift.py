@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.functions.quantiles import exact_quantiles
+from tidepanel.functions.quantiles import column_quantiles, exact_quantiles
 from tidepanel.operators import drift
 
 DAY = dt.date(2025, 4, 3)
@@ -100,3 +100,48 @@ def test_profile_moments(spark):
     got = drift.baseline_profile(spark.createDataFrame([(v,) for v in values], "x DOUBLE"), ["x"]).first()
     assert (got["min"], got["max"], got["mean"]) == (1.0, 8.0, 3.75)
     assert got["std"] == pytest.approx(np.std(values, ddof=1)) and not math.isnan(got["q50"])
+
+
+@pytest.mark.parametrize("buffer, parts", [(1 << 16, 3), (5000, 7)])
+def test_column_quantiles_equal_numpy(spark, buffer, parts):
+    rng = np.random.default_rng(5)
+    n = 30011
+    table = {
+        "a": rng.normal(size=n), "hot": np.where(rng.random(n) < 0.7, 0.0, rng.normal(size=n)), "flat": np.full(n, -2.5),
+        "whole": rng.integers(-3, 4, n).astype(float), "sorted": np.arange(n) / 7.0,
+    }
+    gaps = rng.random(n) < 0.3
+    rows = [(*(float(c[k]) for c in table.values()), None if gaps[k] else float(table["a"][k]), None) for k in range(n)]
+    names = [*table, "gaps", "void"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} DOUBLE" for c in names)).repartition(parts)
+    probs = {"p0": 0.0, "q10": 0.1, "q50": 0.5, "q90": 0.9, "p100": 1.0}
+    got = {r["feature"]: r for r in column_quantiles(df, names, probs, buffer).collect()}
+    table["gaps"] = table["a"][~gaps]
+    assert set(got) == set(table)
+    for name, values in table.items():
+        for p, q in probs.items():
+            assert got[name][p] == pytest.approx(float(np.quantile(values, q)), abs=1e-12)
+        assert (got[name]["min"], got[name]["max"]) == (values.min(), values.max())
+        assert got[name]["mean"] == pytest.approx(values.mean(), abs=1e-12)
+        assert got[name]["std"] == pytest.approx(values.std(ddof=1), abs=1e-12)
+
+
+def test_column_quantiles_with_nan_and_infinity(spark):
+    df = spark.createDataFrame([(float("nan"), 1.0), (2.0, float("-inf")), (-0.0, None), (0.0, None)], "x DOUBLE, y DOUBLE")
+    got = {r["feature"]: r for r in column_quantiles(df, ["x", "y"], {"q50": 0.5, "p100": 1.0}).collect()}
+    assert (got["x"]["min"], got["x"]["q50"]) == (0.0, 1.0) and math.isnan(got["x"]["max"]) and math.isnan(got["x"]["p100"])
+    assert got["y"]["min"] == float("-inf") and got["y"]["p100"] == 1.0
+
+
+def test_a_profile_reads_its_frame_twice_however_wide(spark):
+    """One pass for the sketches and one for the counts, not one for every few columns."""
+    tasks = spark.sparkContext.accumulator(0)
+    width = 40
+
+    def touched(batches):
+        tasks.add(1)
+        yield from batches
+
+    df = spark.range(100).coalesce(1).selectExpr(*[f"CAST(id + {k} AS DOUBLE) AS x{k}" for k in range(width)])
+    profile = drift.baseline_profile(df.mapInArrow(touched, df.schema), [f"x{k}" for k in range(width)])
+    assert profile.count() == width and tasks.value == 2
