@@ -2,6 +2,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,55 @@ def test_psi_equals_numpy_histogram(spark):
         assert got == pytest.approx(float(np.sum((a - e) * np.log(a / e))), abs=1e-9)
 
 
+def _index(values, edges):
+    """PSI of one column against distinct edges, bin by bin; None is no value."""
+    e = sorted(set(edges))
+    given = [v for v in values if v is not None]
+    if len(e) < 3 or not given:
+        return 0.0
+    hits = [sum(a <= v < b or (v == b == e[-1]) for v in given) for a, b in zip(e, e[1:])]
+    shares = [max(h / max(sum(hits), 1), 1e-6) for h in hits]
+    return sum((a - x) * math.log(a / x) for a, x in zip(shares, (0.1, 0.4, 0.4, 0.1)))
+
+
+def test_psi_by_segment_equals_counting(spark):
+    rng = np.random.default_rng(5)
+    names = [f"f{k}" for k in range(6)]
+    odd = [None, math.nan, math.inf, -0.0, 0.0]
+    rows = [(DAY + dt.timedelta(days=int(rng.integers(3))), [None, "a", "b"][rng.integers(3)],
+             *[odd[rng.integers(5)] if rng.random() < 0.3 else float(rng.integers(-1, 7)) for _ in names[1:]], None) for _ in range(400)]
+    live = spark.createDataFrame(rows, "date DATE, kind STRING, " + ", ".join(f"{n} DOUBLE" for n in names)).repartition(3)
+    profiles = {"f0": (0, 1, 2, 3, 6), "f1": (0, 0, 0, 3, 3), "f2": (1, 1, 1, 1, 1), "f3": (-1, 0, 0, 2, math.inf), "f5": (0, 1, 2, 3, 4)}
+    table = spark.createDataFrame([(n, *map(float, p)) for n, p in profiles.items()], "feature STRING, min DOUBLE, q10 DOUBLE, q50 DOUBLE, q90 DOUBLE, max DOUBLE")
+    got = {(r["date"], r["kind"], r["feature"]): r["psi"] for r in drift.feature_psi(live, table, names, segment=["date", "kind"]).collect()}
+    want = {}
+    for day, kind in {r[:2] for r in rows}:
+        for n, edges in profiles.items():  # no profile, no index
+            values = [r[2 + names.index(n)] for r in rows if r[:2] == (day, kind)]
+            want[day, kind, n] = _index(values, map(float, edges))
+    assert got == pytest.approx(want, abs=1e-12)
+    assert drift.feature_psi(live.filter("false"), table, names).collect() == []
+
+
+def test_counts_of_many_segments_go_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(drift, "SEGMENTS_HELD", 2)
+    batches = [pa.RecordBatch.from_pydict({"s": s, "f": v}) for s, v in (
+        (["a", "b", "c"], [0.5, 1.5, 9.0]), (["a", "d"], [2.0, None]), (["a"], [0.0]))]
+    parts = list(drift._binned([[0.0, 1.0, 2.0], None], 1)(iter(batches)))
+    assert [p.num_rows for p in parts] == [6, 4, 2]
+    hits = {(r["s"], r["_f"], p): (r["_h0"], r["_h1"], r["_h2"], r["n_values"]) for p, b in enumerate(parts) for r in b.to_pylist()}
+    assert hits["a", 0, 0] == (1, 0, 0, 1) and hits["b", 0, 0] == (0, 1, 0, 1) and hits["c", 0, 0] == (0, 0, 0, 1)
+    assert hits["a", 0, 1] == (0, 1, 0, 1) and hits["d", 0, 1] == (0, 0, 0, 0) and hits["a", 0, 2] == (1, 0, 0, 1)
+
+
+def test_psi_reads_a_wide_frame_once(spark, tmp_path):
+    names = [f"f{k}" for k in range(40)]
+    spark.range(10).select(*[F.col("id").cast("double").alias(n) for n in names]).write.parquet(str(tmp_path / "live"))
+    table = spark.createDataFrame([(n, 0.0, 1.0, 4.0, 8.0, 9.0) for n in names], "feature STRING, min DOUBLE, q10 DOUBLE, q50 DOUBLE, q90 DOUBLE, max DOUBLE")
+    psi = drift.feature_psi(spark.read.parquet(str(tmp_path / "live")), table, names)
+    assert psi._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+
+
 @pytest.mark.parametrize("kind", ["random", "hot", "tiny", "large"])
 def test_exact_quantiles_equal_numpy(spark, kind):
     rng = np.random.default_rng(3)
