@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tidepanel.operators import dedup, features as X
+from tidepanel.plans import queries_state
 from tidepanel.plans.catalog import QUERIES
 from tidepanel.plans.registry import Inputs
 from tidepanel.sources import files
@@ -68,3 +69,10 @@ EAGER = {"g7_split_date", "g12_ingest_step", "g13_run_cycle", "h3_gbt_train", "h
 def test_no_pairwise_joins_and_no_python_rows(spark, name):
     plan = _plan(QUERIES[name].run(spark, FOLDER))
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|EvalPython|MapInPandas|FlatMapGroups", plan)
+
+
+@pytest.mark.parametrize("build", [queries_state.h9_policy, queries_state._feed])
+def test_events_become_a_panel_once(spark, build):
+    i = Inputs(spark, FOLDER)
+    build(i)
+    assert "Aggregate" not in _plan(i.activity)

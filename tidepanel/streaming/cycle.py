@@ -31,7 +31,7 @@ from tidepanel.operators.policy import decide, performance_drift, policy_replay,
 from tidepanel.plans.forecast import ModelScorer, NaiveScorer, forecast_rows
 from tidepanel.plans.lifecycle import accepted_state, active_entry, active_model, retrain, rollback_to_stable
 from tidepanel.plans.model import Learner, load
-from tidepanel.session import scratch_dir
+from tidepanel.session import scratch_dir, wide_plans
 from tidepanel.settings import DEFAULTS, Settings
 from tidepanel.sources import schemas as S
 from tidepanel.sources.files import stream_feed
@@ -78,7 +78,8 @@ _PENDING = ("incomplete", "waiting")
 def _settled(spark, rows: DataFrame, label: str = "refused") -> DataFrame:
     """The rows written apart: read often, or about to be replaced where they were read from."""
     path = scratch_dir(spark, label)
-    rows.write.parquet(path)
+    with wide_plans(spark):
+        rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -133,8 +134,8 @@ class DailyCycle:
     def process(self, batch: DataFrame, _batch_id: int | None = None) -> list[dict]:
         """``foreachBatch`` target: the dates of the micro-batch and those that waited, oldest first."""
         keys = ["date", "entity_id"]
-        arrived = keep_last(normalize_feed(batch, S.PANEL_SIGNALS), keys).withColumn("_fresh", F.lit(True))
-        both = union_keep_last([self._pending().withColumn("_fresh", F.lit(False)), arrived], keys, [])
+        arrived = normalize_feed(batch, S.PANEL_SIGNALS).withColumn("_fresh", F.lit(True))
+        both = union_keep_last([self._pending().withColumn("_fresh", F.lit(False)), arrived], keys)
         path = scratch_dir(self.spark, "backlog")
         both.write.partitionBy("date").parquet(path)  # parsed once, then read date by date
         feed = self.spark.read.schema(both.schema).parquet(path)
@@ -266,9 +267,11 @@ class DailyCycle:
         store.panel.append(rows, of_date)
         batch = store.panel.log(among=keys).drop("_batch")
         tail = store.tail.log(only=previous).drop("_batch")
-        live = batch
+        said = live = batch  # forecast from, and measured for drift
         if self.profile is not None or (self.forecasts and self.scorer.needs_features):
-            live = _settled(self.spark, self._live(tail, batch, keys), "live")
+            live = self._live(tail, batch, keys)
+        if self.forecasts and self.scorer.needs_features:
+            said = live = _settled(self.spark, live, "live")  # read twice
 
         with ThreadPoolExecutor() as pool:
             jobs = [
@@ -278,7 +281,7 @@ class DailyCycle:
             ]
             if self.forecasts:
                 # What is said on one date is compared on the next.
-                ahead = forecast_rows(live, batch, self.scorer, dated=True)
+                ahead = forecast_rows(said, batch, self.scorer, dated=True)
                 store.predictions.append(ahead, F.unix_date("target_date") - 1)
             made = store.predictions.log(among=[k - 1 for k in keys])
             store.fva.append(align_forecasts(batch, made).withColumn("created_at", F.current_timestamp()), of_date)
